@@ -73,7 +73,7 @@ def planned(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     want = F.least(F.round("target").cast("long"), F.col("source_size") * REPEAT)
     size, rest, tail = F.col("source_size"), F.col("rest"), F.col("tail")
     rows = sources.withColumn("want", want).withColumn("blocks", F.ceil(size / block).cast("long")).where("blocks > 0")
-    rows = rows.withColumn("epochs", F.floor(F.col("want") / size).cast("long")).withColumn("rest", F.col("want") - F.col("epochs") * size).withColumn("tail", size - (F.col("blocks") - 1) * block)
+    rows = rows.withColumn("epochs", F.floor(F.try_divide(F.col("want"), size)).cast("long")).withColumn("rest", F.col("want") - F.col("epochs") * size).withColumn("tail", size - (F.col("blocks") - 1) * block)
     rows = rows.withColumn("tail_at", swap_or_not(F.col("blocks") - 1, F.col("blocks"), F.xxhash64("rank", "epochs"), inverse=True))
     more = F.when(rest <= F.col("tail_at") * block, F.ceil(rest / block)).otherwise(F.ceil((rest + block - tail) / block)).cast("long")
     rows = rows.withColumn("slots", F.col("epochs") * F.col("blocks") + more)
@@ -88,7 +88,7 @@ def slots(plan: DataFrame, block: int = BLOCK) -> DataFrame:
     runs = wide.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RUN).cast("long"))))
     runs = runs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rank", "run")
     each = runs.withColumn("slot", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("slots")) - 1)))
-    each = each.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")).cast("long")).withColumn("k", F.pmod("slot", "blocks"))
+    each = each.withColumn("epoch", F.floor(F.try_divide(F.col("slot"), F.col("blocks"))).cast("long")).withColumn("k", F.pmod("slot", "blocks"))
     each = each.withColumn("block", swap_or_not(F.col("k"), F.col("blocks"), F.xxhash64("rank", "epoch")))
     each = each.withColumn("at", swap_or_not(F.col("first_slot") + F.col("slot"), F.col("all_slots"), F.lit(7)))
     long = F.when(F.col("block") == F.col("blocks") - 1, F.col("tail")).otherwise(F.lit(block))
