@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii
-from .common import table
+from . import line_dedup, pii, token_counts
+from .common import shared_dir, table
+from .decontaminate import contaminated
 from .exact_dedup import dedup
 from .mixing import mix
 from .near_dedup import near_dedup
+from .quality import classify
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +28,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup of all documents, loaded as one batch that is committed twice, as after a lost answer."""
+    ledger = f"{shared_dir(spark)}/token-ledger-{uuid.uuid4().hex}"
+    delta = token_counts.changes(inserted=table(spark, sf_dir, "documents"))
+    token_counts.commit(delta, ledger, "load")
+    token_counts.commit(spark.read.parquet(f"{ledger}/batch=load").checkpoint(), ledger, "load")
+    return token_counts.totals(spark, ledger)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
@@ -29,15 +45,28 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), k=2)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_pii": op2_pii,
     "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op5_token_counts": op5_token_counts,
     "op7_minhash": op7_minhash,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_pii": pii.oracle(),
+    "op9_line_dedup": line_dedup.oracle(),
     "op6_exact_dedup": r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
