@@ -7,10 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, near_dedup
+from tidemark.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
 from tidemark.llm.common import shared_dir, table
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies stays."""
     return exact_dedup.drop_copies(docs)
@@ -21,9 +26,22 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.drop_near_copies(docs)
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How much of each remaining document the mix takes: ``doc_id, size, source_size, target, taken``."""
+    return mixing.mix(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", good),
     ("exact dedup", exact),
     ("MinHash near-dedup", near),
+    ("benchmark decontamination", clean),
+    ("mixing sources to target weights", mixed),
 ]
 
 #: Classifying and near-duplicate search cannot be said in SQL; tests compare each stage with brute force.
