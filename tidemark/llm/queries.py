@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import line_dedup, pii, token_counts
+from .chat import format_chats
 from .common import shared_dir, table
 from .decontaminate import contaminated
 from .exact_dedup import dedup
+from .html_extract import extract
 from .mixing import mix
 from .near_dedup import near_dedup
 from .quality import classify
@@ -24,6 +26,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -45,6 +51,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), k=2)
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -56,10 +66,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
+    "op3_html": op3_html,
     "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_minhash": op7_minhash,
+    "op8_chat": op8_chat,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
