@@ -20,6 +20,8 @@ PATTERN_WARNING, PATTERN_CRITICAL = 0.6, 0.8
 DIVERGENCE_WEIGHT, ACCELERATION_WEIGHT, PATTERN_WEIGHT = 0.5, 0.3, 0.2
 #: Smoothing of a span of 7, and a frame beyond which weights are below double precision.
 DECAY, FRAME = 0.75, 128
+#: A score on a threshold is not above it, in whatever order its sums were taken.
+TOLERANCE = 1e-9
 #: Variances below this are those of a constant.
 FLAT = 1e-24
 
@@ -91,7 +93,7 @@ def scored(rows: DataFrame) -> DataFrame:
 
 
 def level(z: Column, a: Column, p: Column) -> Column:
-    z, a = F.coalesce(z, F.lit(0.0)), F.coalesce(a, F.lit(0.0))
+    z, a = F.coalesce(z, F.lit(0.0)) - TOLERANCE, F.coalesce(a, F.lit(0.0)) - TOLERANCE
     return (
         F.when((z > CRITICAL) & (p > PATTERN_CRITICAL), "critical").when((z > WARNING) & (p > PATTERN_WARNING), "warning").when((z > WATCH) | (a > ACCELERATED), "watch")
     )

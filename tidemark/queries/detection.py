@@ -26,7 +26,7 @@ def _alerts_sql(rows: str) -> str:
     return f"""
 SELECT CAST(date AS TIMESTAMP) AS timestamp, entity_id, 'watch' AS alert_level, coalesce(divergence_z, 0) AS divergence_score, coalesce(acceleration_z, 0) AS acceleration_score, 0.0 AS pattern_score,
   1 / (1 + exp(5 - (0.5 * abs(coalesce(divergence_z, 0)) + 0.3 * abs(coalesce(acceleration_z, 0))))) AS confidence
-FROM ({rows}) WHERE coalesce(divergence_z, 0) > 1.5 OR coalesce(acceleration_z, 0) > 2.0"""
+FROM ({rows}) WHERE coalesce(divergence_z, 0) - 1e-9 > 1.5 OR coalesce(acceleration_z, 0) - 1e-9 > 2.0"""
 
 
 define("alerted", _alerts_sql("SELECT * FROM zs WHERE rn = all_n"))

@@ -105,7 +105,7 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, ts, seq, price, volume) from events."""
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("ticker"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
