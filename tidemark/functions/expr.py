@@ -39,6 +39,15 @@ def min_max_score(x: Column | str, low: Column | str, high: Column | str) -> Col
 SHIFT = 1.37e-9
 
 
+#: Quotients by what may be nearly 0: from a size of 1000 on they are compared to one decimal.
+QUOTIENTS = frozenset(("hype_reality_ratio",))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """All doubles rounded, without negative zeros, so that results compare across engines."""
-    return df.select(*[(F.round(F.col(c) + SHIFT, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+    def one(c: str) -> Column:
+        fine = F.round(F.col(c) + SHIFT, digits) + F.lit(0.0)
+        return (F.when(F.abs(c) >= 1000, F.round(F.col(c) + SHIFT, 1)).otherwise(fine) if c in QUOTIENTS else fine).alias(c)
+
+    return df.select(*[one(c) if t == "double" else F.col(c) for c, t in df.dtypes])

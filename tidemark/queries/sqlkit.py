@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..functions.expr import SHIFT
+from ..functions.expr import QUOTIENTS, SHIFT
 
 #: Name to SQL. A later entry may read earlier ones.
 TABLES: dict[str, str] = {}
@@ -31,7 +31,12 @@ def oracle(select: str) -> str:
 
 def r(*columns: str) -> str:
     """Select items: doubles rounded as in ``functions.expr.rounded``."""
-    return ", ".join(f"round({c} + {SHIFT}, 6) + 0.0 AS {c}" for c in columns)
+
+    def one(c: str) -> str:
+        fine = f"round({c} + {SHIFT}, 6) + 0.0"
+        return f"CASE WHEN abs({c}) >= 1000 THEN round({c} + {SHIFT}, 1) ELSE {fine} END AS {c}" if c in QUOTIENTS else f"{fine} AS {c}"
+
+    return ", ".join(map(one, columns))
 
 
 def r_as(items: dict[str, str]) -> str:
