@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 from ..functions.expr import rounded
 from ..plans import features as ft
 from ..plans import indices as ix
+from ..session import materialised
 from ..sources import adapters as ad
 from .sqlkit import BUBBLE, COMBINED, CUT, ENTITY, HINDEX, RINDEX, change, oracle, over, r, r_as
 
 IDS = "time_id, date, entity_id, entity_name, entity_type"
 
 
-def daily_hype(spark: SparkSession, sf: str) -> DataFrame:
-    return ft.daily_hype(ad.hype_facts(spark, sf), ad.dim_time(spark, sf), ad.dim_entity(spark, sf))
+def daily_hype(spark: SparkSession, sf: str, dims=None) -> DataFrame:
+    dims = dims or ad.star(spark, sf)
+    return ft.daily_hype(ad.hype_facts(spark, sf, dims), *dims)
 
 
-def daily_reality(spark: SparkSession, sf: str) -> DataFrame:
-    return ft.daily_reality(ad.reality_facts(spark, sf), ad.dim_time(spark, sf), ad.dim_entity(spark, sf))
+def daily_reality(spark: SparkSession, sf: str, dims=None) -> DataFrame:
+    dims = dims or ad.star(spark, sf)
+    return ft.daily_reality(ad.reality_facts(spark, sf, dims), *dims)
 
 
 def combined(spark: SparkSession, sf: str) -> DataFrame:
-    return ft.combined_features(ft.hype_features(daily_hype(spark, sf)), ft.reality_features(daily_reality(spark, sf)))
+    dims = ad.star(spark, sf)
+    return ft.combined_features(ft.hype_features(daily_hype(spark, sf, dims)), ft.reality_features(daily_reality(spark, sf, dims)))
 
 
 def bubble(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,8 +70,11 @@ def range_avg(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def incr_bubble(spark: SparkSession, sf: str) -> DataFrame:
-    rows = combined(spark, sf)
-    old = bubble(spark, sf).where(F.col("date") <= F.lit(CUT).cast("date"))
+    return _incremental(materialised(combined(spark, sf)))
+
+
+def _incremental(rows: DataFrame) -> DataFrame:
+    old = ix.bubble_metrics(ix.both_indices(rows)).where(F.col("date") <= F.lit(CUT).cast("date"))
     new = ix.hype_index(rows, CUT, exact=False).drop("entity_count").join(ix.reality_index(rows, CUT, exact=False).drop("time_id", "entity_count"), "date")
     return ix.incremental_bubble(old, new)
 
@@ -75,7 +82,8 @@ def incr_bubble(spark: SparkSession, sf: str) -> DataFrame:
 def upsert_bubble(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.staging import upsert
 
-    return upsert(bubble(spark, sf), incr_bubble(spark, sf), ["date"])
+    rows = materialised(combined(spark, sf))
+    return upsert(ix.bubble_metrics(ix.both_indices(rows)), _incremental(rows), ["date"])
 
 
 def distinct_on(spark: SparkSession, sf: str) -> DataFrame:

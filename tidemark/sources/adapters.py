@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dims import calendar, number
-from ..session import table
+from ..session import materialised, table
 from .schemas import SOURCES
 
 _PERCENT = lambda c: F.round(F.col(c) * 100)
@@ -78,20 +78,24 @@ def dim_source(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i + 1, n, t) for i, (n, t) in enumerate(SOURCES)], "source_id int, source_name string, source_type string")
 
 
-def _keyed(signals: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    times = dim_time(spark, sf_dir).select("time_id", "date")
-    entities = dim_entity(spark, sf_dir).select("entity_id", "name", "entity_type")
-    return signals.join(times, "date").join(entities, ["name", "entity_type"])
+def star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The time and entity dimensions, built once; without them each use would scan the line items again."""
+    return materialised(dim_time(spark, sf_dir)), materialised(dim_entity(spark, sf_dir))
 
 
-def hype_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _keyed(signals: DataFrame, dims: tuple[DataFrame, DataFrame]) -> DataFrame:
+    times, entities = dims
+    return signals.join(times.select("time_id", "date"), "date").join(entities.select("entity_id", "name", "entity_type"), ["name", "entity_type"])
+
+
+def hype_facts(spark: SparkSession, sf_dir: str, dims: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(time_id, entity_id, source_id, signal_type, metric_name, metric_value), one row per signal."""
-    keyed = _keyed(hype_signals(sales(spark, sf_dir)), spark, sf_dir).join(F.broadcast(dim_source(spark)), "source_name")  # as many rows as SOURCES has
+    keyed = _keyed(hype_signals(sales(spark, sf_dir)), dims or star(spark, sf_dir)).join(F.broadcast(dim_source(spark)), "source_name")  # as many rows as SOURCES has
     return keyed.select("time_id", "entity_id", "source_id", F.col("kind").alias("signal_type"), "metric_name", "metric_value")
 
 
-def reality_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = _keyed(reality_signals(sales(spark, sf_dir)), spark, sf_dir)
+def reality_facts(spark: SparkSession, sf_dir: str, dims: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    keyed = _keyed(reality_signals(sales(spark, sf_dir)), dims or star(spark, sf_dir))
     return keyed.select("time_id", "entity_id", "metric_name", "metric_value", F.col("kind").alias("metric_unit"), F.col("source_name").alias("provenance"))
 
 
