@@ -27,7 +27,7 @@ from .common import WORD, cut, text_of
 BLOCK = 512
 #: Slots of one output shard.
 SHARD = 1024
-PART = 20_000
+PART = 4_000
 #: Slots generated from one row.
 RUN = 16_384
 ROUNDS = 24
@@ -136,7 +136,7 @@ def mix(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "do
     dealt = slots(planned(sources, block), block)
     uses = dealt.groupBy("rank", "block").agg(F.count_if("whole").alias("times"), F.max(F.when(~F.col("whole"), F.col("take"))).alias("cut_at"))
     last = F.least(F.greatest(F.coalesce("cut_at", F.lit(0)) - F.col("low"), F.lit(0)), F.col("words"))
-    taken = _pieces(rows, block, part).join(uses, ["rank", "block"]).groupBy("row").agg(F.sum(F.col("times") * F.col("words") + last).alias("taken"))
+    taken = _pieces(rows, block, part).join(uses.hint("merge"), ["rank", "block"]).groupBy("row").agg(F.sum(F.col("times") * F.col("words") + last).alias("taken"))
     return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
