@@ -21,6 +21,7 @@ an empty result; long lines and long conversations are taken whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, shards_for, text_of
 
 ROLES = ("system", "user", "assistant")
 STATES = [(r, opens) for opens in (True, False) for r in ROLES]
@@ -47,6 +48,7 @@ _MARKER = re.compile(rf"\s*[\[<|#*]*\s*({'|'.join(sorted(_ROLE_OF, key=len, reve
 MARKERS = ("none", *ROLES)
 LENGTHS = (0, 20, 60, 120, 250, 500, 1000)
 ENDS = ("", ".", "?", "!", ":")
+_END_OF = {e: i for i, e in enumerate(ENDS)}
 
 
 def marker(line: str) -> tuple[int, int]:
@@ -57,10 +59,11 @@ def marker(line: str) -> tuple[int, int]:
     return MARKERS.index(_ROLE_OF[m.group(1).lower()]), m.end()
 
 
-def observed(line: str) -> tuple[int, int, int]:
+def observed(line: str) -> tuple[int, int, int, int]:
+    """The marker, where the text after it begins, the class of its length, and how it ends."""
     mark, at = marker(line)
     body = line[at:].rstrip()
-    return mark, int(np.searchsorted(LENGTHS, len(body))), max(ENDS.index(body[-1]) if body and body[-1] in ENDS else 0, 0)
+    return mark, at, bisect_left(LENGTHS, len(body)), _END_OF.get(body[-1:], 0)
 
 
 @dataclass(frozen=True)
@@ -94,36 +97,40 @@ class Model:
         step /= step.sum(axis=1, keepdims=True)
         return cls(np.log(start / start.sum()), np.log(step), (np.log(marks), np.log(table("length", len(LENGTHS) + 1)), np.log(table("end", len(ENDS)))))
 
-    def scores(self, lines: list[str]) -> np.ndarray:
-        seen = np.array([observed(x) for x in lines]).reshape(-1, 3)
+    def scores(self, seen: np.ndarray) -> np.ndarray:
+        """Emission scores of lines (mark, length, end)."""
         return sum(e.T[seen[:, k]] for k, e in enumerate(self.emit))
 
-    def into(self, first: bool) -> np.ndarray:
-        """Scores of the step before a chunk's first line: from the states before it, or from the start alone."""
-        return np.vstack((self.start, np.full((len(STATES) - 1, len(STATES)), -np.inf))) if first else self.step
-
-    def matrix(self, lines: list[str], first: bool) -> np.ndarray:
-        """Best score from each state before the lines to each state of the last one."""
-        scores = self.scores(lines)
-        best = self.into(first) + scores[0]
-        for row in scores[1:]:
-            best = (best[:, :, None] + self.step[None]).max(axis=1) + row
+    def into(self, first: np.ndarray) -> np.ndarray:
+        """Scores of the step before each segment's first line: from the states before it, or from the start alone."""
+        start = np.vstack((self.start, np.full((len(STATES) - 1, len(STATES)), -np.inf)))
+        return np.where(first[:, None, None], start, self.step)
+
+    def matrices(self, scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Per segment the best score from each state before it to each state of its last line; all segments at once."""
+        best = self.into(first) + scores[starts][:, None, :]
+        for t in range(1, int(lengths.max(initial=0))):
+            on = np.nonzero(lengths > t)[0]
+            best[on] = (best[on][:, :, :, None] + self.step).max(axis=2) + scores[starts[on] + t][:, None, :]
         return best
 
-    def path(self, lines: list[str], first: bool, enter: int, leave: int | None = None) -> list[int]:
-        """The best states of the lines, given the state before them and, if known, the last one."""
-        scores = self.scores(lines)
-        best, back = self.into(first)[enter] + scores[0], []
-        for row in scores[1:]:
-            all_ways = best[:, None] + self.step
-            back.append(all_ways.argmax(axis=0))
-            best = all_ways.max(axis=0) + row
-        at = int(best.argmax()) if leave is None else leave
-        out = [at]
-        for b in reversed(back):
-            at = int(b[at])
-            out.append(at)
-        return out[::-1]
+    def paths(self, scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray, enter: np.ndarray, leave: np.ndarray | None = None) -> np.ndarray:
+        """The best states of all lines, given the state before each segment and, if known, its last one."""
+        best = self.into(first)[np.arange(len(starts)), enter] + scores[starts]
+        back, out = np.zeros(scores.shape, np.int8), np.zeros(len(scores), np.int8)
+        longest = int(lengths.max(initial=0))
+        for t in range(1, longest):
+            on = np.nonzero(lengths > t)[0]
+            ways = best[on][:, :, None] + self.step
+            back[starts[on] + t] = ways.argmax(axis=1)
+            best[on] = ways.max(axis=1) + scores[starts[on] + t]
+        at = best.argmax(axis=1) if leave is None else leave.copy()
+        out[starts + lengths - 1] = at
+        for t in range(longest - 1, 0, -1):
+            on = np.nonzero(lengths > t)[0]
+            at[on] = back[starts[on] + t, at[on]]
+            out[starts[on] + t - 1] = at[on]
+        return out
 
 
 def transcript(conversations: DataFrame) -> DataFrame:
@@ -133,6 +140,19 @@ def transcript(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", F.xxhash64("role", "text").alias("part"), F.posexplode(F.split(raw, "\n")).alias("line", "text"))
 
 
+def observe(lines: DataFrame) -> DataFrame:
+    """``lines`` with what is seen of each: marker, where the text after it begins, length and end."""
+    schema = ", ".join(f"{n} {t}" for n, t in lines.dtypes) + ", mark int, at int, length int, end int"
+
+    def run(frames):
+        for frame in frames:
+            seen = [observed(x) for x in frame["text"]]
+            told = pd.DataFrame(seen, columns=["mark", "at", "length", "end"], index=frame.index).astype("int32")
+            yield pd.concat((frame.assign(conv_id=frame["conv_id"].astype("Int64"), turn=frame["turn"].astype("Int64")), told), axis=1)
+
+    return lines.mapInPandas(run, schema)
+
+
 def _role_index(role: Column, opens: int) -> Column:
     known = F.lower(F.trim(role))
     column = F.lit(None).cast("int")
@@ -141,22 +161,18 @@ def _role_index(role: Column, opens: int) -> Column:
     return column
 
 
-def train(conversations: DataFrame) -> Model:
-    """Counts over all conversations with known roles; what comes to the driver is bounded by the model's tables."""
-    turns = conversations.select("conv_id", "turn", _role_index(F.col("role"), 1).alias("opens"), _role_index(F.col("role"), 0).alias("goes_on"), F.size(F.split(text_of(), "\n")).alias("lines")).where("opens is not null")
+def train(conversations: DataFrame, seen: DataFrame | None = None) -> Model:
+    """Counts over all conversations with known roles; what comes to the driver is bounded by the model's tables.
 
-    def seen(frames):
-        for frame in frames:
-            counts: dict[tuple[str, int, int], int] = {}
-            for state, text in zip(frame["state"], frame["text"]):
-                for kind, value in zip(("mark", "length", "end"), observed(text)):
-                    counts[kind, int(state), value] = counts.get((kind, int(state), value), 0) + 1
-            yield pd.DataFrame([(*k, v) for k, v in counts.items()], columns=["kind", "state", "value", "n"])
-
-    lines = transcript(conversations.where(_role_index(F.col("role"), 1).isNotNull()).withColumn("text", text_of()).withColumn("role", F.lower(F.trim("role"))))
-    named = conversations.select("conv_id", "turn", F.xxhash64(F.lower(F.trim("role")), text_of()).alias("part"), _role_index(F.col("role"), 1).alias("opens")).where("opens is not null").distinct()
+    ``seen``: the observed lines of the same conversations, if they are there already.
+    """
+    seen = observe(transcript(conversations)) if seen is None else seen
+    turns = conversations.select("conv_id", "turn", _role_index(F.col("role"), 1).alias("opens"), _role_index(F.col("role"), 0).alias("goes_on"), F.size(F.split(text_of(), "\n")).alias("lines")).where("opens is not null")
+    named = conversations.select("conv_id", "turn", F.xxhash64("role", "text").alias("part"), _role_index(F.col("role"), 1).alias("opens")).where("opens is not null").distinct()
     state = F.when(F.col("line") == 0, F.col("opens")).otherwise(F.col("opens") + len(ROLES)).alias("state")
-    emitted = lines.join(named, ["conv_id", "turn", "part"]).select(state, "text").mapInPandas(seen, "kind string, state int, value int, n long")
+    lines = seen.select("conv_id", "turn", "part", "line", "mark", "length", "end").join(named, ["conv_id", "turn", "part"]).select(state, "mark", "length", "end")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("mark", "length", "end")])).alias("o")
+    emitted = lines.groupBy("state", "mark", "length", "end").agg(F.count("*").alias("n")).select("state", each, "n").select("o.kind", "state", "o.value", "n")
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("opens").alias("next"))
     within = turns.where("lines > 1")
     steps = (
@@ -170,11 +186,24 @@ def train(conversations: DataFrame) -> Model:
     return Model.of({(r.kind, r.state, r.value): float(r.n) for r in counts})
 
 
-_ORDER = ["turn", "part", "line"]
+_ORDER = ["conv_id", "chunk", "turn", "part", "line"]
+#: Lines, and chunks, that one call of Python takes together.
+TOGETHER = 20_000
+
+
+def _segments(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """The lines in order, and where each (conv_id, chunk) starts and how long it is."""
+    frame = frame.sort_values(_ORDER, na_position="first", kind="stable").reset_index(drop=True)
+    conv, chunk = frame["conv_id"].astype("Int64"), frame["chunk"]
+    new = ((conv != conv.shift()).fillna(False) | (conv.isna() != conv.shift().isna()) | (chunk != chunk.shift())).to_numpy(bool)
+    new[:1] = True
+    starts = np.nonzero(new)[0]
+    return frame, starts, np.diff(np.append(starts, len(frame)))
 
 
 def decode(lines: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
-    """``conv_id, turn, line, role, continued, n_lines, text``: the recovered turns of transcripts (conv_id, turn, part, line, text)."""
+    """``conv_id, turn, line, role, continued, n_lines, text``: the recovered turns of observed lines (see :func:`observe`)."""
+    spark = lines.sparkSession
     cut_up = lines.withColumn("chunk", F.floor(F.coalesce("turn", F.lit(-1)) / chunk).cast("long"))
     firsts = cut_up.groupBy("conv_id").agg(F.min("chunk").alias("chunk")).withColumn("first", F.lit(True))
     keyed = cut(
@@ -182,49 +211,59 @@ def decode(lines: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
             *lines.columns, "chunk", F.coalesce("first", F.lit(False)).alias("first")
         )
     )
-    sort = lambda frame: frame.sort_values(_ORDER, na_position="first", kind="stable")
+    shards = shards_for(keyed.count(), TOGETHER, spark)
+    by_chunk = F.pmod(F.xxhash64("conv_id", "chunk"), F.lit(shards)).alias("shard")
+    by_conv = F.pmod(F.xxhash64("conv_id"), F.lit(shards)).alias("shard")
+    n = len(STATES)
 
     def best(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = sort(frame)
-        m = model.matrix(frame["text"].to_list(), bool(frame["first"].iloc[0]))
-        return pd.DataFrame({"conv_id": frame["conv_id"].iloc[:1].astype("Int64"), "chunk": frame["chunk"].iloc[:1], "m": [m.ravel()]})
+        frame, starts, lengths = _segments(frame)
+        head = frame.iloc[starts]
+        m = model.matrices(model.scores(frame[["mark", "length", "end"]].to_numpy()), starts, lengths, head["first"].to_numpy(bool))
+        return pd.DataFrame({"conv_id": head["conv_id"].astype("Int64").array, "chunk": head["chunk"].array, "m": list(m.reshape(len(m), -1))})
 
     def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("chunk")
-        n = len(STATES)
-        ms = [np.array(m).reshape(n, n) for m in frame["m"]]
-        at, backs = np.where(np.arange(n) == 0, 0.0, -np.inf), []
-        for m in ms:
-            ways = at[:, None] + m
-            backs.append(ways.argmax(axis=0))
-            at = ways.max(axis=0)
-        state, enter, leave = int(at.argmax()), [], []
-        for b in reversed(backs):
-            leave.append(state)
-            state = int(b[state])
-            enter.append(state)
-        return pd.DataFrame({"conv_id": frame["conv_id"].astype("Int64"), "chunk": frame["chunk"], "enter": enter[::-1], "leave": leave[::-1]})
+        frame, starts, lengths = _segments(frame.assign(turn=0, part=0, line=0))
+        conv = frame["conv_id"].astype("Int64")
+        new = ((conv != conv.shift()).fillna(False) | (conv.isna() != conv.shift().isna())).to_numpy(bool)
+        new[:1] = True
+        firsts, ms = np.append(np.nonzero(new)[0], len(frame)), frame["m"].to_list()
+        enter, leave = np.zeros(len(frame), np.int32), np.zeros(len(frame), np.int32)
+        for low, high in zip(firsts, firsts[1:]):
+            at, backs = np.where(np.arange(n) == 0, 0.0, -np.inf), []
+            for m in ms[low:high]:
+                ways = at[:, None] + np.asarray(m).reshape(n, n)
+                backs.append(ways.argmax(axis=0))
+                at = ways.max(axis=0)
+            state = int(at.argmax())
+            for i in range(high - 1, low - 1, -1):
+                leave[i] = state
+                state = int(backs[i - low][state])
+                enter[i] = state
+        return pd.DataFrame({"conv_id": conv, "chunk": frame["chunk"], "enter": enter, "leave": leave})
 
     def between(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = sort(frame)
-        texts = frame["text"].to_list()
-        path = model.path(texts, bool(frame["first"].iloc[0]), int(frame["enter"].iloc[0]), int(frame["leave"].iloc[0]))
-        out: list[list] = []
-        for turn, line, text, s in zip(frame["turn"], frame["line"], texts, path):
-            role, opens = STATES[s]
-            if opens or not out:
-                out.append([turn, line, role, not opens, []])
-            out[-1][4].append(text[marker(text)[1] :] if opens else text)
-        rows = pd.DataFrame(out, columns=["turn", "line", "role", "continued", "lines"])
-        rows["turn"] = rows["turn"].astype("Int64")
-        rows["conv_id"] = pd.array([frame["conv_id"].iloc[0]] * len(rows), "Int64")
-        rows["n_lines"], rows["text"] = rows["lines"].map(len), rows["lines"].map("\n".join)
-        return rows[["conv_id", "turn", "line", "role", "continued", "n_lines", "text"]]
-
-    matrices = keyed.groupBy("conv_id", "chunk").applyInPandas(best, "conv_id long, chunk long, m array<double>")
-    borders = cut(matrices.groupBy("conv_id").applyInPandas(chain, "conv_id long, chunk long, enter int, leave int"))
+        frame, starts, lengths = _segments(frame)
+        head = frame.iloc[starts]
+        path = model.paths(
+            model.scores(frame[["mark", "length", "end"]].to_numpy()), starts, lengths, head["first"].to_numpy(bool), head["enter"].to_numpy(int), head["leave"].to_numpy(int)
+        )
+        opens = path < len(ROLES)
+        turn_starts = np.union1d(np.nonzero(opens)[0], starts)
+        ends = np.append(turn_starts[1:], len(frame))
+        texts, at = frame["text"].to_list(), frame["at"].to_list()
+        joined = ["\n".join([texts[i][at[i] :] if opens[i] else texts[i], *texts[i + 1 : j]]) for i, j in zip(turn_starts, ends)]
+        own = frame.iloc[turn_starts]
+        return pd.DataFrame({
+            "conv_id": own["conv_id"].astype("Int64").array, "turn": own["turn"].astype("Int64").array, "line": own["line"].array, "role": [STATES[s][0] for s in path[turn_starts]],
+            "continued": ~opens[turn_starts], "n_lines": ends - turn_starts, "text": joined,
+        })
+
+    seen = ["conv_id", "chunk", "turn", "part", "line", "mark", "length", "end", "first"]
+    matrices = keyed.select(*seen, by_chunk).groupBy("shard").applyInPandas(best, "conv_id long, chunk long, m array<double>")
+    borders = cut(matrices.withColumn("shard", by_conv).groupBy("shard").applyInPandas(chain, "conv_id long, chunk long, enter int, leave int"))
     known = keyed.join(borders.withColumnsRenamed({"conv_id": "c", "chunk": "k"}), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k"))).drop("c", "k")
-    return known.groupBy("conv_id", "chunk").applyInPandas(between, "conv_id long, turn long, line int, role string, continued boolean, n_lines int, text string")
+    return known.withColumn("shard", by_chunk).groupBy("shard").applyInPandas(between, "conv_id long, turn long, line int, role string, continued boolean, n_lines int, text string")
 
 
 def rendered(turns: DataFrame) -> DataFrame:
@@ -235,4 +274,5 @@ def rendered(turns: DataFrame) -> DataFrame:
 def format_chats(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per recovered turn: ``conv_id, turn, line, role, continued, n_lines, rendered``."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return rendered(decode(transcript(rows), train(rows), chunk))
+    lines = cut(observe(transcript(rows)))
+    return rendered(decode(lines, train(rows, lines), chunk))
