@@ -39,6 +39,8 @@ SMALL = 8
 BLOCK = 512
 #: Rows of a class are mapped to it in this many parts.
 SALTS = 64
+#: Ids of candidates are sent to the scan of the texts up to this many (a few MB); beyond, texts are shuffled to them.
+FEW_IDS = 200_000
 #: Elements that are sketched together.
 CHUNK = 400_000
 
@@ -203,8 +205,8 @@ def near_components(docs: DataFrame, k: int, percent: int = 80, bands: int = BAN
     large = inside.where(f"c > {SMALL}")
     stars = large.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
     pairs = cut(pairs.unionByName(stars.select("p.a", "p.b").where("a < b")).distinct())
-    wanted = inside.select("id").distinct()
-    texts = docs.where("id is not null").join(wanted, "id", "left_semi")
+    wanted = cut(inside.select("id").distinct())
+    texts = docs.where("id is not null").join(F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted, "id", "left_semi")
     sets = cut(texts.mapInPandas(_set_partition(k), "id long, elements array<long>").dropDuplicates(["id"]))
     links = cut(_verified(pairs, sets, percent))
     roots = components(links)
