@@ -193,6 +193,15 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, []), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_a_question_held_twice(spark):
+    first, second = (ITEMS[5][1].replace("Tom", n).replace("3", a).replace("5", b) for n, a, b in (("Bob", "7", "9"), ("Joe", "8", "6")))
+    rows = [(0, first + ". And now " + second, "s"), (1, ITEMS[5][1] + ". " + first, "s"), (2, first.replace("then kept", "then soon kept") + ". " + second.replace("7", "1"), "s"), (3, first.replace("whether Bob then", "whether Ann then"), "s")]
+    b = spark.createDataFrame(ITEMS + ITEMS[5:], "item_id long, text string")
+    for d in (docs(spark, rows), docs(spark, rows + rows)):
+        found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()}
+        assert found == {(0, 6), (1, 6), (2, 6)} == decontaminate.brute_force([r[:2] for r in rows], ITEMS)
+
+
 # chat
 
 

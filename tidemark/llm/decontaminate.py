@@ -3,11 +3,13 @@
 Texts become tokens: runs of letters and digits. Numbers become ``<num>``, units ``<unit>``, capitalised words within a
 sentence ``<name>``, all other words themselves in lower case. Windows of ``WINDOW`` such tokens of the benchmark are
 hash-joined with those of the documents, so a question with other numbers or names still matches. The slots then
-decide: over all matched windows, one value in the item has to stand for one value in the document; an item counts
-if ``COVER`` of its windows are matched and ``CONSISTENT`` of its slots agree with such a mapping.
+decide: one value in the item has to stand for one value in the document; an item counts if ``COVER`` of its windows
+are matched and ``CONSISTENT`` of its slots agree with such a mapping. That is asked of all matched windows of the
+document together and of each occurrence by itself, as a document may hold a question twice with different values. An
+occurrence is a run of matches, in document order, along which the place in the item grows.
 
-The benchmark's window hashes are sent to the tasks as a filter only up to ``FEW_WINDOWS`` of them; beyond, all
-windows of the documents are shuffled and joined.
+The benchmark's windows are sent to the tasks, as a filter and for the join, only up to ``FEW_WINDOWS`` of them; beyond,
+all windows of the documents are shuffled and joined.
 
 Edge cases: null, empty or blank texts match nothing; items shorter than a window are one window of their own
 length, from ``SHORTEST`` tokens on (shorter ones say too little and match nothing); a window with fewer than
@@ -22,7 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -135,10 +137,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, few: int = FEW_WINDOWS) -> Data
     """(doc_id, item_id, matched, windows, cover, consistent) for each document and benchmark item that it holds."""
     items = cut(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null").mapInPandas(_window_rows([], True), _ROW))
     lengths = [r[0] for r in items.select("length").distinct().collect()]  # at most WINDOW - SHORTEST + 1 values
-    hashes = items.select("hash").distinct()
     wanted = None
-    if hashes.count() <= few:
-        wanted = np.sort(np.array([r[0] for r in hashes.collect()], np.int64))
+    if items.count() <= few:
+        wanted = np.sort(np.array([r[0] for r in items.select("hash").distinct().collect()], np.int64))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     if not lengths:
         texts = texts.limit(0)
@@ -146,14 +147,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, few: int = FEW_WINDOWS) -> Data
     of_items = items.select(F.col("id").alias("item_id"), "hash", F.col("at").alias("item_at"), "windows", F.col("slots").alias("item_slots"))
     met = found.join(F.broadcast(of_items) if wanted is not None else of_items, "hash")
     pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("doc_slots").alias("b"))
-    per = met.groupBy("doc_id", "item_id").agg(
-        F.count_distinct("item_at").alias("matched"), F.max("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
+    run = Window.partitionBy("doc_id", "item_id").orderBy("doc_at", "item_at")
+    before = F.lag("item_at").over(run)
+    again = (F.col("item_at") == before) & (F.col("doc_at") > F.lag("doc_at").over(run))
+    restart = F.when((F.col("item_at") < before) | again, 1).otherwise(0)
+    runs = met.withColumn("restart", restart).withColumn("occurrence", F.sum("restart").over(run))
+    each = runs.groupBy("doc_id", "item_id", "occurrence").agg(
+        F.collect_set("item_at").alias("places"), F.max("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
-    firsts, seconds = F.transform("pairs", lambda p: p["a"]), F.transform("pairs", lambda p: p["b"])
-    agreeing = F.size(F.array_distinct(firsts)), F.size(F.array_distinct(seconds))
-    share = F.when(F.size("pairs") == 0, 1.0).otherwise(F.least(*agreeing) / F.greatest(F.size("pairs"), F.lit(1)))
-    told = per.select("doc_id", "item_id", "matched", "windows", (F.col("matched") / F.col("windows")).alias("cover"), share.alias("consistent"))
-    return told.where((F.col("cover") >= COVER) & (F.col("consistent") >= CONSISTENT))
+    each = each.withColumn("told", _told(F.col("places"), F.col("windows"), F.col("pairs")))
+    together = _told(F.array_distinct(F.flatten("all_places")), F.col("windows"), F.array_distinct(F.flatten("all_pairs")))
+    per = each.groupBy("doc_id", "item_id").agg(
+        F.collect_list("places").alias("all_places"), F.max("windows").alias("windows"), F.collect_list("pairs").alias("all_pairs"), F.max("told").alias("best")
+    )
+    return per.select("doc_id", "item_id", "windows", F.greatest(together, "best").alias("told")).where("told.leaks").select("doc_id", "item_id", "told.matched", "windows", "told.cover", "told.consistent")
+
+
+def _told(places: Column, windows: Column, pairs: Column) -> Column:
+    """(leaks, cover, consistent, matched) of a set of matched windows and their pairs of slot values."""
+    agreeing = F.size(F.array_distinct(F.transform(pairs, lambda p: p["a"]))), F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"])))
+    share = F.when(F.size(pairs) == 0, 1.0).otherwise(F.least(*agreeing) / F.greatest(F.size(pairs), F.lit(1)))
+    cover = F.size(places) / windows
+    leak = (cover >= COVER) & (share >= CONSISTENT)
+    return F.struct(leak.alias("leaks"), cover.alias("cover"), share.alias("consistent"), F.size(places).alias("matched"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -182,13 +198,21 @@ def brute_force(docs: Iterable[tuple[int, str | None]], items: Iterable[tuple[in
             continue
         good = [i for i in range(len(tokens) - n + 1) if sum(c > NAME for c in codes[i : i + n]) >= min(WORDS, n)]
         for doc, own, own_codes in read:
-            matched, pairs = set(), set()
-            for j in range(len(own) - n + 1):
-                for i in good:
-                    if (own_codes[j : j + n] == codes[i : i + n]).all():
-                        matched.add(i)
-                        pairs |= set(zip(slots(tokens, codes, i, n), slots(own, own_codes, j, n)))
-            agree = min(len({a for a, _ in pairs}), len({b for _, b in pairs})) / len(pairs) if pairs else 1.0
-            if good and len(matched) / len(good) >= COVER and agree >= CONSISTENT:
-                out.add((doc, item))
+            met = [
+                (j, i, set(zip(slots(tokens, codes, i, n), slots(own, own_codes, j, n))))
+                for j in range(len(own) - n + 1)
+                for i in good
+                if (own_codes[j : j + n] == codes[i : i + n]).all()
+            ]
+            runs, last = [list(met)], None
+            for m in met:
+                if last is None or m[1] <= last:
+                    runs.append([])
+                runs[-1].append(m)
+                last = m[1]
+            for run in runs:
+                pairs = set().union(*(p for _, _, p in run))
+                agree = min(len({a for a, _ in pairs}), len({b for _, b in pairs})) / len(pairs) if pairs else 1.0
+                if good and len({i for _, i, _ in run}) / len(good) >= COVER and agree >= CONSISTENT:
+                    out.add((doc, item))
     return out
