@@ -31,18 +31,37 @@ def _named(daily: DataFrame, times: DataFrame, entities: DataFrame) -> DataFrame
     return daily.join(times.select("time_id", "date"), "time_id").join(entities.select("entity_id", F.col("name").alias("entity_name"), "entity_type"), "entity_id")
 
 
+def hype_aggs() -> list[Column]:
+    return [F.avg(_of(m)).alias(c) for m, (c, _) in HYPE.items()] + [F.count(F.when(F.col("metric_name") == m, 1)).alias(n) for m, (_, n) in HYPE.items()]
+
+
+def reality_aggs() -> list[Column]:
+    return [F.avg(_of(m)).alias(c) for m, c in REALITY.items()]
+
+
 def daily_hype(facts: DataFrame, times: DataFrame, entities: DataFrame) -> DataFrame:
     """Averages and counts per entity and day; aggregated before the dimensions are joined."""
-    aggs = [F.avg(_of(m)).alias(c) for m, (c, _) in HYPE.items()] + [F.count(F.when(F.col("metric_name") == m, 1)).alias(n) for m, (_, n) in HYPE.items()]
-    daily = facts.groupBy("entity_id", "time_id").agg(*aggs)
+    daily = facts.groupBy("entity_id", "time_id").agg(*hype_aggs())
     return _named(daily, times, entities).select(*KEYS, *[c for c, _ in HYPE.values()], *[n for _, n in HYPE.values()])
 
 
 def daily_reality(facts: DataFrame, times: DataFrame, entities: DataFrame) -> DataFrame:
-    daily = facts.groupBy("entity_id", "time_id").agg(*[F.avg(_of(m)).alias(c) for m, c in REALITY.items()])
+    daily = facts.groupBy("entity_id", "time_id").agg(*reality_aggs())
     return _named(daily, times, entities).select(*KEYS, *REALITY.values())
 
 
+def daily_of_signals(signals: DataFrame, aggs: list[Column], times: DataFrame, entities: DataFrame) -> DataFrame:
+    """As :func:`daily_hype` or :func:`daily_reality` of the facts of these signals, without keying each signal.
+
+    Signals (date, entity_type, name, metric_name, metric_value) are aggregated by their natural keys, within each task
+    first, so the dimensions meet one row per entity and day.
+    """
+    daily = signals.groupBy("entity_type", "name", "date").agg(*aggs)
+    known = entities.select("entity_id", F.col("name").alias("entity_name"), "entity_type")
+    met = daily.withColumnRenamed("name", "entity_name").join(known, ["entity_name", "entity_type"]).join(times.select("time_id", "date"), "date")
+    return met.select(*KEYS, *[c for c in daily.columns if c not in ("entity_type", "name", "date")])
+
+
 def by_entity(order: str = "date") -> "Window":
     return Window.partitionBy("entity_id").orderBy(order)
 

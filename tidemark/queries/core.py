@@ -16,13 +16,17 @@ IDS = "time_id, date, entity_id, entity_name, entity_type"
 
 
 def daily_hype(spark: SparkSession, sf: str, dims=None) -> DataFrame:
-    dims = dims or ad.star(spark, sf)
-    return ft.daily_hype(ad.hype_facts(spark, sf, dims), *dims)
+    return ft.daily_of_signals(ad.hype_signals(ad.sales(spark, sf)), ft.hype_aggs(), *(dims or ad.star(spark, sf)))
 
 
 def daily_reality(spark: SparkSession, sf: str, dims=None) -> DataFrame:
-    dims = dims or ad.star(spark, sf)
-    return ft.daily_reality(ad.reality_facts(spark, sf, dims), *dims)
+    return ft.daily_of_signals(ad.reality_signals(ad.sales(spark, sf)), ft.reality_aggs(), *(dims or ad.star(spark, sf)))
+
+
+def star_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily hype from the fact table, keyed row by row."""
+    dims = ad.star(spark, sf)
+    return ft.daily_hype(ad.hype_facts(spark, sf, dims), *dims)
 
 
 def combined(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,7 +146,7 @@ def _rounding(f):
 QUERIES = {k: _rounding(f) for k, f in {
     "daily_hype": daily_hype,
     "daily_reality": daily_reality,
-    "star_join": daily_hype,
+    "star_join": star_join,
     "hype_features": lambda s, d: ft.hype_features(daily_hype(s, d)),
     "reality_features": lambda s, d: ft.reality_features(daily_reality(s, d)),
     "combined_features": combined,

@@ -146,7 +146,7 @@ def _sent(name: str, rows: str) -> None:
 
 
 _sent("docsent", "SELECT doc_id AS k, text AS t FROM documents")
-define("article", "SELECT doc_id, source AS company, DATE '2024-01-01' + CAST(doc_id % 90 AS INT) AS published, trim(substr(text, 1, 80), ' ') AS title, trim(substr(text, 81, 400), ' ') AS description, substr(text, 1, 80) || ' ' || substr(text, 81, 400) AS raw, lang FROM documents")
+define("article", "SELECT doc_id, source AS company, DATE '2024-01-01' + CAST(doc_id % 90 AS INT) AS published, trim(substr(text, 1, 80), ' ') AS title, trim(substr(text, 81), ' ') AS description, substr(text, 1, 80) || ' ' || substr(text, 81) AS raw, lang FROM documents")
 _sent("newsent", "SELECT doc_id AS k, raw AS t FROM article")
 define("post", "SELECT conv_id, turn, role, substr(text, 1, 60) || ' ' || text AS whole, length(text) % 100 - 1 AS score, text, conv_id || '/' || turn AS k FROM conversations")
 _sent("postsent", "SELECT k, text AS t FROM post")

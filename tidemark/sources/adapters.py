@@ -116,7 +116,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(
         "doc_id", F.col("source").alias("company"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int")).alias("published"), F.substring("text", 1, 80).alias("title"),
-        F.substring("text", 81, 400).alias("description"), F.col("lang").alias("source"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"),
+        F.expr("substring(text, 81)").alias("description"), F.col("lang").alias("source"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"),
     )
 
 
