@@ -110,6 +110,16 @@ def test_html_template_slots(spark):
     assert sorted(r.text for r in got) == [f"Own words {i} with a link in them" for i in range(5)]
 
 
+def test_html_template_of_part_of_a_host(spark):
+    """Null, empty, cut and error pages of a host do not end its template."""
+    page = '<html><body><div id="x1"><a href=1>Home page</a> <a href=2>Contact us</a></div><div id="x2">Same words on every page</div><div id="x3"><p>Own words {n} with <a href=3>a link</a> in them</p></div></body></html>'
+    rows = [(i, f"http://h.example/{i}", page.format(n=i)) for i in range(5)]
+    rows += [(10, "http://h.example/a", None), (11, "http://h.example/b", ""), (12, "http://h.example/c", "<html><body><h1>Not found</h1></body></html>"), (13, "http://h.example/d", page[:130])]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert [got[i] for i in range(5)] == [f"Own words {i} with a link in them" for i in range(5)]
+    assert (got[10], got[11], got[12]) == ("", "", "Not found") and "Home page" not in got[13]
+
+
 def test_html_hot_host_in_parts(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "PAGES", 3)
     rows = [(i, f"http://h.example/{i}", PAGE.format(n=i)) for i in range(40)]

@@ -4,12 +4,13 @@ A page's tokens are its elements, each named by its path of tags with their clas
 host every token has an occurrence vector: how often it occurs on each page. Tokens with equal vectors form a class;
 vectors are compared by a fingerprint (an exclusive or of hashes of page and count) that merges by aggregation, so
 no host's pages meet in one task. The class that occurs once on every page is the root of the template; classes that
-occur on every page, several times, are its repeated parts; both are nested by their paths. What lies between the
-tokens of the root class are the slots. A slot is left out if a token of its path says so (navigation, header, footer, sidebar,
+occur once on each of at least ``SAME_PAGES`` pages are parts of it that some pages lack (an error page, a cut one, another layout);
+both are nested by their paths. What lies between their tokens are the slots, and a block belongs to the innermost. A slot is left out if a token of its path says so (navigation, header, footer, sidebar,
 notice, advert, form, script, reader comments), if most of its text is in links, or if its text is the same on all of at
 least three pages; where the template has an ``article`` or ``main`` slot, only the text in it is taken.
 
-A template is found for pages whose host has one page too; its tokens then all form the root class, and the paths
+Pages without elements (null, empty, bare text) are no pages of a template. A class of a single token on a part of the pages is judged by its
+text only, not by its links. A template is found for pages whose host has one page too; its tokens then all form the root class, and the paths
 alone decide.
 
 Edge cases: null or empty html gives the empty text; a null url is a host of its own; a page without tags is one block;
@@ -206,6 +207,8 @@ def _page_tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[str, str], list] = {}
         for host, key, page in zip(frame["host"], frame["key"], frame["html"]):
             paths, blocks = parse(page)
+            if not paths:
+                continue
             own: dict[str, list] = {"": [1, 0, 0, 0, []]}
             for i, path in enumerate(paths):
                 t = own.setdefault("/".join(path), [0, i, 0, 0, []])
@@ -241,13 +244,17 @@ def _tokens(pages: DataFrame) -> DataFrame:
 def templates(tokens: DataFrame) -> DataFrame:
     """(host, token, kind, constant, linked, place) for the tokens of each host's template.
 
-    ``kind`` is ``root`` for the class that occurs once on every page and ``repeated`` for classes that occur on every
-    page; tokens of other classes are content of the slots that they lie in and are not listed.
+    Tokens of a host with the same vector, by number of pages and fingerprint, are one class. ``kind`` is ``root`` for
+    the class that occurs once on every page, ``part`` for classes of enough support that occur once on each of some
+    pages, and ``single`` for such a class of one token. Tokens of other classes are content of the slots that they lie
+    in and are not listed.
     """
     root = tokens.where("token = ''").select(F.col("host").alias("root_host"), F.col("pages").alias("all_pages"), F.col("print").alias("root_print"))
-    met = tokens.join(root, F.col("host") == F.col("root_host"))
-    whole = F.col("pages") == F.col("all_pages")
-    kind = F.when(whole & (F.col("print") == F.col("root_print")) & (F.col("most") == 1), "root").when(whole, "repeated")
+    classes = tokens.groupBy(F.col("host").alias("class_host"), F.col("pages").alias("support"), F.col("print").alias("class_print")).agg(F.count("*").alias("members"), F.max("most").alias("times"))
+    same = (F.col("host") == F.col("class_host")) & (F.col("pages") == F.col("support")) & (F.col("print") == F.col("class_print"))
+    met = tokens.join(classes.where("times = 1"), same).join(root, F.col("host") == F.col("root_host"))
+    whole = (F.col("support") == F.col("all_pages")) & (F.col("class_print") == F.col("root_print"))
+    kind = F.when(whole, "root").when(F.col("support") >= SAME_PAGES, F.when(F.col("members") > 1, "part").otherwise("single"))
     constant = (F.col("pages") >= SAME_PAGES) & (F.col("low") == F.col("high"))
     share = F.when(F.col("chars") > 0, F.col("linked") / F.col("chars")).otherwise(0.0)
     return met.select("host", "token", kind.alias("kind"), constant.alias("constant"), share.alias("linked"), (F.col("place") / F.col("pages")).alias("place")).where("kind is not null")
@@ -261,10 +268,10 @@ def chosen(blocks: list[Block], tokens: dict[str, tuple[str, bool, float]]) -> l
         if in_dropped(b.path):
             continue
         inside = any(_says_main(s) for s in b.path)
-        slot = next((t for n in range(len(b.path), 0, -1) if (t := "/".join(b.path[:n])) in tokens and tokens[t][0] == "root"), None)
+        slot = next((t for n in range(len(b.path), 0, -1) if (t := "/".join(b.path[:n])) in tokens), None)
         if not inside and slot is not None:
-            _, constant, linked = tokens[slot]
-            if constant or linked >= LINKED:
+            kind, constant, linked = tokens[slot]
+            if constant or (linked >= LINKED and kind != "single"):
                 continue
         other.append(b.text)
         if inside:
