@@ -120,6 +120,20 @@ def test_html_template_of_part_of_a_host(spark):
     assert (got[10], got[11], got[12]) == ("", "", "Not found") and "Home page" not in got[13]
 
 
+def test_html_keeps_article_text(spark):
+    """Words of classes and ids of an article's own parts, and words in other attributes, cut nothing."""
+    body = (
+        '<header class="entry-header"><h1>Head</h1></header><h2 id="how-to-search">Two</h2><section id="related-work">Three</section><p class="notice">Four</p>'
+        '<div id="form-factor">Five</div><p title="a hidden gem">Six</p><section data-id="search">Seven</section><p>Eight <a href="/hidden-x">and</a> on</p>'
+    )
+    want = "Head\nTwo\nThree\nFour\nFive\nSix\nSeven\nEight and on"
+    rows = [(1, "http://a.example", f'<body><div class="has-sidebar"><article class="post share-on">{body}<nav>n</nav><div class="comments">c</div></article></div>')]
+    rows += [(2, "http://b.example", '<body><h2 id="how-to-search">Two</h2><p title="a hidden gem">Six</p><section data-id="search">Seven</section>')]
+    rows += [(i, "http://copies.example", "<body><div><p>The one article</p></div>") for i in (3, 4, 5, 5)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got == {1: want, 2: "Two\nSix\nSeven"} | dict.fromkeys((3, 4, 5), "The one article")
+
+
 def test_html_hot_host_in_parts(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "PAGES", 3)
     rows = [(i, f"http://h.example/{i}", PAGE.format(n=i)) for i in range(40)]

@@ -7,7 +7,8 @@ no host's pages meet in one task. The class that occurs once on every page is th
 occur once on each of at least ``SAME_PAGES`` pages are parts of it that some pages lack (an error page, a cut one, another layout);
 both are nested by their paths. What lies between their tokens are the slots, and a block belongs to the innermost. A slot is left out if a token of its path says so (navigation, header, footer, sidebar,
 notice, advert, form, script, reader comments), if most of its text is in links, or if its text is the same on all of at
-least three pages; where the template has an ``article`` or ``main`` slot, only the text in it is taken.
+least three pages of different content; where the page has an ``article`` or ``main`` slot, only the text in it is taken. In such a
+slot only telling elements and whole class names (and ids of containers) leave text out, not single words of them.
 
 Pages without elements (null, empty, bare text) are no pages of a template. A class of a single token on a part of the pages is judged by its
 text only, not by its links. A template is found for pages whose host has one page too; its tokens then all form the root class, and the paths
@@ -23,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -36,12 +38,12 @@ from .common import cut
 PAGES, FEW_HOSTS = 1_000, 100_000
 #: From this share of linked text on, a slot outside of an article is a menu.
 LINKED = 0.6
-#: A slot's text has to be the same on at least so many pages to be part of the template.
+#: A slot's text has to be the same on at least so many pages of different content to be part of the template.
 SAME_PAGES = 3
 
 _TOKENS = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)", re.S)
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
-_MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTES = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[A-Za-z]+")
 
 #: Element names of HTML by what they mean here.
@@ -58,6 +60,13 @@ DROPPED_WORDS = frozenset(
     "notice banner popup modal overlay newsletter subscribe signup login search form comment comments disqus replies respond breadcrumb breadcrumbs pagination pager "
     "share sharing social related recommended widget toolbar skip copyright contentinfo complementary alert hidden".split()
 )
+#: Whole class names, roles and ids of containers that are no part of an article that they lie in.
+DROPPED_IN_MAIN = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs pagination sidebar aside complementary ad ads advert advertisement comments comment-list disqus disqus_thread "
+    "respond replies hidden".split()
+)
+#: Elements that hold text themselves; single words of their marks and their ids (targets of links) say nothing.
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre figure figcaption td th caption summary".split())
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset(("article", "main"))
 
@@ -71,17 +80,23 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+@lru_cache(100_000)
 def _step(tag: str, name: str) -> str:
-    """The step of a path for a start tag: its name, with the words of class, id and role that have a meaning."""
+    """The step of a path for a start tag: its name, with the words of class, role and, after a #, id."""
     if len(tag) == len(name) + 2:
         return name
-    words = []
-    for key, a, b, c in _MARKS.findall(tag):
+    words, seen = [], set()
+    for key, a, b, c in _ATTRIBUTES.findall(tag, len(name) + 1):
         key, value = key.lower(), a or b or c
+        if key in seen:
+            continue
+        seen.add(key)
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
             words.append("hidden")
-        elif key in ("class", "id", "role"):
+        elif key in ("class", "role"):
             words += value.lower().split()
+        elif key == "id":
+            words += ["#" + w for w in value.lower().split()]
     return name + "".join(f".{w}" for w in sorted(set(words)))
 
 
@@ -167,27 +182,52 @@ def parse(page: str | None) -> tuple[list[tuple[str, ...]], list[Block]]:
             pop_to(len(stack) - 1)
             continue
         step = _step(tag, name)
-        if "." in step and name not in BLOCKS and _says_no(step):
+        if "." in step and name not in BLOCKS and _says_no(step, False):
             flush()
         push(name, step)
     flush()
     return paths, blocks
 
 
-def _says_no(step: str) -> bool:
+def _marks(step: str) -> tuple[str, list[str]]:
+    """The name of a step and its marks; ids of elements that hold text are left out."""
     name, *marks = step.split(".")
-    return name in DROPPED_TAGS or any(w in DROPPED_WORDS for mark in marks for w in _WORDS.findall(mark))
+    return name, [m.removeprefix("#") for m in marks if not (m.startswith("#") and name in TEXT_TAGS)]
+
+
+def _says_no(step: str, words: bool = True) -> bool:
+    """Whether a step is boilerplate by its element or marks: by single words of containers' marks, or by whole marks only."""
+    name, marks = _marks(step)
+    if name in DROPPED_TAGS or any(m in DROPPED_WORDS for m in marks):
+        return True
+    return words and name not in TEXT_TAGS and any(w in DROPPED_WORDS for m in marks for w in _WORDS.findall(m))
+
+
+def _says_no_in_main(step: str) -> bool:
+    name, marks = _marks(step)
+    return (name in DROPPED_TAGS and name != "header") or any(m in DROPPED_IN_MAIN for m in marks)
 
 
 def _says_main(step: str) -> bool:
-    name, *marks = step.split(".")
-    return name in MAIN_TAGS or any(mark in MAIN_WORDS for mark in marks)
+    name, marks = _marks(step)
+    return name in MAIN_TAGS or any(m in MAIN_WORDS for m in marks)
+
 
+@lru_cache(100_000)
+def in_main(path: tuple[str, ...]) -> bool:
+    return any(_says_main(s) for s in path)
 
+
+@lru_cache(100_000)
 def in_dropped(path: tuple[str, ...]) -> bool:
-    """Whether a step of the path is boilerplate; a heading's ``header`` inside an article is part of it."""
-    main = next((i for i, s in enumerate(path) if _says_main(s)), len(path))
-    return any(_says_no(s) and not (i > main and s == "header") for i, s in enumerate(path) if s.split(".")[0] not in ("html", "body"))
+    """Whether a step of the path is boilerplate; around an article only whole marks say so, in it only telling ones."""
+    main = next((i for i, s in enumerate(path) if _says_main(s)), None)
+    for i, s in enumerate(path):
+        if s.split(".")[0] in ("html", "body"):
+            continue
+        if _says_no(s, main is None) if main is None or i < main else _says_no_in_main(s):
+            return True
+    return False
 
 
 def host_of():
@@ -198,7 +238,7 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-_TOKEN_ROW = "host string, token string, pages long, least int, most int, print long, place double, chars long, linked long, low long, high long"
+_TOKEN_ROW = "host string, token string, pages long, least int, most int, print long, place double, chars long, linked long, low long, high long, contents array<long>"
 
 
 def _page_tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,6 +249,7 @@ def _page_tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             paths, blocks = parse(page)
             if not paths:
                 continue
+            content = _hash("\n".join(b.text for b in blocks))
             own: dict[str, list] = {"": [1, 0, 0, 0, []]}
             for i, path in enumerate(paths):
                 t = own.setdefault("/".join(path), [0, i, 0, 0, []])
@@ -221,7 +262,7 @@ def _page_tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     t[4].append(b.text)
             for token, (n, place, chars, linked, texts) in own.items():
                 same = _hash("\n".join(texts))
-                t = seen.setdefault((host, token), [0, n, n, 0, 0.0, 0, 0, same, same])
+                t = seen.setdefault((host, token), [0, n, n, 0, 0.0, 0, 0, same, same, []])
                 t[0] += 1
                 t[1], t[2] = min(t[1], n), max(t[2], n)
                 t[3] ^= _hash(f"{key} {n}")
@@ -229,6 +270,8 @@ def _page_tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 t[5] += chars
                 t[6] += linked
                 t[7], t[8] = min(t[7], same), max(t[8], same)
+                if len(t[9]) < SAME_PAGES and content not in t[9]:
+                    t[9].append(content)
         yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=[c.split()[0] for c in _TOKEN_ROW.split(", ")])
 
 
@@ -238,6 +281,7 @@ def _tokens(pages: DataFrame) -> DataFrame:
     return rows.mapInPandas(_page_tokens, _TOKEN_ROW).groupBy("host", "token").agg(
         F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), F.bit_xor("print").alias("print"), F.sum("place").alias("place"),
         F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("contents")))).alias("contents"),
     )
 
 
@@ -255,7 +299,7 @@ def templates(tokens: DataFrame) -> DataFrame:
     met = tokens.join(classes.where("times = 1"), same).join(root, F.col("host") == F.col("root_host"))
     whole = (F.col("support") == F.col("all_pages")) & (F.col("class_print") == F.col("root_print"))
     kind = F.when(whole, "root").when(F.col("support") >= SAME_PAGES, F.when(F.col("members") > 1, "part").otherwise("single"))
-    constant = (F.col("pages") >= SAME_PAGES) & (F.col("low") == F.col("high"))
+    constant = (F.col("contents") >= SAME_PAGES) & (F.col("low") == F.col("high"))
     share = F.when(F.col("chars") > 0, F.col("linked") / F.col("chars")).otherwise(0.0)
     return met.select("host", "token", kind.alias("kind"), constant.alias("constant"), share.alias("linked"), (F.col("place") / F.col("pages")).alias("place")).where("kind is not null")
 
@@ -267,7 +311,7 @@ def chosen(blocks: list[Block], tokens: dict[str, tuple[str, bool, float]]) -> l
     for b in blocks:
         if in_dropped(b.path):
             continue
-        inside = any(_says_main(s) for s in b.path)
+        inside = in_main(b.path)
         slot = next((t for n in range(len(b.path), 0, -1) if (t := "/".join(b.path[:n])) in tokens), None)
         if not inside and slot is not None:
             kind, constant, linked = tokens[slot]
