@@ -48,6 +48,16 @@ def test_pii_base_spans(spark):
     assert extra[6] == ["iban:8:35", "iban:40:62"] and extra[7] == ["ssn:5:16"]
 
 
+def test_pii_iban_ends_where_its_country_says(spark):
+    """A word, capital or digit after the IBAN is not read as part of it."""
+    texts = {
+        "DE89 3704 0044 0532 0130 00 Please": "iban:0:27", "GB82WEST12345698765432 BIC WESTGB2L": "iban:0:22", "DE89370400440532013000 I": "iban:0:22", "pay NO9386011117947 7 of 9": "iban:4:19",
+        "DE89370400440532013000 DE89370400440532013000": "iban:0:22,iban:23:45", "DE893704004405320130001": "", "DE89 3704 0044 0532 0130 01": "", "ZZ89370400440532013000": "", "MT84MALT011000012345MTLCAST001S": "iban:0:31",
+    }
+    got = pii.digest(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    assert [",".join(x for x in r.spans.split(",") if x.startswith("iban")) for r in got] == list(texts.values())
+
+
 def test_pii_redacts(spark):
     out = pii.redact(docs(spark, [(1, "to a@b.cd or 4111 1111 1111 1111.", "s"), (2, None, "s")])).collect()
     assert [r.text for r in out] == ["to [email] or [card].", ""]

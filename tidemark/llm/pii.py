@@ -9,7 +9,7 @@ recurses on long runs; their matches equal those of the plain patterns
 * phone ``\+[0-9][\x20().0-9-]+[0-9]``, 9 to 15 digits
 
 These four are the base kinds: what their check confirms stays, whatever its score. The method adds ``iban`` (two
-capitals, two digits, 11 to 30 more capitals or digits; mod 97 gives 1) and ``ssn`` (``ddd-dd-dddd``), which need
+capitals, two digits, and as many capitals or digits as the country's IBANs have, 11 to 30 where it is not listed; mod 97 gives 1) and ``ssn`` (``ddd-dd-dddd``), which need
 a score of ``KEEP`` or more: an IBAN has it by its checksum, an SSN needs a context word.
 
 Edge cases: a null text counts as empty; an empty text has no spans and the digest of the empty string; repeated
@@ -30,6 +30,18 @@ CONTEXT = 40
 KEEP = 0.5
 BOOST = 0.3
 
+#: Characters of an IBAN after country and check digits, by country; the match ends where the IBAN ends.
+IBAN_REST = {
+    11: "NO", 12: "BE", 14: "DK FI FK FO GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU MN XK", 17: "CH HR LI LV", 18: "BG BH CR DE GB GE IE ME RS VA",
+    19: "AE GI IL IQ OM SO TL", 20: "AD CZ ES MD PK RO SA SE SK TN VG", 21: "AO CV GW LY MZ PT ST", 22: "DZ IR IS TR", 23: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    24: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 25: "BR EG PS QA UA", 26: "JO KW MU YE", 27: "MT SC", 28: "LC", 29: "RU",
+}
+_LISTED = "|".join(sorted(" ".join(IBAN_REST.values()).split()))
+#: Countries that are not listed keep the longest match.
+_IBAN = "|".join(
+    [rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n}}}" for n, c in IBAN_REST.items()] + [rf"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+"]
+)
+
 
 def digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
@@ -84,7 +96,7 @@ KINDS = (
     Kind("ip", r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}", True, 0.6, "ip|server|host|address|addr", "[0-9]"),
     Kind("card", r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])", True, 0.6, "card|visa|credit|payment|pay", "[0-9]"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", True, 0.6, "phone|call|tel|fax|mobile", r"\+[0-9]"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", False, 0.6, "iban|account|bank", "[A-Z]{2}[0-9]{2}"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])", False, 0.6, "iban|account|bank", "[A-Z]{2}[0-9]{2}"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", False, 0.3, "ssn|social security", "[0-9]-[0-9]"),
 )
 
