@@ -226,6 +226,17 @@ def test_decontamination_of_a_question_held_twice(spark):
         assert found == {(0, 6), (1, 6), (2, 6)} == decontaminate.brute_force([r[:2] for r in rows], ITEMS)
 
 
+def test_decontamination_finds_verbatim_copies(spark):
+    """Items that are short, dense in numbers or names, or without spaces, and long excerpts of long items."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(59)]
+    items = [(1, "Two plus two"), (2, "12 + 30 = 42, 7 + 8 = 15, 9 + 1 = 10"), (3, "Anna Berg, Carl Dorn, Eva Falk, Gus Holm, Ida Jung"), (4, "今天天气很好我们一起去公园散步"), (5, " ".join(words)), (6, None), (7, "!?")]
+    rows = [(1, "so two plus two it is"), (2, "see 12 + 30 = 42, 7 + 8 = 15, 9 + 1 = 10 there"), (3, "here: " + items[2][1]), (4, "他说今天天气很好我们一起去公园散步吧"), (5, "x y " + " ".join(words[10:35]) + " z")]
+    rows += [(6, "see 13 + 30 = 42, 7 + 8 = 15, 9 + 1 = 11 there"), (7, " ".join(words[:12])), (8, "两个 plus"), (9, None), (10, "")]
+    d, b = docs(spark, [(*r, "s") for r in rows]), spark.createDataFrame(items, "item_id long, text string")
+    for few in (10**6, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b, few).collect()} == {(i, i) for i in range(1, 6)} == decontaminate.brute_force(rows, items)
+
+
 # chat
 
 

@@ -8,12 +8,16 @@ are matched and ``CONSISTENT`` of its slots agree with such a mapping. That is a
 document together and of each occurrence by itself, as a document may hold a question twice with different values. An
 occurrence is a run of matches, in document order, along which the place in the item grows.
 
+Beside the templates stands an exact path for every item: runs of ``RUN`` raw tokens (the words as they are, in lower
+case; single characters in scripts without spaces), the whole item if it is shorter. One run that a document holds
+is enough, whatever its cover and however few ordinary words it has.
+
 The benchmark's windows are sent to the tasks, as a filter and for the join, only up to ``FEW_WINDOWS`` of them; beyond,
 all windows of the documents are shuffled and joined.
 
 Edge cases: null, empty or blank texts match nothing; items shorter than a window are one window of their own
-length, from ``SHORTEST`` tokens on (shorter ones say too little and match nothing); a window with fewer than
-``WORDS`` words between its slots is no evidence; repeated benchmark items and repeated rows give the same answer once
+length, from ``SHORTEST`` tokens on (shorter ones match verbatim only, so an item of one word matches every text with that word);
+a window with fewer than ``WORDS`` words between its slots is no evidence by itself; repeated benchmark items and repeated rows give the same answer once
 per row's id; a null ``doc_id`` is never reported; long texts are read whole.
 """
 
@@ -33,6 +37,8 @@ from .near_dedup import WordHashes, mix
 WINDOW = 8
 SHORTEST = 5
 WORDS = 4
+#: Raw tokens in a row that are a leak by themselves.
+RUN = 13
 COVER = 0.5
 CONSISTENT = 0.8
 FEW_WINDOWS = 1_000_000
@@ -45,10 +51,26 @@ UNITS = frozenset(
 )
 NUM, UNIT, NAME = (np.uint64(x) for x in (1, 2, 3))
 _TOKEN = re.compile(r"[^\W_]+")
+#: Letters of scripts that are written without spaces: Thai to Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _NUMBER = re.compile(r"\d+(?:st|nd|rd|th)?")
 _ENDS = re.compile(r"[.!?:;\n\"|]")
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+class Raw(WordHashes):
+    """The code of a token as it is, in lower case; the same as an ordinary word's."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = code = Canon.word(token.lower())
+        return code
+
+
 class Canon(WordHashes):
     """The code of a token inside a sentence: a placeholder's, or the hash of the word in lower case."""
 
@@ -87,6 +109,46 @@ def template(text: str | None, canon: Canon) -> tuple[list[str], np.ndarray]:
     return tokens, codes
 
 
+def raw_tokens(tokens: list[str]) -> list[str]:
+    """The tokens with scripts without spaces taken character by character."""
+    out: list[str] = []
+    for token in tokens:
+        if token.isascii() or not _UNSPACED.search(token):
+            out.append(token)
+        else:
+            out += [t for t in re.split(f"({_UNSPACED.pattern})", token) if t]
+    return out
+
+
+def raw_codes(text: str | None, tokens: list[str], codes: np.ndarray, raw: Raw) -> np.ndarray:
+    """Codes of the raw tokens; ordinary words have theirs already."""
+    if text and not text.isascii() and _UNSPACED.search(text):
+        split = raw_tokens(tokens)
+        return np.fromiter(map(raw.__getitem__, split), np.uint64, len(split))
+    placed = np.nonzero(codes <= NAME)[0]
+    if placed.size:
+        codes = codes.copy()
+        codes[placed] = [raw[tokens[i]] for i in placed]
+    return codes
+
+
+class Runs:
+    """Hashes of the runs of any length of one text, from sums of powers."""
+
+    def __init__(self, codes: np.ndarray):
+        n = len(codes)
+        with np.errstate(over="ignore"):
+            self.sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(mix(codes) * np.cumprod(np.full(n, _BASE, np.uint64), dtype=np.uint64), out=self.sums[1:])
+            self.back = np.cumprod(np.full(n, _INVERSE, np.uint64), dtype=np.uint64)
+
+    def hashes(self, n: int) -> np.ndarray:
+        if len(self.back) < n:
+            return np.empty(0, np.int64)
+        with np.errstate(over="ignore"):
+            return mix((self.sums[n:] - self.sums[:-n]) * self.back[: len(self.back) - n + 1] + np.uint64(n)).astype(np.int64)
+
+
 def windows(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows of ``n`` tokens, and which of them hold enough words."""
     if len(codes) < n:
@@ -105,26 +167,40 @@ def slots(tokens: list[str], codes: np.ndarray, at: int, n: int) -> list[str]:
     return [tokens[i].lower() for i in range(at, at + n) if codes[i] <= NAME]
 
 
-def _window_rows(lengths: list[int], item: bool, wanted: np.ndarray | None = None):
-    """Windows of each text; of an item shorter than ``WINDOW`` the whole; of a document only those in ``wanted``."""
+def _known(wanted: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes are in a sorted array."""
+    if not len(wanted):
+        return np.zeros(len(hashes), bool)
+    near = np.searchsorted(wanted, hashes)
+    near[near == len(wanted)] = 0
+    return wanted[near] == hashes
+
+
+def _window_rows(lengths: list[int], item: bool, wanted: dict[int, np.ndarray] | None = None):
+    """Windows of each text, runs of raw tokens with their length below 0; of an item shorter than them the whole; of a document only those in ``wanted``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        canon = Canon()
+        canon, raw = Canon(), Raw()
         for frame in frames:
             for lo in range(0, len(frame), 512):
                 part, out = frame.iloc[lo : lo + 512], []
                 for key, text in zip(part["id"], part["text"]):
                     tokens, codes = template(text, canon)
-                    own = [min(WINDOW, len(tokens))] if item else lengths
-                    for n in own:
-                        if n < SHORTEST:
+                    if not tokens:
+                        continue
+                    plain = raw_codes(text, tokens, codes, raw)
+                    runs = Runs(plain)
+                    for n in [min(WINDOW, len(tokens)), -min(RUN, len(plain))] if item else lengths:
+                        if n < 0:
+                            hashes = runs.hashes(-n)
+                            good = np.ones(len(hashes), bool)
+                        elif n < SHORTEST:
                             continue
-                        hashes, good = windows(codes, n)
+                        else:
+                            hashes, good = windows(codes, n)
                         if wanted is not None and len(hashes):
-                            near = np.searchsorted(wanted, hashes)
-                            near[near == len(wanted)] = 0
-                            good &= wanted[near] == hashes
-                        out += [(key, hashes[i], i, n, int(good.sum()) if item else 0, slots(tokens, codes, i, n)) for i in np.nonzero(good)[0]]
+                            good &= _known(wanted[n], hashes)
+                        out += [(key, hashes[i], i, n, int(good.sum()) if item else 0, slots(tokens, codes, i, n) if n > 0 else []) for i in np.nonzero(good)[0]]
                 yield pd.DataFrame(out, columns=["id", "hash", "at", "length", "windows", "slots"])
 
     return run
@@ -136,40 +212,49 @@ _ROW = "id long, hash long, at int, length int, windows int, slots array<string>
 def leaks(docs: DataFrame, benchmark: DataFrame, few: int = FEW_WINDOWS) -> DataFrame:
     """(doc_id, item_id, matched, windows, cover, consistent) for each document and benchmark item that it holds."""
     items = cut(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null").mapInPandas(_window_rows([], True), _ROW))
-    lengths = [r[0] for r in items.select("length").distinct().collect()]  # at most WINDOW - SHORTEST + 1 values
+    lengths = [r[0] for r in items.select("length").distinct().collect()]  # at most WINDOW - SHORTEST + 1 + RUN values
     wanted = None
     if items.count() <= few:
-        wanted = np.sort(np.array([r[0] for r in items.select("hash").distinct().collect()], np.int64))
+        each = items.select("length", "hash").distinct().collect()
+        wanted = {n: np.sort(np.array([r[1] for r in each if r[0] == n], np.int64)) for n in lengths}
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     if not lengths:
         texts = texts.limit(0)
-    found = texts.mapInPandas(_window_rows(lengths, False, wanted), _ROW).select(F.col("id").alias("doc_id"), "hash", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
-    of_items = items.select(F.col("id").alias("item_id"), "hash", F.col("at").alias("item_at"), "windows", F.col("slots").alias("item_slots"))
-    met = found.join(F.broadcast(of_items) if wanted is not None else of_items, "hash")
+    found = texts.mapInPandas(_window_rows(lengths, False, wanted), _ROW).select(F.col("id").alias("doc_id"), "hash", "length", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
+    of_items = items.select(F.col("id").alias("item_id"), "hash", "length", F.col("at").alias("item_at"), "windows", F.col("slots").alias("item_slots"))
+    met = found.join(F.broadcast(of_items) if wanted is not None else of_items, ["hash", "length"]).withColumn("raw", F.col("length") < 0)
     pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("doc_slots").alias("b"))
-    run = Window.partitionBy("doc_id", "item_id").orderBy("doc_at", "item_at")
+    run = Window.partitionBy("doc_id", "item_id", "raw").orderBy("doc_at", "item_at")
     before = F.lag("item_at").over(run)
     again = (F.col("item_at") == before) & (F.col("doc_at") > F.lag("doc_at").over(run))
     restart = F.when((F.col("item_at") < before) | again, 1).otherwise(0)
     runs = met.withColumn("restart", restart).withColumn("occurrence", F.sum("restart").over(run))
-    each = runs.groupBy("doc_id", "item_id", "occurrence").agg(
+    each = runs.groupBy("doc_id", "item_id", "raw", "occurrence").agg(
         F.collect_set("item_at").alias("places"), F.max("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
-    each = each.withColumn("told", _told(F.col("places"), F.col("windows"), F.col("pairs")))
-    together = _told(F.array_distinct(F.flatten("all_places")), F.col("windows"), F.array_distinct(F.flatten("all_pairs")))
+    each = each.withColumn("told", F.when(F.col("raw"), _exact(F.col("places"), F.col("windows"))).otherwise(_told(F.col("places"), F.col("windows"), F.col("pairs"))))
+    together = _told(F.array_distinct(F.flatten("all_places")), F.coalesce("windows", F.lit(1)), F.array_distinct(F.flatten("all_pairs")))
     per = each.groupBy("doc_id", "item_id").agg(
-        F.collect_list("places").alias("all_places"), F.max("windows").alias("windows"), F.collect_list("pairs").alias("all_pairs"), F.max("told").alias("best")
+        F.collect_list(F.when(~F.col("raw"), F.col("places"))).alias("all_places"),
+        F.max(F.when(~F.col("raw"), F.col("windows"))).alias("windows"),
+        F.collect_list(F.when(~F.col("raw"), F.col("pairs"))).alias("all_pairs"),
+        F.max("told").alias("best"),
     )
-    return per.select("doc_id", "item_id", "windows", F.greatest(together, "best").alias("told")).where("told.leaks").select("doc_id", "item_id", "told.matched", "windows", "told.cover", "told.consistent")
+    return per.select("doc_id", "item_id", F.greatest(together, "best").alias("told")).where("told.leaks").select("doc_id", "item_id", "told.matched", "told.windows", "told.cover", "told.consistent")
+
+
+def _exact(places: Column, windows: Column) -> Column:
+    """As :func:`_told`, for runs of raw tokens: one is enough."""
+    return F.struct(F.lit(True).alias("leaks"), (F.size(places) / windows).alias("cover"), F.lit(1.0).alias("consistent"), F.size(places).alias("matched"), windows.alias("windows"))
 
 
 def _told(places: Column, windows: Column, pairs: Column) -> Column:
-    """(leaks, cover, consistent, matched) of a set of matched windows and their pairs of slot values."""
+    """(leaks, cover, consistent, matched, windows) of a set of matched windows and their pairs of slot values."""
     agreeing = F.size(F.array_distinct(F.transform(pairs, lambda p: p["a"]))), F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"])))
     share = F.when(F.size(pairs) == 0, 1.0).otherwise(F.least(*agreeing) / F.greatest(F.size(pairs), F.lit(1)))
     cover = F.size(places) / windows
     leak = (cover >= COVER) & (share >= CONSISTENT)
-    return F.struct(leak.alias("leaks"), cover.alias("cover"), share.alias("consistent"), F.size(places).alias("matched"))
+    return F.struct(leak.alias("leaks"), cover.alias("cover"), share.alias("consistent"), F.size(places).alias("matched"), windows.alias("windows"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -193,6 +278,13 @@ def brute_force(docs: Iterable[tuple[int, str | None]], items: Iterable[tuple[in
     read = [(d, *template(t, canon)) for d, t in docs]
     for item, text in items:
         tokens, codes = template(text, canon)
+        plain = [t.lower() for t in raw_tokens(tokens)]
+        n = min(RUN, len(plain))
+        held = {tuple(plain[i : i + n]) for i in range(len(plain) - n + 1)} if n else set()
+        for doc, own, _ in read:
+            low = [t.lower() for t in raw_tokens(own)]
+            if any(tuple(low[i : i + n]) in held for i in range(len(low) - n + 1)):
+                out.add((doc, item))
         n = min(WINDOW, len(tokens))
         if n < SHORTEST:
             continue
