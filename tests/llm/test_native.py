@@ -109,3 +109,19 @@ def test_shards_are_full_and_counts_add_up(spark):
     assert taken == {0: 80_000, 1: 45_000}
     first = {r["rank"]: r.n for r in mixing.shard_counts(dealt).where("shard = 0").collect()}
     assert abs(first[0] / mixing.SHARD - 80 / 125) < 0.06
+
+
+def test_mixed_blocks_are_what_mix_counts(spark):
+    """The output holds every dealt slot once, with the words of its block, and the totals of mix() are its sums."""
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(1 + i * 7 % 90)), f"s{i % 3}") for i in range(120)] + [(500, None, "s1"), (501, " \t", None)]
+    d = docs(spark, rows)
+    taken = {r.doc_id: r.taken for r in mixing.mix(d, block=16, part=50).collect()}
+    out = mixing.mixed_blocks(d, block=16, part=50).collect()
+    words = [w for r in out for w in r.text.split()]
+    assert {i: sum(w.startswith(f"d{i}w") for w in words) for i, _, _ in rows} == taken
+    places = sorted(r.shard * mixing.SHARD + r.place for r in out)
+    assert places == list(range(len(out))) and all(r.words == len(r.text.split()) <= 16 for r in out)
+    sides = mixing.mixed(d, block=16, part=50).groupBy("shard", "place", "source", "block").sum("words").collect()
+    assert sorted(map(tuple, sides)) == sorted((r.shard, r.place, r.source, r.block, r.words) for r in out)
+    source = {i: s for i, _, s in rows}
+    assert all(source[int(w[1:].split("w")[0])] == r.source for r in out for w in r.text.split())

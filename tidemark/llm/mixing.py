@@ -111,7 +111,7 @@ def _measured(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def _pieces(rows: DataFrame, block: int, part: int) -> DataFrame:
-    """(row, rank, block, low, words): where each document lies in the blocks of its source."""
+    """(row, rank, block, low, words, skip): where each document lies in the blocks of its source."""
     parts = max(1, rows.count() // part)
     placed = rows.where("size > 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
     within = Window.partitionBy("rank", "part").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
@@ -122,21 +122,50 @@ def _pieces(rows: DataFrame, block: int, part: int) -> DataFrame:
     spread = offset.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long"))))
     low = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
-    return spread.select("row", "rank", "block", low.alias("low"), (high - low).alias("words"))
+    skip = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
+    return spread.select("row", "rank", "block", low.alias("low"), (high - low).alias("words"), skip.alias("skip"))
 
 
-def mix(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken``."""
+def _mixture(docs: DataFrame, block: int, part: int, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """The documents with size and source, and :func:`mixed`'s rows with ``row`` in place of the document's id."""
     measured = _measured(docs, id_col)
     sources = cut(targets(measured.groupBy("source").agg(F.sum("size").alias("source_size"))))
     told = sources.select(F.col("source").alias("of_source"), "rank", "source_size", "target")
     if sources.count() <= FEW_SOURCES:
         told = F.broadcast(told)
-    rows = measured.join(told, F.col("source").eqNullSafe(F.col("of_source"))).drop("source", "of_source")
+    rows = measured.join(told, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
     dealt = slots(planned(sources, block), block)
-    uses = dealt.groupBy("rank", "block").agg(F.count_if("whole").alias("times"), F.max(F.when(~F.col("whole"), F.col("take"))).alias("cut_at"))
-    last = F.least(F.greatest(F.coalesce("cut_at", F.lit(0)) - F.col("low"), F.lit(0)), F.col("words"))
-    taken = _pieces(rows, block, part).join(uses.hint("merge"), ["rank", "block"]).groupBy("row").agg(F.sum(F.col("times") * F.col("words") + last).alias("taken"))
+    words = F.least(F.col("words"), F.col("take") - F.col("low"))
+    met = _pieces(rows, block, part).join(dealt.hint("merge"), ["rank", "block"]).withColumn("words", words).where("words > 0")
+    return rows, met.select("shard", "place", "rank", "block", "low", "row", "skip", "words")
+
+
+def mixed(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "doc_id") -> DataFrame:
+    """The mix: (shard, place, source, block, low, doc_id, skip, words), by place in each output shard.
+
+    Each slot of a shard, told by ``place``, holds a block of ``source``; the block is made of pieces in the order of
+    ``low``, each of ``words`` words of a document after its first ``skip``.
+    """
+    rows, pieces = _mixture(docs, block, part, id_col)
+    return pieces.join(rows.select("row", "doc_id", "source"), "row").select("shard", "place", "source", "block", "low", "doc_id", "skip", "words")
+
+
+def mixed_blocks(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "doc_id") -> DataFrame:
+    """The token blocks themselves: (shard, place, source, block, words, text), the words joined by single spaces."""
+    kept = cut(docs.select(F.col(id_col).alias("doc_id"), "source", F.col("text")))
+    rows, pieces = _mixture(kept, block, part, "doc_id")
+    # Rows are numbered alike as both read the same written partitions.
+    texts = kept.select(F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0)).alias("all"))
+    said = pieces.join(rows.select("row", "source"), "row").join(texts, "row")
+    one = F.struct("low", F.array_join(F.slice("all", (F.col("skip") + 1).cast("int"), F.col("words").cast("int")), " ").alias("said"))
+    each = said.withColumn("piece", one).groupBy("shard", "place", "source", "block").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list("piece")).alias("pieces"))
+    return each.select("shard", "place", "source", "block", "words", F.array_join("pieces.said", " ").alias("text"))
+
+
+def mix(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "doc_id") -> DataFrame:
+    """One row per document: ``doc_id, size, source_size, target, taken``, summed over the rows of :func:`mixed`."""
+    rows, pieces = _mixture(docs, block, part, id_col)
+    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
     return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
