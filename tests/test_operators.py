@@ -217,3 +217,22 @@ def test_recent_alerts_without_names(spark):
     a = spark.createDataFrame([(dt.datetime(2024, 1, 9), 1, "watch", 1.0, 0.0, 0.0, 0.5), (dt.datetime(2024, 1, 9), 2, "watch", 1.0, None, 0.0, 0.7), (dt.datetime(2023, 1, 9), 1, "watch", 1.0, 0.0, 0.0, 0.5)], "timestamp timestamp, entity_id long, alert_level string, divergence_score double, acceleration_score double, pattern_score double, confidence double")
     got = serving.recent_alerts(a, spark.createDataFrame([(9, "z")], "entity_id long, name string"), "2024-01-10").collect()
     assert [(r.entity_name, r.confidence) for r in got] == [("Unknown", 0.7)]
+
+
+def test_streams_take_arrivals_in_parts_and_rows_without_a_day(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.queries import series
+    from tidemark.streaming import jobs
+
+    rows = spark.range(0, 80, 1, 4).selectExpr("id", "case when id % 8 > 0 then date_add(date'2024-01-10', cast(id % 8 as int)) end as day")
+    seen = []
+
+    class Sink(jobs.Upserts):
+        def __call__(self, batch, batch_id):
+            seen.append((batch.count(), batch.select(F.input_file_name()).distinct().count()))
+            super().__call__(batch, batch_id)
+
+    got = series._streamed(spark, rows, "day", lambda s: s, ["id"], "append", Sink)
+    assert sorted(r.id for r in got.collect()) == list(range(80))
+    assert seen == [(40, 4), (40, 4)]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,30 +17,23 @@ from .sqlkit import define, oracle, r
 MIDDLE = "2024-01-15"
 
 
-@contextmanager
-def _few_partitions(spark: SparkSession, n: int = 8):
-    """State stores keep the number of partitions that a stream starts with; these streams are small."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(min(n, int(before))))
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+#: A micro-batch takes all files of an arrival.
+ALL_FILES = 1_000_000
 
 
-def _in_two(df: DataFrame, day: str, folder: str) -> None:
-    """Two arrivals, one after the other."""
-    cut = F.lit(MIDDLE).cast("date")
-    df.where(F.col(day) < cut).coalesce(1).write.parquet(folder)
-    df.where(F.col(day) >= cut).coalesce(1).write.mode("append").parquet(folder)
+def _arrivals(df: DataFrame, day: str) -> list[DataFrame]:
+    """Two arrivals, one after the other; rows without a day come with the second."""
+    first = F.coalesce(F.col(day) < F.lit(MIDDLE).cast("date"), F.lit(False))
+    return [df.where(first), df.where(~first)]
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, day: str, job, keys: list[str], mode: str, sink=None) -> DataFrame:
+    """The job's table after both arrivals, each written in the partitions that it comes in and drained before the next."""
     folder = jobs.shared_folder(spark, "stream")
-    _in_two(rows, day, f"{folder}/in")
-    with _few_partitions(spark):
-        stream = job(jobs.source(spark, f"{folder}/in", rows.schema))
-        out = (sink or jobs.Upserts)(spark, f"{folder}/out", keys)
+    out = (sink or jobs.Upserts)(spark, f"{folder}/out", keys)
+    for arrival in _arrivals(rows, day):
+        arrival.write.mode("append").parquet(f"{folder}/in")
+        stream = job(jobs.source(spark, f"{folder}/in", rows.schema, ALL_FILES))
         jobs.run_once(stream, out, mode, f"{folder}/checkpoint")
     return out.table(stream.schema)
 
