@@ -44,7 +44,8 @@ NAMES = {
     "assistant": ("assistant", "ai", "bot", "gpt", "chatgpt", "a", "answer", "model", "agent"),
 }
 _ROLE_OF = {name: role for role, names in NAMES.items() for name in names}
-_MARKER = re.compile(rf"\s*[\[<|#*]*\s*({'|'.join(sorted(_ROLE_OF, key=len, reverse=True))})\s*[\]>|*]*\s*(?:[:>]|(?<=[\]>|])|$)\s*", re.I)
+#: A name after opening signs, and a colon, a closing sign or the end of the line after it; linear in the line's length.
+_MARKER = re.compile(rf"[\[<|#*]*+\s*+({'|'.join(sorted(_ROLE_OF, key=len, reverse=True))})\s*+(?:[\]>|*]*+\s*+[:>]|[\]>|*]*[\]>|]|[\]>|*]*+\s*+$)\s*+", re.I)
 MARKERS = ("none", *ROLES)
 LENGTHS = (0, 20, 60, 120, 250, 500, 1000)
 ENDS = ("", ".", "?", "!", ":")
@@ -53,8 +54,8 @@ _END_OF = {e: i for i, e in enumerate(ENDS)}
 
 def marker(line: str) -> tuple[int, int]:
     """Which marker a line starts with, and where the text after it begins."""
-    m = _MARKER.match(line[:80])
-    if m is None or (m.end() == len(line.rstrip()) and ":" not in m.group() and not re.search(r"[\]>|]", m.group())):
+    m = _MARKER.match(line, len(line) - len(line.lstrip()))
+    if m is None or (m.end() == len(line) and not re.search(r"[:\]>|]", m.group())):
         return 0, 0
     return MARKERS.index(_ROLE_OF[m.group(1).lower()]), m.end()
 
@@ -173,12 +174,13 @@ def train(conversations: DataFrame, seen: DataFrame | None = None) -> Model:
     lines = seen.select("conv_id", "turn", "part", "line", "mark", "length", "end").join(named, ["conv_id", "turn", "part"]).select(state, "mark", "length", "end")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("mark", "length", "end")])).alias("o")
     emitted = lines.groupBy("state", "mark", "length", "end").agg(F.count("*").alias("n")).select("state", each, "n").select("o.kind", "state", "o.value", "n")
-    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("opens").alias("next"))
+    alike = turns.groupBy("conv_id", "turn", "opens", "goes_on", (F.col("lines") > 1).alias("more")).agg(F.count("*").alias("n"))
+    after = alike.groupBy("conv_id", (F.col("turn") - 1).alias("turn"), F.col("opens").alias("next")).agg(F.sum("n").alias("n_next"))
     within = turns.where("lines > 1")
     steps = (
         within.select("opens", F.col("goes_on").alias("next"), F.lit(1).alias("n"))
         .unionByName(within.where("lines > 2").select(F.col("goes_on").alias("opens"), F.col("goes_on").alias("next"), (F.col("lines") - 2).alias("n")))
-        .unionByName(turns.join(after, ["conv_id", "turn"]).select(F.when(F.col("lines") > 1, F.col("goes_on")).otherwise(F.col("opens")).alias("opens"), "next", F.lit(1).alias("n")))
+        .unionByName(alike.join(after, ["conv_id", "turn"]).select(F.when(F.col("more"), F.col("goes_on")).otherwise(F.col("opens")).alias("opens"), "next", (F.col("n") * F.col("n_next")).alias("n")))
     )
     starts = turns.groupBy("conv_id").agg(F.min_by("opens", "turn").alias("value")).select(F.lit("start").alias("kind"), F.lit(0).alias("state"), "value", F.lit(1).alias("n"))
     moved = steps.select(F.lit("step").alias("kind"), F.col("opens").alias("state"), F.col("next").alias("value"), "n")
