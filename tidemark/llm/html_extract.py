@@ -1,29 +1,40 @@
 """Main text of web pages, by template deduction from equivalence classes of tokens.
 
-A page's tokens are its elements, each named by its path of tags with their classes and ids. Over the pages of one
-host every token has an occurrence vector: how often it occurs on each page. Tokens with equal vectors form a class;
-vectors are compared by a fingerprint (an exclusive or of hashes of page and count) that merges by aggregation, so
-no host's pages meet in one task. The class that occurs once on every page is the root of the template; classes that
-occur once on each of at least ``SAME_PAGES`` pages are parts of it that some pages lack (an error page, a cut one, another layout);
-both are nested by their paths. What lies between their tokens are the slots, and a block belongs to the innermost. A slot is left out if a token of its path says so (navigation, header, footer, sidebar,
-notice, advert, form, script, reader comments), if most of its text is in links, or if its text is the same on all of at
-least three pages of different content; where the page has an ``article`` or ``main`` slot, only the text in it is taken. In such a
-slot only telling elements and whole class names (and ids of containers) leave text out, not single words of them.
-
-Pages without elements (null, empty, bare text) are no pages of a template. A class of a single token on a part of the pages is judged by its
-text only, not by its links. A template is found for pages whose host has one page too; its tokens then all form the root class, and the paths
-alone decide.
-
-Edge cases: null or empty html gives the empty text; a null url is a host of its own; a page without tags is one block;
-truncated pages give what they hold; repeated rows give repeated rows; an empty table gives an empty result; further
-columns are ignored; texts are taken whole.
+A page's tokens are its elements, each named by its path of tags with their classes and ids, and its texts, each named by
+the path and the text. Over the pages of one host every token has an occurrence vector: how often it occurs on each page.
+Tokens with equal vectors form a class; vectors are compared by fingerprints (sums and exclusive ors of hashes of page
+and count) that merge by aggregation, so no host's pages meet in one task.
+
+A class is a part of the template if its tokens occur once on each of their pages, and either on all pages of the host
+(the root class) or on at least ``SAME_PAGES`` (a layout of some pages). Classes are nested by their paths: an element
+whose parent is no part of the template isn't either. On each page the tokens have to come in the order that they have
+over the whole host; one out of order is content there.
+
+The template's elements are slots. What the host's pages say in a slot outside of links, but for constant text, is its
+mass. From the root on, a page's main slot is the one inside that has ``DOMINANT`` of the mass, and so on until none has.
+What lies in the main slot is the article, but for inner slots that are constant or mostly links, texts of the root
+class (where no element says that it is the article), and what says by its element or marks that it is none (navigation, notice, advert, form, comments, ...). Of what
+lies around the main slot, outside of other slots, its headline stays, and texts if they have a large mass.
+
+Words of classes and ids choose no text: they only keep slots from being the main one, and, inside of it, rule out slots
+of the template and elements with a telling class as a whole. An ``article`` or ``main`` counts ``MAIN_WEIGHT`` times in the
+choice. A host with one page has a template too: its tokens that occur once.
+
+Edge cases: null or empty html gives the empty text and is no page of a template, as are pages without elements; a null
+url is a host of its own; a page without tags is one block; truncated pages give what they hold; repeated rows give
+repeated rows, and are one content; constant text is only known from ``SAME_PAGES`` pages of different content on, and only
+if it is the lesser part of what the main slot holds; an empty table gives an empty result; further columns are ignored;
+texts are taken whole.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -33,12 +44,18 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: The pages of a host are joined with its template in parts of about this many. Hosts with more are listed, and the
-#: list is broadcast, up to FEW_HOSTS of them.
-PAGES, FEW_HOSTS = 1_000, 100_000
-#: From this share of linked text on, a slot outside of an article is a menu.
+#: Templates are sent to all tasks up to this many bytes. Beyond, the pages of a host are joined with its template in parts
+#: of about PAGES; hosts with more are listed, and the list is broadcast, up to FEW_HOSTS of them.
+FEW_BYTES, PAGES, FEW_HOSTS = 50_000_000, 1_000, 100_000
+#: A slot with this share of the mass around it is the main one.
+DOMINANT = 0.6
+#: How often the mass of an ``article`` or ``main`` counts in that choice.
+MAIN_WEIGHT = 3
+#: Texts around the main slot stay from this share of its mass on.
+BESIDE = 0.25
+#: From this share of linked text on, a slot is a menu.
 LINKED = 0.6
-#: A slot's text has to be the same on at least so many pages of different content to be part of the template.
+#: Pages of different content that show that a text is constant, and pages that make a layout.
 SAME_PAGES = 3
 
 _TOKENS = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)", re.S)
@@ -213,23 +230,6 @@ def _says_main(step: str) -> bool:
     return name in MAIN_TAGS or any(m in MAIN_WORDS for m in marks)
 
 
-@lru_cache(100_000)
-def in_main(path: tuple[str, ...]) -> bool:
-    return any(_says_main(s) for s in path)
-
-
-@lru_cache(100_000)
-def in_dropped(path: tuple[str, ...]) -> bool:
-    """Whether a step of the path is boilerplate; around an article only whole marks say so, in it only telling ones."""
-    main = next((i for i, s in enumerate(path) if _says_main(s)), None)
-    for i, s in enumerate(path):
-        if s.split(".")[0] in ("html", "body"):
-            continue
-        if _says_no(s, main is None) if main is None or i < main else _says_no_in_main(s):
-            return True
-    return False
-
-
 def host_of():
     return F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
@@ -238,7 +238,28 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-_TOKEN_ROW = "host string, token string, pages long, least int, most int, print long, place double, chars long, linked long, low long, high long, contents array<long>"
+_TOKEN_ROW = "host string, token string, pages long, most int, print long, total long, place double, chars long, linked long, low long, high long, contents array<long>"
+#: Between the path and the hash of a text.
+TEXT = "\0"
+
+
+def text_token(block: Block) -> str:
+    return f"{'/'.join(block.path)}{TEXT}{_hash(block.text):x}"
+
+
+def tokens_of(paths: list[tuple[str, ...]], blocks: list[Block]) -> dict[str, list]:
+    """Of each token of a page: how often it occurs, its first place, characters of text and of links, and its texts."""
+    own: dict[str, list] = {"": [1, -1, 0, 0, []]}
+    for i, path in enumerate(paths):
+        own.setdefault("/".join(path), [0, i, 0, 0, []])[0] += 1
+    for b in blocks:
+        for n in range(len(b.path) + 1):
+            t = own.setdefault("/".join(b.path[:n]), [1, 0, 0, 0, []])
+            t[2] += len(b.text)
+            t[3] += b.linked
+            t[4].append(b.text)
+        own.setdefault(text_token(b), [0, 0, len(b.text), b.linked, [b.text]])[0] += 1
+    return own
 
 
 def _page_tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,22 +271,13 @@ def _page_tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not paths:
                 continue
             content = _hash("\n".join(b.text for b in blocks))
-            own: dict[str, list] = {"": [1, 0, 0, 0, []]}
-            for i, path in enumerate(paths):
-                t = own.setdefault("/".join(path), [0, i, 0, 0, []])
-                t[0] += 1
-            for b in blocks:
-                for n in range(len(b.path) + 1):
-                    t = own["/".join(b.path[:n])] if "/".join(b.path[:n]) in own else own.setdefault("/".join(b.path[:n]), [1, 0, 0, 0, []])
-                    t[2] += len(b.text)
-                    t[3] += b.linked
-                    t[4].append(b.text)
-            for token, (n, place, chars, linked, texts) in own.items():
-                same = _hash("\n".join(texts))
-                t = seen.setdefault((host, token), [0, n, n, 0, 0.0, 0, 0, same, same, []])
+            for token, (n, place, chars, linked, texts) in tokens_of(paths, blocks).items():
+                same, mark = _hash("\n".join(texts)), _hash(f"{key} {n}")
+                t = seen.setdefault((host, token), [0, n, 0, 0, 0.0, 0, 0, same, same, []])
                 t[0] += 1
-                t[1], t[2] = min(t[1], n), max(t[2], n)
-                t[3] ^= _hash(f"{key} {n}")
+                t[1] = max(t[1], n)
+                t[2] ^= mark
+                t[3] += mark & 0xFFFFFFFF
                 t[4] += place
                 t[5] += chars
                 t[6] += linked
@@ -279,70 +291,179 @@ def _tokens(pages: DataFrame) -> DataFrame:
     """The tokens of each host with the fingerprints of their vectors."""
     rows = pages.select(host_of().alias("host"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key"), F.coalesce("html", F.lit("")).alias("html"))
     return rows.mapInPandas(_page_tokens, _TOKEN_ROW).groupBy("host", "token").agg(
-        F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), F.bit_xor("print").alias("print"), F.sum("place").alias("place"),
+        F.sum("pages").alias("pages"), F.max("most").alias("most"), F.bit_xor("print").alias("print"), F.sum("total").alias("total"), F.sum("place").alias("place"),
         F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"),
         F.size(F.array_distinct(F.flatten(F.collect_set("contents")))).alias("contents"),
     )
 
 
 def templates(tokens: DataFrame) -> DataFrame:
-    """(host, token, kind, constant, linked, place) for the tokens of each host's template.
+    """(host, token, pages, constant, linked, chars, place) for the tokens of each host's template, before they are nested.
 
-    Tokens of a host with the same vector, by number of pages and fingerprint, are one class. ``kind`` is ``root`` for
-    the class that occurs once on every page, ``part`` for classes of enough support that occur once on each of some
-    pages, and ``single`` for such a class of one token. Tokens of other classes are content of the slots that they lie
-    in and are not listed.
+    Tokens of a host with the same vector, by number of pages and fingerprints, are one class. Listed are the classes whose
+    tokens occur once on each page, of all pages or of ``SAME_PAGES``; of texts only those that are on all pages.
     """
-    root = tokens.where("token = ''").select(F.col("host").alias("root_host"), F.col("pages").alias("all_pages"), F.col("print").alias("root_print"))
-    classes = tokens.groupBy(F.col("host").alias("class_host"), F.col("pages").alias("support"), F.col("print").alias("class_print")).agg(F.count("*").alias("members"), F.max("most").alias("times"))
-    same = (F.col("host") == F.col("class_host")) & (F.col("pages") == F.col("support")) & (F.col("print") == F.col("class_print"))
-    met = tokens.join(classes.where("times = 1"), same).join(root, F.col("host") == F.col("root_host"))
-    whole = (F.col("support") == F.col("all_pages")) & (F.col("class_print") == F.col("root_print"))
-    kind = F.when(whole, "root").when(F.col("support") >= SAME_PAGES, F.when(F.col("members") > 1, "part").otherwise("single"))
-    constant = (F.col("contents") >= SAME_PAGES) & (F.col("low") == F.col("high"))
+    vector = ["pages", "print", "total"]
+    root = tokens.where("token = ''").select("host", F.struct(*vector).alias("root_vector"), F.col("contents").alias("all_contents"))
+    classes = tokens.where("most = 1").select("*", F.struct(*vector).alias("vector")).join(root, "host")
+    whole, text = F.col("vector") == F.col("root_vector"), F.instr("token", TEXT) > 0
+    told = F.col("contents") >= SAME_PAGES
+    constant = told & (F.col("low") == F.col("high"))
     share = F.when(F.col("chars") > 0, F.col("linked") / F.col("chars")).otherwise(0.0)
-    return met.select("host", "token", kind.alias("kind"), constant.alias("constant"), share.alias("linked"), (F.col("place") / F.col("pages")).alias("place")).where("kind is not null")
+    return classes.where((whole & (~text | told)) | (~text & (F.col("pages") >= SAME_PAGES))).select("host", "token", "pages", constant.alias("constant"), share.alias("linked"), (F.col("chars") / F.col("pages")).alias("chars"), (F.col("place") / F.col("pages")).alias("place"))
+
+
+@dataclass
+class Slot:
+    """An element of a host's template, or a text of it. ``mass`` is by page, ``own`` is the part outside of inner slots."""
 
+    pages: int
+    constant: bool
+    linked: float
+    chars: float
+    place: float
+    mass: float = 0.0
+    own: float = 0.0
 
-def chosen(blocks: list[Block], tokens: dict[str, tuple[str, bool, float]]) -> list[str]:
-    """The texts of the blocks in the main slots."""
-    main = any(kind == "root" and _says_main(token.rsplit("/", 1)[-1]) and not in_dropped(tuple(token.split("/"))) for token, (kind, _, _) in tokens.items())
-    out, other = [], []
+
+def _parent(token: str) -> str:
+    return token.partition(TEXT)[0] if TEXT in token else token.rpartition("/")[0]
+
+
+def nested(rows: dict[str, Slot]) -> dict[str, Slot]:
+    """The tokens whose parents, up to the root, belong to the template as well, with their mass.
+
+    Texts of the root class may lie in any element.
+    """
+    out: dict[str, Slot] = {}
+    for token in sorted(rows, key=lambda t: (TEXT in t, t.count("/"), t)):
+        if TEXT in token or token == "" or _parent(token) in out:
+            out[token] = rows[token]
+    total = {t: 0.0 if s.constant else s.pages * s.chars * (1 - s.linked) for t, s in out.items() if TEXT not in t}
+    for token, slot in out.items():
+        above = [t for n in range(token.count("/") + 1) if (t := "/".join(_parent(token).split("/")[:n]) if n else "") in total] if token else []
+        if TEXT in token:
+            above += [_parent(token)] if _parent(token) in total else []
+        if (slot.constant or TEXT in token) and not any(out[t].constant for t in above):
+            for t in set(above):
+                total[t] -= slot.pages * slot.chars * (1 - slot.linked)
+    inner = defaultdict(float)
+    for token, mass in total.items():
+        if token:
+            inner[_parent(token)] += mass
+    for token, mass in total.items():
+        out[token].mass, out[token].own = max(mass, 0.0) / out[token].pages, max(mass - inner[token], 0.0) / out[token].pages
+    return out
+
+
+@lru_cache(256)
+def _read(template: str) -> dict[str, Slot]:
+    return nested({t["token"]: Slot(t["pages"], t["constant"], t["linked"], t["chars"], t["place"]) for t in json.loads(template)})
+
+
+def in_order(paths: list[tuple[str, ...]], template: dict[str, Slot]) -> set[str]:
+    """The template's elements that a page has, once and not after one that comes later on the host."""
+    count = Counter("/".join(p) for p in paths)
+    found, last = {""}, -1.0
+    for path in paths:
+        token = "/".join(path)
+        if token in template and count[token] == 1 and "/".join(path[:-1]) in found and template[token].place >= last:
+            found.add(token)
+            last = template[token].place
+    return found
+
+
+def _is_text(token: str) -> bool:
+    return token.rpartition("/")[2].split(".")[0] in TEXT_TAGS
+
+
+def _ruling(found: set[str]) -> set[str]:
+    """The found slots that say that they are no article, by single words only if none of them holds an article's element."""
+    holders = {"/".join(t.split("/")[:n]) for t in found if _says_main(t.rpartition("/")[2]) for n in range(t.count("/") + 2)}
+    return {t for t in found if t and _says_no(t.rpartition("/")[2], t not in holders)}
+
+
+def main_slot(found: set[str], template: dict[str, Slot]) -> str:
+    """The slot that holds the article, by the mass of what the host's pages say in it."""
+    ruling, inner, mass = _ruling(found), defaultdict(list), defaultdict(float)
+    for token in found - {""}:
+        mass[_parent(token)] += template[token].mass
+        if not _is_text(token) and token not in ruling and template[token].linked < LINKED:
+            inner[_parent(token)].append(token)
+    at = ""
+    while inner[at]:
+        weight = {t: template[t].mass * (MAIN_WEIGHT if _says_main(t.rpartition("/")[2]) else 1) for t in inner[at]}
+        best = max(sorted(weight), key=weight.__getitem__)
+        if weight[best] <= 0 or weight[best] < DOMINANT * (template[at].own + mass[at] + weight[best] - template[best].mass):
+            break
+        at = best
+    return at
+
+
+def _ruled_out(steps: tuple[str, ...], main: str, found: set[str], ruling: set[str], template: dict[str, Slot], texts: bool) -> bool:
+    """Whether a block below the main slot is none of the article, by what lies between them."""
+    at, article = main, any(map(_says_main, main.split("/")))
+    for step in steps:
+        at = f"{at}/{step}" if at else step
+        slot = template[at] if at in found else None
+        if slot is not None and not _is_text(at) and (slot.linked >= LINKED or (slot.constant and texts)):
+            return True
+        if step.split(".")[0] in ("html", "body"):
+            continue
+        if _says_no_in_main(step) or (not article and (step.split(".")[0] == "header" or at in ruling)):
+            return True
+        article = article or _says_main(step)
+    return False
+
+
+def chosen(paths: list[tuple[str, ...]], blocks: list[Block], template: dict[str, Slot]) -> list[str]:
+    """The texts of the article. Without a template (a page without elements), all that no element rules out."""
+    if not template:
+        return [b.text for b in blocks if not any(s.split(".")[0] in DROPPED_TAGS for s in b.path)]
+    found = in_order(paths, template)
+    ruling, main = _ruling(found), main_slot(found, template)
+    depth = len(main.split("/")) if main else 0
+    within = lambda b: depth == 0 or "/".join(b.path[:depth]) == main
+    article = any(map(_says_main, main.split("/")))
+    constant = sum(t.chars for k, t in template.items() if TEXT in k and (not main or k.startswith((main + "/", main + TEXT))))
+    texts = 2 * constant < template[main].chars
+    around = {"/".join(main.split("/")[:n]) for n in range(depth)}
+    out = []
     for b in blocks:
-        if in_dropped(b.path):
+        inside = within(b)
+        if texts and not (inside and article) and text_token(b) in template:
             continue
-        inside = in_main(b.path)
-        slot = next((t for n in range(len(b.path), 0, -1) if (t := "/".join(b.path[:n])) in tokens), None)
-        if not inside and slot is not None:
-            kind, constant, linked = tokens[slot]
-            if constant or (linked >= LINKED and kind != "single"):
-                continue
-        other.append(b.text)
         if inside:
+            if not _ruled_out(b.path[depth:], main, found, ruling, template, texts):
+                out.append(b.text)
+            continue
+        slot = next(t for n in range(len(b.path), -1, -1) if (t := "/".join(b.path[:n])) in found and not _is_text(t))
+        headline = bool(b.path) and b.path[-1].split(".")[0] == "h1"
+        if slot in around and not any(map(_says_no_in_main, b.path)) and (headline or (template[slot].own >= BESIDE * template[main].mass and b.linked < LINKED * len(b.text))):
             out.append(b.text)
-    return out if out or (main and not other) else other
+    return out
 
 
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        texts = []
-        for page, template in zip(frame["html"], frame["template"]):
-            tokens = {t["token"]: (t["kind"], t["constant"], t["linked"]) for t in template} if template is not None else {}
-            texts.append("\n".join(chosen(parse(page)[1], tokens)))
+        texts = ["\n".join(chosen(*parse(page), _read(template) if isinstance(template, str) else {})) for page, template in zip(frame["html"], frame["template"])]
         yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``."""
     tokens = cut(_tokens(pages))
-    large = cut(tokens.where((F.col("token") == "") & (F.col("pages") > PAGES)).select(F.col("host").alias("large_host"), F.ceil(F.col("pages") / PAGES).cast("int").alias("parts")))
-    if large.count() <= FEW_HOSTS:
-        large = F.broadcast(large)
-    parted = lambda df, host: df.join(large, F.col(host) == F.col("large_host"), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("large_host")
-    entry = F.struct("token", "kind", "constant", "linked")
-    per_host = templates(tokens).groupBy(F.col("host").alias("of_host")).agg(F.collect_list(entry).alias("template"))
-    spread = parted(per_host, "of_host").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    rows = parted(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host")), "host")
-    rows = rows.withColumn("page_part", F.pmod(F.xxhash64("page_id", "html"), F.col("parts")).cast("int"))
-    met = rows.join(spread, (F.col("host") == F.col("of_host")) & (F.col("page_part") == F.col("part")), "left")
+    entry = F.struct("token", "pages", "constant", "linked", "chars", "place")
+    per_host = cut(templates(tokens).groupBy(F.col("host").alias("of_host")).agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("template")))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"))
+    if (per_host.agg(F.sum(F.length("template"))).first()[0] or 0) <= FEW_BYTES:
+        met = rows.join(F.broadcast(per_host), F.col("host") == F.col("of_host"), "left")
+    else:
+        large = cut(tokens.where((F.col("token") == "") & (F.col("pages") > PAGES)).select(F.col("host").alias("large_host"), F.ceil(F.col("pages") / PAGES).cast("int").alias("parts")))
+        if large.count() <= FEW_HOSTS:
+            large = F.broadcast(large)
+        parted = lambda df, host: df.join(large, F.col(host) == F.col("large_host"), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("large_host")
+        spread = parted(per_host, "of_host").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        rows = parted(rows, "host").withColumn("page_part", F.pmod(F.xxhash64("page_id", "html"), F.col("parts")).cast("int"))
+        met = rows.join(spread, (F.col("host") == F.col("of_host")) & (F.col("page_part") == F.col("part")), "left")
     return met.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "template").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
