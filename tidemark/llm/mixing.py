@@ -1,20 +1,24 @@
-"""Mixing sources to target weights: packed blocks, conditioned multinomial shards, permuted indices, joins by index.
+"""Mixing sources to target weights: packed blocks, drawn shard counts, permuted indices, joins by index.
 
-Each source's words form one stream, cut into blocks of ``BLOCK`` words. A source's target in words becomes whole
-epochs over its blocks and a part of one more; a pseudorandom permutation of the block indices, another for each
-epoch, says which block a slot takes, and the last slot is cut where the target is met. All slots are dealt to output
-shards by one more permutation: a shard's counts by source are then multinomial draws conditioned on the sources'
-totals, so that no source drifts from its target.
+Each source's words form one stream, cut into blocks of ``BLOCK`` words. A source's target in words becomes slots: whole
+epochs over its blocks and a part of one more. :func:`draw` deals all slots to output shards by one pseudorandom
+permutation, which gives each shard its counts by source: multinomial draws conditioned on the sources' totals, as
+free draws would miss the targets by several percent on small corpora. The drawn counts then make the mix: in the order
+of the shards, each takes its count of the source's next slots, a permutation of the source's block indices, another
+for each epoch, says which block a slot takes, and another of the shard's places where it goes. The last slot of a source
+is cut where the target is met. Blocks are joined with the documents by their index.
 
 The permutations are swap-or-not shuffles: each round maps ``x`` to ``key - x`` or leaves it, by a hash of the larger
 of the two. They are bijections on any range, need no state, and are computed row by row.
 
-Everything is a DataFrame expression. A source's offsets are sums over hashed parts of about ``PART`` documents, so a
-source that holds most rows is no single task; slots are generated in two steps for the same reason.
+Everything is a DataFrame expression. A source's offsets are sums over hashed parts of about ``PART`` documents, and sums
+over parts and shards go in strides of ``STRIDE``, so a source that holds most rows is no single task; slots are
+generated in two steps for the same reason.
 
 Edge cases: a null or blank text has size 0 and is never taken; a null source is a source of its own, last in order;
 a source without words has target 0; an empty table gives an empty result; repeated rows are mixed as rows of their
-own; a null ``doc_id`` is passed on; reruns over the same files agree.
+own; a null ``doc_id`` is passed on; further columns are ignored; very long texts are taken whole; reruns agree, also
+over other partitions of the same rows, but for which of several equal rows takes what.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ from .common import WORD, cut, text_of
 BLOCK = 512
 #: Slots of one output shard.
 SHARD = 1024
-PART = 4_000
+PART = 1_000
+#: Parts or shards that one task sums up.
+STRIDE = 4_096
 #: Slots generated from one row.
 RUN = 16_384
 ROUNDS = 24
@@ -80,44 +86,54 @@ def planned(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.withColumn("first_slot", F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("slots"))
 
 
-def slots(plan: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(shard, place, rank, block, take, whole): what each slot of the output takes, from the start of its block."""
-    spark = plan.sparkSession
+def _before(df: DataFrame, by: str, order: str, value: str, name: str) -> DataFrame:
+    """With the sum of ``value`` over the rows of a smaller ``order`` (0, 1, ...) of the same ``by``."""
+    rows = df.withColumn("stride", F.floor(F.col(order) / STRIDE))
+    upto = F.sum(value).over(Window.partitionBy(by, "stride").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    strides = rows.groupBy(by, "stride").agg(F.sum(value).alias("words"))
+    told = F.sum("words").over(Window.partitionBy(by).orderBy("stride").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    return rows.withColumn("upto", upto).join(strides.select(by, "stride", told.alias("earlier")), [by, "stride"]).withColumn(name, F.col("earlier") + F.col("upto") - F.col(value)).drop("stride", "upto", "earlier")
+
+
+def draw(plan: DataFrame) -> DataFrame:
+    """(shard, rank, n): how many slots of each source an output shard takes."""
     total = plan.agg(F.sum("slots").alias("all_slots"))
-    wide = plan.join(F.broadcast(total)).where("slots > 0")
+    wide = plan.where("slots > 0").join(F.broadcast(total)).select("rank", "slots", "first_slot", "all_slots")
     runs = wide.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RUN).cast("long"))))
-    runs = runs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rank", "run")
+    runs = runs.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "run")
     each = runs.withColumn("slot", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("slots")) - 1)))
-    each = each.withColumn("epoch", F.floor(F.try_divide(F.col("slot"), F.col("blocks"))).cast("long")).withColumn("k", F.pmod("slot", "blocks"))
+    place = swap_or_not(F.col("first_slot") + F.col("slot"), F.col("all_slots"), F.lit(7))
+    return each.select(F.floor(place / SHARD).cast("long").alias("shard"), "rank").groupBy("shard", "rank").agg(F.count("*").alias("n"))
+
+
+def slots(plan: DataFrame, drawn: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(shard, place, rank, block, take, whole): what each drawn slot of the output takes, from the start of its block."""
+    counts = _before(drawn, "rank", "shard", "n", "first")
+    held = Window.partitionBy("shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("low", F.sum("n").over(held) - F.col("n")).withColumn("held", F.sum("n").over(Window.partitionBy("shard")))
+    told = plan.select("rank", "blocks", "epochs", "rest", "tail", "tail_at")
+    each = counts.join(F.broadcast(told) if plan.count() <= FEW_SOURCES else told, "rank").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    each = each.withColumn("slot", F.col("first") + F.col("i")).withColumn("epoch", F.floor(F.try_divide(F.col("slot"), F.col("blocks"))).cast("long")).withColumn("k", F.pmod("slot", "blocks"))
     each = each.withColumn("block", swap_or_not(F.col("k"), F.col("blocks"), F.xxhash64("rank", "epoch")))
-    each = each.withColumn("at", swap_or_not(F.col("first_slot") + F.col("slot"), F.col("all_slots"), F.lit(7)))
+    each = each.withColumn("place", swap_or_not(F.col("low") + F.col("i"), F.col("held"), F.xxhash64("shard")))
     long = F.when(F.col("block") == F.col("blocks") - 1, F.col("tail")).otherwise(F.lit(block))
     start = F.col("k") * block - F.when(F.col("k") > F.col("tail_at"), block - F.col("tail")).otherwise(0)
     take = F.when(F.col("epoch") < F.col("epochs"), long).otherwise(F.least(long, F.col("rest") - start))
-    return each.withColumn("take", take.cast("long")).select(
-        F.floor(F.col("at") / SHARD).cast("long").alias("shard"), F.pmod("at", F.lit(SHARD)).alias("place"), "rank", "block", "take", (take == long).alias("whole")
-    )
-
-
-def shard_counts(dealt: DataFrame) -> DataFrame:
-    """(shard, rank, n): the drawn counts."""
-    return dealt.groupBy("shard", "rank").agg(F.count("*").alias("n"))
+    return each.withColumn("take", take.cast("long")).select("shard", "place", "rank", "block", "take", (take == long).alias("whole"))
 
 
 def _measured(docs: DataFrame, id_col: str) -> DataFrame:
     return cut(
-        docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+        docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(id_col, "text").alias("mark"))
     )
 
 
 def _pieces(rows: DataFrame, block: int, part: int) -> DataFrame:
     """(row, rank, block, low, words, skip): where each document lies in the blocks of its source."""
     parts = max(1, rows.count() // part)
-    placed = rows.where("size > 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    within = Window.partitionBy("rank", "part").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    before = placed.groupBy("rank", "part").agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    before = before.select("rank", "part", (F.sum("words").over(order) - F.col("words")).alias("before"))
+    placed = rows.where("size > 0").withColumn("part", F.pmod("mark", F.lit(parts)))
+    within = Window.partitionBy("rank", "part").orderBy("mark", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    before = _before(placed.groupBy("rank", "part").agg(F.sum("size").alias("of_part")), "rank", "part", "of_part", "before").select("rank", "part", "before")
     offset = placed.withColumn("upto", F.sum("size").over(within)).join(before, ["rank", "part"]).select("row", "rank", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("start"))
     spread = offset.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long"))))
     low = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
@@ -134,7 +150,8 @@ def _mixture(docs: DataFrame, block: int, part: int, id_col: str) -> tuple[DataF
     if sources.count() <= FEW_SOURCES:
         told = F.broadcast(told)
     rows = measured.join(told, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
-    dealt = slots(planned(sources, block), block)
+    plan = planned(sources, block)
+    dealt = slots(plan, cut(draw(plan)), block)
     words = F.least(F.col("words"), F.col("take") - F.col("low"))
     met = _pieces(rows, block, part).join(dealt.hint("merge"), ["rank", "block"]).withColumn("words", words).where("words > 0")
     return rows, met.select("shard", "place", "rank", "block", "low", "row", "skip", "words")
@@ -163,10 +180,14 @@ def mixed_blocks(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col:
 
 
 def mix(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken``, summed over the rows of :func:`mixed`."""
+    """One row per document: ``doc_id, size, source_size, target, taken, pieces, first_shard``, from the rows of :func:`mixed`.
+
+    ``pieces`` counts the slots that hold words of the document, ``first_shard`` is the first output shard with one.
+    """
     rows, pieces = _mixture(docs, block, part, id_col)
-    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
-    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.count("*").alias("pieces"), F.min("shard").alias("first_shard"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", count("taken"), count("pieces"), "first_shard")
 
 
 def brute_targets(sizes: list[tuple[str | None, int]]) -> dict:
