@@ -6,10 +6,11 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import line_dedup, pii, token_counts
 from .chat import format_chats
-from .common import shared_dir, table
+from .common import WORD, shared_dir, table, text_of
 from .decontaminate import contaminated
 from .exact_dedup import dedup
 from .html_extract import extract
@@ -35,11 +36,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rollup of all documents, loaded as one batch that is committed twice, as after a lost answer."""
-    ledger = f"{shared_dir(spark)}/token-ledger-{uuid.uuid4().hex}"
-    delta = token_counts.changes(inserted=table(spark, sf_dir, "documents"))
-    token_counts.commit(delta, ledger, "load")
-    token_counts.commit(spark.read.parquet(f"{ledger}/batch=load").checkpoint(), ledger, "load")
+    """The rollup of all documents that hold words, kept up through four batches.
+
+    An earlier state of the corpus, all in lower case, is loaded; every document is then revised to its present text; those
+    without words are deleted; and the revision is sent once more, as after a lost answer.
+    """
+    ledger, docs = f"{shared_dir(spark)}/token-ledger-{uuid.uuid4().hex}", table(spark, sf_dir, "documents").select("source", "lang", "text")
+    old = F.lower("text")
+    revision = token_counts.changes(revised=docs.withColumn("old_text", old))
+    token_counts.commit(token_counts.changes(inserted=docs.withColumn("text", old)), ledger, "load")
+    token_counts.commit(revision, ledger, "revision")
+    token_counts.commit(token_counts.changes(deleted=docs.where(~text_of().rlike(WORD))), ledger, "deletion")
+    token_counts.commit(revision, ledger, "revision")
     return token_counts.totals(spark, ledger)
 
 

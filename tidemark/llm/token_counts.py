@@ -3,8 +3,7 @@
 A ledger in the shared store holds one folder per batch. A batch is a set of signed changes: inserts add a document's
 counts, deletes take them away, a revision is a delete of the old counts and an insert of the new ones. Each batch is
 summed by source, language and tokenizer version before it is written, so a ledger grows with batches and not with
-documents, and totals are the sum over batches. A batch is written under its own id, over whatever an earlier attempt
-at the same id left there: committing it again changes nothing.
+documents, and totals are the sum over batches. A batch is committed once by its id: committing it again changes nothing.
 
 Edge cases: a null text has no tokens, no bytes and no words but is a document; null source or language is a key of
 its own; a key whose documents are all gone is left out; an empty table gives no rows; long texts are tokenised
@@ -15,10 +14,12 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where the public tokenizers' files are; a parameter of every function that needs them.
@@ -49,8 +50,8 @@ def count_tokens(text: str | None, enc) -> int:
     return len(enc.encode_ordinary(text)) if text else 0
 
 
-def counted(docs: DataFrame, folder: str = TOKENIZERS, version: str = VERSION) -> DataFrame:
-    """(source, lang, tokenizer, docs, tokens, bytes, words): one row per document, or per group of a batch of rows."""
+def counted(docs: DataFrame, sign: Column, folder: str = TOKENIZERS, version: str = VERSION) -> DataFrame:
+    """(source, lang, tokenizer, docs, tokens, bytes, words): one row per group of a batch of rows, times ``sign``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(folder, version)
@@ -65,8 +66,7 @@ def counted(docs: DataFrame, folder: str = TOKENIZERS, version: str = VERSION) -
                 out[c] *= out["docs"]
             yield out.groupby(list(KEYS), dropna=False, as_index=False)[list(COUNTS)].sum().astype(object).where(lambda x: x.notna(), None)
 
-    signed = docs if "sign" in docs.columns else docs.withColumn("sign", F.lit(1).cast("long"))
-    return signed.select(F.col("source").cast("string"), F.col("lang").cast("string"), "text", F.col("sign").cast("long")).mapInPandas(run, LEDGER)
+    return docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), "text", sign.cast("long").alias("sign")).mapInPandas(run, LEDGER)
 
 
 def summed(changes: DataFrame) -> DataFrame:
@@ -75,30 +75,41 @@ def summed(changes: DataFrame) -> DataFrame:
 
 def changes(inserted: DataFrame | None = None, deleted: DataFrame | None = None, revised: DataFrame | None = None, folder: str = TOKENIZERS, version: str = VERSION) -> DataFrame:
     """The signed counts of one batch. ``revised`` has ``old_text`` beside the columns of a document."""
-    columns = ["source", "lang", "text"]
     parts = []
     if inserted is not None:
-        parts.append(inserted.select(*columns, F.lit(1).alias("sign")))
+        parts.append(counted(inserted, F.lit(1), folder, version))
     if deleted is not None:
-        parts.append(deleted.select(*columns, F.lit(-1).alias("sign")))
+        parts.append(counted(deleted, F.lit(-1), folder, version))
     if revised is not None:
-        parts += [revised.select(*columns, F.lit(1).alias("sign")), revised.select("source", "lang", F.col("old_text").alias("text"), F.lit(-1).alias("sign"))]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return summed(counted(union, folder, version))
+        old = revised.select("source", "lang", F.col("old_text").alias("text"))
+        parts += [counted(revised, F.lit(1), folder, version), counted(old, F.lit(-1), folder, version)]
+    return summed(reduce(DataFrame.unionByName, parts))
 
 
-def commit(delta: DataFrame, ledger: str, batch: str) -> None:
-    """Write a batch. The same id again replaces the same rows, so a retry is safe at any point."""
+def commit(delta: DataFrame, ledger: str, batch: str) -> bool:
+    """Write a batch; False if its id is committed already, which then changes nothing.
+
+    The rows are written under a name of this attempt and get that of the batch by one rename, so readers see a batch
+    as a whole or not at all, and what a crashed attempt left counts for nothing.
+    """
     if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
         raise ValueError(f"not a batch id: {batch!r}")
-    delta.write.mode("overwrite").parquet(f"{ledger}/batch={batch}")
+    spark, attempt = delta.sparkSession, f"{ledger}/attempts/{batch}-{uuid.uuid4().hex}"
+    of, to = spark._jvm.org.apache.hadoop.fs.Path(attempt), spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/batches/{batch}")
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(to):
+        return False
+    delta.write.parquet(attempt)
+    fs.mkdirs(to.getParent())
+    if fs.exists(to) or not fs.rename(of, to):
+        fs.delete(of, True)
+        return False
+    return True
 
 
 def totals(spark: SparkSession, ledger: str) -> DataFrame:
     """The additive totals over all batches, of the keys that still have documents."""
-    return summed(spark.read.schema(LEDGER).parquet(f"{ledger}/batch=*")).where("docs <> 0")
+    return summed(spark.read.schema(LEDGER).parquet(f"{ledger}/batches/*")).where("docs <> 0")
 
 
 def compact(spark: SparkSession, ledger: str, into: str) -> None:
