@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import free_name, text_of
 
 #: Code points before a span in which context words count.
 CONTEXT = 40
@@ -142,9 +142,11 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in brackets; where spans overlap, the first counts."""
-    found = find_pii(docs.withColumn(text, text_of(text)), text)
+    rows = docs.withColumn(text, text_of(text))
+    spans = free_name(rows, "spans")
+    found = rows.withColumn(spans, F.concat(*[spans_of(F.col(text), k) for k in KINDS]))
     body = F.col(text)
-    order = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(acc: Column, s: Column) -> Column:
@@ -152,7 +154,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["stop"].alias("at"), kept.alias("out")))
 
     done = F.aggregate(order, start, add, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    return found.withColumn(text, done).drop("pii")
+    return found.withColumn(text, done).drop(spans)
 
 
 def joined(spans: Column) -> Column:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import FEW_ROWS, cut
 
 #: Shares of the pooled covariance and of the scaled identity in a class covariance.
 POOLED, IDENTITY = 0.3, 0.02
@@ -153,10 +153,14 @@ def squash(raw: np.ndarray) -> np.ndarray:
     return np.arcsinh(raw / 4) * 4
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the labels that may be learned from."""
+    return labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out(F.col("doc_id")))
+
+
 def train(rows: DataFrame, labels: DataFrame) -> Discriminant | None:
     """Fit on all labelled rows that are not held out. ``rows`` is (doc_id, x)."""
-    known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out(F.col("doc_id")))
-    labelled = cut(rows.join(known, "doc_id").select("quality", "x"))
+    labelled = cut(rows.join(known_labels(labels), "doc_id").select("quality", "x"))
     d = len(FEATURES)
     sums: dict[int, np.ndarray] = {}
     for r in labelled.mapInPandas(_moments, "quality int, i int, v double").groupBy("quality", "i").agg(F.sum("v").alias("v")).collect():  # 2 (1 + d + d d) rows
@@ -194,17 +198,21 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not reject, all columns kept; texts are read twice and never shuffled."""
-    model = train(cut(with_features(docs)), labels)
-    schema = docs.schema
-    name = "score_of_text"
-    while name in docs.columns:
-        name += "_"
+    """The documents that the classifier does not reject, all columns kept; texts are never shuffled.
+
+    The statistics for training are those of labelled documents; the ids are sent to the scan of the texts if they are
+    few by count. If a class is missing, every score is 0.5 as in :func:`classify`, and all documents are rejected. Null
+    and empty texts are scored as any other; repeated rows are judged alike; an empty table gives an empty result.
+    """
+    ids = known_labels(labels).select("doc_id").where("doc_id is not null").distinct()
+    few = ids.count() <= FEW_ROWS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = train(cut(with_features(texts.join(F.broadcast(ids), "doc_id", "left_semi") if few else texts)), labels)
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         if model is None:
-            return pd.Series(np.full(len(text), 1.0))
+            return pd.Series(np.full(len(text), 0.5))
         return pd.Series(model.score(np.array([features(t) for t in text]).reshape(len(text), len(FEATURES))))
 
-    return docs.withColumn(name, score(F.col("text"))).where(F.col(name) >= THRESHOLD).select(*[F.col(f"`{c}`") for c in schema.names])
+    return docs.select(F.struct("*").alias("doc")).withColumn("score", score(F.col("doc.text"))).where(F.col("score") >= THRESHOLD).select("doc.*")
