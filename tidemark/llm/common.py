@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: A side of a join is broadcast up to this many rows of a few numbers each, by count.
+FEW_ROWS = 200_000
+
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (a local session, as in tests) a
-    temporary folder of this machine is taken.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset in local mode, as in tests, a temporary
+    folder of this machine is taken. On a cluster it has to be set.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -34,8 +42,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    _written[out] = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what :func:`cut` wrote for these tables, once nothing reads them any more."""
+    for df in tables:
+        remove(df.sparkSession, _written.pop(df))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def side(df: DataFrame) -> DataFrame:
+    """The side of a join, to be broadcast if it is small by count; beyond, the join is shuffled."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` lacks, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_of(name: str = "text") -> Column:

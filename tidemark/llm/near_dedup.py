@@ -10,14 +10,15 @@ Sets that are equal form one class before banding. Candidates are verified on wh
 1. buckets of up to ``SMALL`` classes: all pairs; larger ones: each member with the bucket's two pivots;
 2. links give components. A larger bucket whose members lie in several components is not settled yet. Components
    that meet in such buckets form a cloud; in each cloud the members outside its largest component are compared
-   with all others, in blocks that give links only. So no link that shares a bucket is missed, and no pairs
-   within a large group are written out.
+   with all others, in blocks that give links of components only. So no link that shares a bucket is missed, and no
+   pairs within a large group are written out.
 
 A pair at the threshold of 0.8 shares none of the 40 bands of 5 with a probability of 1.3e-7.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing; a text with fewer than ``k``
-words is one shingle; a null id is linked with nothing and stays; repeated rows of an id share its component; an
-empty table gives an empty result; very long texts are taken whole.
+words is one shingle; a null id is linked with nothing and stays; repeated rows of an id share its component, and an
+id with several texts has the links of all of them; an empty table gives an empty result; very long texts are taken
+whole; further columns are ignored by :func:`near_dedup` and kept by :func:`drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -30,17 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import FEW_ROWS, cut, discard, side
 from .components import components
 
 BANDS, ROWS = 40, 5
 SMALL = 8
-#: Sides of the blocks of sets that one task compares.
-BLOCK = 512
-#: Rows of a class are mapped to it in this many parts.
-SALTS = 64
-#: Ids of candidates are sent to the scan of the texts up to this many (a few MB); beyond, texts are shuffled to them.
-FEW_IDS = 200_000
+#: The most classes and elements, on average, on a side of a block of sets that one task compares.
+BLOCK, BLOCK_ELEMENTS = 1_024, 500_000
+#: Rows of a large bucket in one part of a join.
+SPLIT = 1_000
 #: Elements that are sketched together.
 CHUNK = 400_000
 
@@ -109,31 +108,35 @@ def band_hashes(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _signature(elements: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(elements.tobytes()) if len(elements) else None
+
+
 def _sketch_partition(k: int, bands: int, rows: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for frame in frames:
-            ids, chunk, size = [], [], 0
-            for doc_id, text in zip(frame["id"], frame["text"]):
-                ids.append(doc_id)
+            keys, chunk, size = [], [], 0
+            for *key, text in zip(frame["row"], frame["id"], frame["text"]):
+                keys.append(key)
                 chunk.append(shingle_set(text, k, hashes))
                 size += len(chunk[-1])
                 if size > CHUNK:
-                    yield _rows(ids, chunk, bands, rows)
-                    ids, chunk, size = [], [], 0
-            if ids:
-                yield _rows(ids, chunk, bands, rows)
+                    yield _rows(keys, chunk, bands, rows)
+                    keys, chunk, size = [], [], 0
+            if keys:
+                yield _rows(keys, chunk, bands, rows)
 
     return run
 
 
-def _rows(ids: list, sets: list[np.ndarray], bands: int, rows: int) -> pd.DataFrame:
+def _rows(keys: list, sets: list[np.ndarray], bands: int, rows: int) -> pd.DataFrame:
     full = [i for i, s in enumerate(sets) if len(s)]
     found = np.empty(len(sets), object)
     if full:
         found[full] = list(band_hashes(sketches([sets[i] for i in full], bands * rows), bands, rows))
-    signature = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-    return pd.DataFrame({"id": pd.array(ids, "Int64"), "n": [len(s) for s in sets], "signature": signature, "bands": found})
+    of_row, ids = zip(*keys)
+    return pd.DataFrame({"row": of_row, "id": pd.array(ids, "Int64"), "n": [len(s) for s in sets], "signature": [_signature(s) for s in sets], "bands": found})
 
 
 def _set_partition(k: int):
@@ -141,23 +144,24 @@ def _set_partition(k: int):
         hashes = WordHashes()
         for frame in frames:
             for at in range(0, len(frame), 256):
-                part = frame.iloc[at : at + 256]
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "elements": [shingle_set(x, k, hashes).astype(np.int64) for x in part["text"]]})
+                sets = [shingle_set(x, k, hashes) for x in frame["text"].iloc[at : at + 256]]
+                yield pd.DataFrame({"signature": [_signature(x) for x in sets], "elements": [x.astype(np.int64) for x in sets]})
 
     return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a")), "a")
-    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("of_b")), "b")
+    with_a = pairs.join(sets.select(F.col("no").alias("a"), F.col("elements").alias("of_a")), "a")
+    both = with_a.join(sets.select(F.col("no").alias("b"), F.col("elements").alias("of_b")), "b")
+    large, small = F.greatest(F.size("of_a"), F.size("of_b")), F.least(F.size("of_a"), F.size("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    counted = both.select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
+    counted = both.where(small * 100 >= large * percent).select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
     return counted.where(F.col("shared") * 100 >= (F.col("sizes") - F.col("shared")) * percent).select("a", "b")
 
 
 def _block_links(percent: int):
-    """Compare the members of one block with those of another; of their links those that join new components stay."""
+    """Compare the classes of one block with those of another; the pairs of components that their links join."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         left, right = frame[frame["role"] == 0].reset_index(drop=True), frame[frame["role"] == 1].reset_index(drop=True)
@@ -168,9 +172,9 @@ def _block_links(percent: int):
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         sizes = np.array([len(x) for x in left["elements"]])
-        comps, ids = left["component"].to_numpy(), left["id"].to_numpy()
-        out, seen = [], set()
-        for doc, comp, elements in zip(right["id"], right["component"], right["elements"]):
+        comps = left["component"].to_numpy()
+        seen = set()
+        for comp, elements in zip(right["component"], right["elements"]):
             start, stop = np.searchsorted(flat, elements, "left"), np.searchsorted(flat, elements, "right")
             lengths = stop - start
             total = int(lengths.sum())
@@ -178,61 +182,104 @@ def _block_links(percent: int):
                 continue
             at = np.repeat(start - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(total)
             shared = np.bincount(owner[at], minlength=len(left))
-            hits = np.nonzero((shared * 100 >= (sizes + len(elements) - shared) * percent) & (comps != comp))[0]
-            for i in hits:
-                if (comps[i], comp) not in seen:
-                    seen.add((comps[i], comp))
-                    out.append((ids[i], doc))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            hits = (shared * 100 >= (sizes + len(elements) - shared) * percent) & (comps != comp)
+            seen.update((c, comp) for c in comps[hits])
+        return pd.DataFrame(sorted(seen), columns=["a", "b"]).astype("int64")
 
     return run
 
 
+def _classes(sketched: DataFrame) -> DataFrame:
+    """One row per distinct set: ``no`` (the least of its rows), least id, the parts of the input it occurs in, bands."""
+    usable = sketched.where("n > 0 and id is not null")
+    return usable.groupBy("signature").agg(F.min("row").alias("no"), F.min("id").alias("class_id"), F.collect_set("part").alias("parts"), F.first("bands").alias("bands"))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(no, elements) of the classes in ``wanted`` (no, signature, class_id); texts are read again."""
+    few = wanted.count() <= FEW_ROWS
+    ids = wanted.select(F.col("class_id").alias("id"))
+    texts = docs.where("id is not null").join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text")
+    found = texts.mapInPandas(_set_partition(k), "signature binary, elements array<long>")
+    keys = wanted.select("signature", "no")
+    return found.dropDuplicates(["signature"]).join(F.broadcast(keys) if few else keys, "signature").select("no", "elements")
+
+
+def _settled(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs of components (a, b) that links within the larger buckets join, beyond those with pivots."""
+    in_comp = large.join(roots.withColumnRenamed("id", "no"), "no", "left").select("bucket", "no", "c", F.coalesce("component", "no").alias("component"))
+    in_comp = cut(in_comp.withColumn("salt", F.pmod(F.xxhash64("no"), F.ceil(F.col("c") / SPLIT))))
+    torn = in_comp.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.max(F.ceil(F.col("c") / SPLIT)).alias("salts")).where("first <> last")
+    torn = torn.select("bucket", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    members = cut(in_comp.join(torn, ["bucket", "salt"]).select("no", "component", "first").distinct())
+    discard(in_comp)
+    if members.isEmpty():
+        return None
+    clouds = components(members.select(F.col("component").alias("a"), F.col("first").alias("b")))
+    of_cloud = side(clouds.withColumnRenamed("component", "cloud").withColumnRenamed("id", "component"))
+    sized = members.select("no", "component").distinct().join(of_cloud, "component", "left").join(sets, "no")
+    placed = cut(sized.select("no", "component", F.coalesce("cloud", "component").alias("cloud"), "elements", F.size("elements").alias("n")))
+    sizes = placed.groupBy("cloud", "component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    blocks = lambda m, n: F.greatest(F.ceil(m / BLOCK), F.ceil(n / BLOCK_ELEMENTS)).cast("int")
+    top = F.max(F.struct("m", "component", "n"))
+    plan = sizes.groupBy("cloud").agg(top.alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n"))
+    plan = cut(plan.select("cloud", F.col("top.component").alias("largest"), blocks(F.col("m"), F.col("n")).alias("all"), blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("outer")))
+    rows = placed.join(side(plan), "cloud")
+    at = lambda n: F.pmod(F.xxhash64("no"), n).cast("int")
+    columns = ["cloud", "component", "elements"]
+    left = rows.where("component <> largest").select(*columns, F.lit(0).alias("role"), at(F.col("outer")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("y"))
+    right = rows.select(*columns, F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("x"), at(F.col("all")).alias("y"))
+    more = cut(left.unionByName(right).groupBy("cloud", "x", "y").applyInPandas(_block_links(percent), "a long, b long"))
+    discard(members, placed, plan)
+    return more
+
+
+def _same_ids(sketched: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) of the classes that share an id, which then stands on several texts."""
+    usable = sketched.where("n > 0 and id is not null")
+    mark = F.xxhash64("signature")
+    ids = usable.groupBy("id").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("id")
+    if ids.isEmpty():
+        return None
+    met = usable.join(ids, "id").select("id", "signature").distinct().join(classes.select("signature", "no"), "signature").select("id", "no")
+    return met.join(met.groupBy("id").agg(F.min("no").alias("a")), "id").select("a", F.col("no").alias("b")).where("a <> b")
+
+
 def near_components(docs: DataFrame, k: int, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``id, n, component`` for each row of ``docs`` (id, text)."""
-    sketched = cut(docs.mapInPandas(_sketch_partition(k, bands, rows), "id long, n long, signature binary, bands array<long>"))
-    salted = sketched.select("id", "n", "signature", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
-    usable = salted.where("n > 0 and id is not null")
-    parts = usable.groupBy("signature", "salt").agg(F.min("id").alias("least"))
-    classes = cut(parts.groupBy("signature").agg(F.min("least").alias("class_id"), F.collect_set("salt").alias("salts")))
-    heads = sketched.join(classes.select(F.col("class_id").alias("id"), "signature"), ["id", "signature"], "left_semi").dropDuplicates(["id"])
-    members = heads.select("id", F.explode("bands").alias("bucket"))
-    buckets = cut(members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.max("id").alias("high")).where("c > 1"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    sketched = cut(numbered.mapInPandas(_sketch_partition(k, bands, rows), "row long, id long, n long, signature binary, bands array<long>"))
+    sketched = sketched.withColumn("part", F.shiftright("row", 33).cast("int"))
+    classes = cut(_classes(sketched))
+    members = classes.select("no", F.explode("bands").alias("bucket"))
+    buckets = cut(members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("no").alias("low"), F.max("no").alias("high")).where("c > 1"))
     inside = cut(members.join(buckets, "bucket"))
-
-    small = inside.where(f"c <= {SMALL}").select("bucket", "id")
-    pairs = small.select("bucket", F.col("id").alias("a")).join(small.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b")
-    large = inside.where(f"c > {SMALL}")
-    stars = large.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
-    pairs = cut(pairs.unionByName(stars.select("p.a", "p.b").where("a < b")).distinct())
-    wanted = cut(inside.select("id").distinct())
-    texts = docs.where("id is not null").join(F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted, "id", "left_semi")
-    sets = cut(texts.mapInPandas(_set_partition(k), "id long, elements array<long>").dropDuplicates(["id"]))
-    links = cut(_verified(pairs, sets, percent))
+    discard(buckets)
+
+    small, large = inside.where(f"c > 2 and c <= {SMALL}").select("bucket", "no"), inside.where(f"c > {SMALL}")
+    pairs = small.select("bucket", F.col("no").alias("a")).join(small.select("bucket", F.col("no").alias("b")), "bucket").select("a", "b")
+    couples = inside.where("c = 2 and no = low").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    ends = F.array(F.struct(F.col("low").alias("a"), F.col("no").alias("b")), F.struct(F.col("no").alias("a"), F.col("high").alias("b")))
+    pairs = cut(pairs.unionByName(couples).unionByName(large.select(F.inline(ends))).where("a < b").distinct())
+    wanted = cut(classes.select("no", "signature", "class_id").join(inside.select("no").distinct(), "no", "left_semi"))
+    sets = cut(_sets(docs, wanted, k))
+    links = _verified(pairs, sets, percent)
+    if (same := _same_ids(sketched, classes)) is not None:
+        links = links.unionByName(same)
     roots = components(links)
-
-    in_comp = large.join(roots, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    torn = in_comp.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last").select("bucket", "first")
-    open_members = cut(in_comp.join(torn, "bucket").select("id", "component", "first").distinct())
-    if not open_members.isEmpty():
-        clouds = components(open_members.select(F.col("component").alias("a"), F.col("first").alias("b")).distinct())
-        inside_cloud = open_members.select("id", "component").distinct().join(clouds.select(F.col("id").alias("component"), F.col("component").alias("cloud")), "component", "left")
-        inside_cloud = cut(inside_cloud.select("id", "component", F.coalesce("cloud", "component").alias("cloud")))
-        sizes = inside_cloud.groupBy("cloud", "component").agg(F.count("*").alias("members"))
-        largest = sizes.groupBy("cloud").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.sum("members").alias("all"), (F.sum("members") - F.max("members")).alias("outer"))
-        placed = inside_cloud.join(largest, "cloud").join(sets, "id")
-        outer_blocks, all_blocks = F.ceil(F.col("outer") / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
-        at = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-        columns = ["cloud", "id", "component", "elements"]
-        left = placed.where("component <> largest").select(*columns, F.lit(0).alias("role"), at(outer_blocks).alias("x"), F.explode(F.sequence(F.lit(0), all_blocks - 1)).alias("y"))
-        right = placed.select(*columns, F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), outer_blocks - 1)).alias("x"), at(all_blocks).alias("y"))
-        more = left.unionByName(right).groupBy("cloud", "x", "y").applyInPandas(_block_links(percent), "a long, b long")
-        roots = components(cut(links.unionByName(more)))
-
-    named = classes.select("signature", F.explode("salts").alias("salt"), "class_id")
-    full = salted.join(named, ["signature", "salt"], "left").join(roots.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    linked = F.expr("case when n > 0 and id is not null then coalesce(component, class_id) else id end")
-    return full.select("id", "n", linked.alias("component"))
+    if (more := _settled(large, roots, sets, percent)) is not None:
+        further = side(cut(components(more)).select(F.col("id").alias("component"), F.col("component").alias("to")))
+        joined = roots.join(further, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        roots = cut(joined.unionByName(further.join(roots.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("to").alias("component"))))
+    discard(inside, pairs, wanted, sets)
+
+    linked = roots.unionByName(roots.select(F.col("component").alias("id"), "component").distinct())
+    of_class = classes.select("no", "class_id").join(linked.withColumnRenamed("id", "no"), "no")
+    least = side(cut(of_class.groupBy("component").agg(F.min("class_id").alias("least"))))
+    named = linked.withColumnRenamed("id", "no").join(least, "component").select("no", "least")
+    named = classes.select("signature", "no", "class_id", F.explode("parts").alias("part")).join(named, "no", "left").select("signature", "part", F.coalesce("least", "class_id").alias("component"))
+    full = sketched.select("id", "n", "signature", "part").join(named, ["signature", "part"], "left")
+    return full.select("id", "n", F.expr("case when n > 0 and id is not null then component else id end").alias("component"))
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
