@@ -89,6 +89,28 @@ def test_near_edges(spark):
     assert left.count() == 4 and left.columns[-1] == "digest"
 
 
+def test_near_links_of_an_id_with_several_texts(spark):
+    """Each text of a repeated id has its links, in any order of the rows, and the id joins them."""
+    rng = random.Random(5)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(5, a), (5, b), (7, a + ["x"]), (8, b + ["y"]), (9, words(rng, 20)), (9, words(rng, 20)), (None, a)]
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        got = {(r.doc_id, r.component_id) for r in nd.near_dedup(docs(spark, [(i, " ".join(w)) for i, w in order]).repartition(3), 2).collect()}
+        assert got == {(5, 5), (7, 5), (8, 5), (9, 9), (None, None)}
+    got = {(r.doc_id, r.component_id) for r in nd.near_dedup(docs(spark, [(3 if i == 7 else i, " ".join(w)) for i, w in rows]), 2).collect()}
+    assert got == {(3, 3), (5, 3), (8, 3), (9, 9), (None, None)}
+
+
+def test_near_large_bucket_in_parts(spark, monkeypatch):
+    """Hot buckets, clouds of components and blocks in several parts give what one part gives."""
+    for name, value in (("SPLIT", 20), ("BLOCK", 16), ("BLOCK_ELEMENTS", 2_000)):
+        monkeypatch.setattr(nd, name, value)
+    rng = random.Random(6)
+    base = words(rng, 150)
+    rows = [(i, " ".join(mutate(rng, base, rng.choice([0.02, 0.06, 0.1, 0.12])))) for i in range(160)]
+    assert sorted(tuple(r) for r in nd.near_dedup(docs(spark, rows), 2).collect()) == sorted(nd.brute_force(rows, 2))
+
+
 def test_sketch_agreement_follows_similarity():
     import numpy as np
 

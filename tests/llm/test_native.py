@@ -60,7 +60,7 @@ def test_pii_iban_ends_where_its_country_says(spark):
 
 def test_pii_redacts(spark):
     out = pii.redact(docs(spark, [(1, "to a@b.cd or 4111 1111 1111 1111.", "s"), (2, None, "s")])).collect()
-    assert [r.text for r in out] == ["to [email] or [card].", ""]
+    assert [r.text for r in out] == ["to [email] or [card].", ""] and {r.pii for r in out} == {"x"}
 
 
 def test_targets_against_resharing(spark):
@@ -93,22 +93,57 @@ def test_mix(spark):
         total[1] += r.taken
     for (size, target), (n, taken) in by.items():
         assert n == size and abs(taken - target) <= 1
-    again = mixing.mix(docs(spark, rows).repartition(1), block=16, part=50)
-    assert sorted(map(str, got)) != [] and again.count() == len(rows)
+    for other in (docs(spark, rows).repartition(1), docs(spark, rows).repartition(7, "text")):
+        assert sorted(map(str, mixing.mix(other, block=16, part=50).collect())) == sorted(map(str, got))
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
 def test_shards_are_full_and_counts_add_up(spark):
     sources = spark.createDataFrame([("a", 40_000, 0, 80_000.0), ("b", 90_001, 1, 45_000.4)], "source string, source_size long, rank int, target double")
     plan = mixing.planned(sources, 16)
-    dealt = mixing.slots(plan, 16).cache()
+    drawn = mixing.draw(plan).cache()
+    dealt = mixing.slots(plan, drawn, 16).cache()
     assert dealt.select("shard", "place").distinct().count() == dealt.count()
     sizes = [r["count"] for r in dealt.groupBy("shard").count().orderBy("shard").collect()]
     assert set(sizes[:-1]) == {mixing.SHARD}
     taken = {r.rank: r.t for r in dealt.groupBy("rank").agg({"take": "sum"}).withColumnRenamed("sum(take)", "t").collect()}
     assert taken == {0: 80_000, 1: 45_000}
-    first = {r["rank"]: r.n for r in mixing.shard_counts(dealt).where("shard = 0").collect()}
+    first = {r["rank"]: r.n for r in drawn.where("shard = 0").collect()}
     assert abs(first[0] / mixing.SHARD - 80 / 125) < 0.06
+    assert {(r.shard, r["rank"]): r["count"] for r in dealt.groupBy("shard", "rank").count().collect()} == {(r.shard, r["rank"]): r.n for r in drawn.collect()}
+    fewer = mixing.slots(plan, drawn.where("shard <> 1"), 16)
+    assert fewer.count() == dealt.count() - mixing.SHARD
+
+
+def test_mix_follows_the_draw(spark, monkeypatch):
+    """What a document gives is what the drawn shards take: other draws, other shards; fewer, fewer words."""
+    rows = docs(spark, [(i, "w " * (1 + i * 7 % 90), f"s{i % 5}") for i in range(400)])
+    whole = {r.doc_id: r for r in mixing.mix(rows, block=4, part=50).collect()}
+    real = mixing.draw
+    monkeypatch.setattr(mixing, "draw", lambda plan: real(plan).where("shard <> 0"))
+    less = {r.doc_id: r for r in mixing.mix(rows, block=4, part=50).collect()}
+    assert sum(r.taken for r in less.values()) < sum(r.taken for r in whole.values()) and all(r.first_shard != 0 for r in less.values())
+
+
+def test_mix_by_hand(spark):
+    """The words that each document gives, counted by taking every drawn slot in turn from streams of words."""
+    rows = [(i, "w " * (1 + i * 5 % 40), f"s{i % 3}") for i in range(60)]
+    block, d = 8, docs(spark, rows)
+    sizes = {i: 1 + i * 5 % 40 for i, _, _ in rows}
+    got = {r.doc_id: r.taken for r in mixing.mix(d, block=block, part=10).collect()}
+    marks = {r.doc_id: r.mark for r in mixing._measured(d, "doc_id").collect()}
+    by_source = {s: sum(sizes[i] for i, _, x in rows if x == s) for s in ("s0", "s1", "s2")}
+    plan = mixing.planned(mixing.targets(spark.createDataFrame(list(by_source.items()), "source string, source_size long")), block)
+    dealt = mixing.slots(plan, mixing.draw(plan), block).collect()
+    want = dict.fromkeys(got, 0)
+    for rank, source in enumerate(sorted(by_source)):
+        ids = sorted((i for i, _, s in rows if s == source), key=lambda i: (marks[i] % (len(rows) // 10), marks[i]))
+        stream = [i for i in ids for _ in range(sizes[i])]
+        for r in dealt:
+            if r["rank"] == rank:
+                for i in stream[r.block * block : r.block * block + r.take]:
+                    want[i] += 1
+    assert got == want
 
 
 def test_mixed_blocks_are_what_mix_counts(spark):

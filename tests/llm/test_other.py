@@ -60,6 +60,10 @@ def test_quality_without_a_class_or_rows(spark):
     d, labels = labelled(spark, 30)
     assert {r.score for r in quality.classify(d, labels.where("quality = 1")).collect()} == {0.5}
     assert quality.classify(d.limit(0), labels).count() == 0
+    assert quality.keep_good(d, labels.where("quality = 1")).count() == 0
+    named = d.withColumn("Score", F.lit("mine")).withColumn("doc_", F.lit("mine"))
+    kept = quality.keep_good(named, labels)
+    assert kept.columns == named.columns and {r.Score for r in kept.collect()} == {"mine"}
 
 
 def test_cholesky_scores_equal_direct_densities():
@@ -134,7 +138,92 @@ def test_html_keeps_article_text(spark):
     assert got == {1: want, 2: "Two\nSix\nSeven"} | dict.fromkeys((3, 4, 5), "The one article")
 
 
+PLAIN_PAGE = """<html><body><div class="q1"><a href=1>{m}</a> <a href=2>Contact {m}</a></div><div class="q2">Buy {n} now, {n} times</div>
+<div class="q3"><p class="k1">Opening words of number {n} that are its own</p><div class="q9">Share this with all your friends</div><p>Middle {n} of the text, with its own words again {n}</p>
+<p>Rate this text</p><div class="q7"><p>Inner part {n} with words</p></div></div><div class="q4">Made by {m} in {n}</div></body></html>"""
+PLAIN_WANT = "Opening words of number {n} that are its own\nMiddle {n} of the text, with its own words again {n}\nInner part {n} with words"
+
+
+def test_html_by_the_template_alone(spark, monkeypatch):
+    """Meaningless names, no article element, notices inside the text: classes and masses decide."""
+    rows = [(i, f"http://h.example/{i}", PLAIN_PAGE.format(n=i, m="abcdefgh"[i] * 3)) for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got == {i: PLAIN_WANT.format(n=i) for i in range(8)}
+    off = html_extract.chosen(*html_extract.parse(rows[0][2]), {})
+    assert "Buy 0 now, 0 times" in off and "Share this with all your friends" in off
+    monkeypatch.setattr(html_extract, "FEW_BYTES", 0)
+    monkeypatch.setattr(html_extract, "PAGES", 3)
+    assert {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()} == got
+
+
+def test_html_layouts_of_one_host(spark):
+    """Pages of two layouts, and an error page, each have the main slot of their own classes."""
+    other = '<html><body><div class="z1">Short {n}</div><section class="z2"><h1>Other {n}</h1><p>Long text of the other layout, page {n}, with many words in it</p></section></body></html>'
+    rows = [(i, f"http://h.example/{i}", PLAIN_PAGE.format(n=i, m="abcdefgh"[i] * 3)) for i in range(5)] + [(10 + i, f"http://h.example/o{i}", other.format(n=i)) for i in range(4)]
+    rows += [(20, "http://h.example/e", "<html><body><h1>Not found</h1></body></html>"), (21, "http://h.example/n", None)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert all(got[10 + i] == f"Other {i}\nLong text of the other layout, page {i}, with many words in it" for i in range(4))
+    assert all("Middle" in got[i] and "Buy" not in got[i] and "Contact" not in got[i] for i in range(5)) and (got[20], got[21]) == ("Not found", "")
+
+
+def templates_by_hand(pages):
+    """host: {token: (constant, linked, chars)} by occurrence vectors written out in full."""
+    hosts = {}
+    for i, (host, page) in enumerate(pages):
+        paths, blocks = html_extract.parse(page)
+        if paths:
+            hosts.setdefault(host, {})[i] = (html_extract.tokens_of(paths, blocks), "\n".join(b.text for b in blocks))
+    out = {}
+    for host, read in hosts.items():
+        vectors = {}
+        for i, (tokens, _) in read.items():
+            for token, t in tokens.items():
+                vectors.setdefault(token, {})[i] = t[0]
+        kept = {}
+        for token, vector in vectors.items():
+            text, on_all = html_extract.TEXT in token, vector == vectors[""]
+            contents = len({read[i][1] for i in vector})
+            if set(vector.values()) != {1} or not (on_all and (not text or contents >= 3) or (not text and len(vector) >= 3)):
+                continue
+            held = [read[i][0][token] for i in vector]
+            chars, linked = sum(t[2] for t in held), sum(t[3] for t in held)
+            constant = contents >= 3 and len({tuple(t[4]) for t in held}) == 1
+            kept[token] = (constant, linked / chars if chars else 0.0, chars / len(vector))
+        closed = lambda t: t == "" or html_extract.TEXT in t or (t in kept and closed(t.rpartition("/")[0]))
+        out[host] = {t: v for t, v in kept.items() if closed(t)}
+    return out
+
+
+def test_html_templates_against_written_out_vectors(spark, sf_dir):
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    rows += [(1000 + i, f"http://h.example/{i}", PLAIN_PAGE.format(n=i, m="abcdefgh"[i] * 3)) for i in range(6)] + [(1000, "http://h.example/0", PLAIN_PAGE.format(n=0, m="aaa")), (1010, "http://h.example/e", "<html><body><h1>Not found</h1></body></html>")]
+    frame = pages(spark, rows).withColumn("host", html_extract.host_of())
+    want = templates_by_hand([(r.host, r.html) for r in frame.collect()])
+    got = {}
+    for r in html_extract.templates(html_extract._tokens(frame)).collect():
+        got.setdefault(r.host, {})[r.token] = html_extract.Slot(r.pages, r.constant, r.linked, r.chars, r.place)
+    assert got.keys() == want.keys()
+    for host, rows_of in got.items():
+        held = html_extract.nested(rows_of)
+        assert held.keys() == want[host].keys()
+        for t, (constant, linked, chars) in want[host].items():
+            assert held[t].constant == constant and abs(held[t].linked - linked) < 1e-9 and abs(held[t].chars - chars) < 1e-6
+
+
+def test_html_on_the_given_pages(spark, sf_dir):
+    """Each page's text is that of its article element, and the template changes what comes out."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    text = {r.page_id: r.text for r in html_extract.extract(rows).collect()}
+    changed = 0
+    for r in rows.collect():
+        paths, blocks = html_extract.parse(r.html)
+        assert text[r.page_id] == "\n".join(b.text for b in blocks if any(s.startswith("article") for s in b.path))
+        changed += text[r.page_id] != "\n".join(html_extract.chosen(paths, blocks, {}))
+    assert changed > len(text) / 2
+
+
 def test_html_hot_host_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "FEW_BYTES", 0)
     monkeypatch.setattr(html_extract, "PAGES", 3)
     rows = [(i, f"http://h.example/{i}", PAGE.format(n=i)) for i in range(40)]
     assert all(r.text == WANT.format(n=r.page_id) for r in html_extract.extract(pages(spark, rows)).collect())
@@ -170,6 +259,27 @@ def test_token_ledger(spark, folder):
     assert token_counts.changes(inserted=d.limit(0)).count() == 0
 
 
+def test_token_ledger_of_the_query_is_a_recount(spark, sf_dir):
+    """Loads, revisions and deletions of the whole table give what a count of the rows that are left gives."""
+    from tidemark.llm.queries import op5_token_counts
+
+    enc, want = token_counts.encoder(token_counts.TOKENIZERS, token_counts.VERSION), {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        if (r.text or "").split():
+            t = want.setdefault((r.source, r.lang, token_counts.VERSION), [0, 0, 0, 0])
+            for i, v in enumerate((1, len(enc.encode_ordinary(r.text)), len(r.text.encode()), len(r.text.encode().split()))):
+                t[i] += v
+    assert {tuple(r[:3]): list(r[3:]) for r in op5_token_counts(spark, sf_dir).collect()} == want
+
+
+def test_token_ledger_columns_and_attempts(spark, folder):
+    d = docs(spark, [(1, "a b", "s")]).withColumn("sign", F.lit("mine")).withColumn("docs", F.lit("mine"))
+    delta = token_counts.changes(inserted=d)
+    delta.write.parquet(f"{folder}/attempts/load-crashed")
+    assert token_counts.commit(delta, folder, "load") and not token_counts.commit(delta, folder, "load")
+    assert [(r.docs, r.words) for r in token_counts.totals(spark, folder).collect()] == [(1, 2)]
+
+
 # line dedup
 
 
@@ -198,6 +308,67 @@ ITEMS = [
 ]
 
 
+def tokens_of(text):
+    """(token, placeholder or lower case, value of a slot or None) of a text, by regular expressions."""
+    out, end = [], 0
+    for m in re.finditer(r"[^\W_]+", text or ""):
+        word, opens = m.group(), not out or re.search(r'[.!?:;\n"|]', text[end : m.start()])
+        end = m.end()
+        if re.fullmatch(r"\d+(st|nd|rd|th)?", word.lower()):
+            kind = "<num>"
+        elif word.lower() in decontaminate.UNITS:
+            kind = "<unit>"
+        else:
+            kind = "<name>" if re.fullmatch(r"[^\W\d_][^\W_]*", word) and word[0].isupper() and word[1:].islower() and not opens else word.lower()
+        out.append((word, kind, word.lower() if kind[0] == "<" else None))
+    return out
+
+
+def leaks_by_hand(docs, items):
+    """(doc_id, item_id) for a small fixture, from tuples of words, placeholders and slots."""
+    unspaced = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]"
+    raw = lambda ts: [x for w, _, _ in ts for x in re.split(f"({unspaced})", w.lower()) if x]
+    out, read = set(), [(d, tokens_of(t)) for d, t in docs]
+    for item, text in items:
+        mine = tokens_of(text)
+        runs, n = raw(mine), min(13, len(raw(mine)))
+        held = {tuple(runs[i : i + n]) for i in range(len(runs) - n + 1)} if n else set()
+        size = min(8, len(mine))
+        places = [i for i in range(len(mine) - size + 1) if sum(s is None for _, _, s in mine[i : i + size]) >= min(4, size)] if size >= 5 else []
+        for doc, own in read:
+            low = raw(own)
+            if any(tuple(low[i : i + n]) in held for i in range(len(low) - n + 1)):
+                out.add((doc, item))
+            met = [(j, i) for j in range(len(own) - size + 1) for i in places if [t[1] for t in own[j : j + size]] == [t[1] for t in mine[i : i + size]]]
+            groups, last = [list(met)], None
+            for j, i in met:
+                if last is None or i <= last:
+                    groups.append([])
+                groups[-1].append((j, i))
+                last = i
+            for group in groups:
+                pairs = {(mine[i + k][2], own[j + k][2]) for j, i in group for k in range(size) if mine[i + k][2] is not None}
+                agree = min(len({a for a, _ in pairs}), len({b for _, b in pairs})) / len(pairs) if pairs else 1.0
+                if places and len({i for _, i in group}) / len(places) >= 0.5 and agree >= 0.8:
+                    out.add((doc, item))
+    return out
+
+
+def test_decontamination_reads_tokens_as_expressions_would():
+    texts = ["", "The 3rd man. Anna met BOB and Eve's Dog: Paris 1st 2ND 3xth 12km 5 km\nTo the Moon_base x2 v1st", "Él vio a Ñandú “Ana” dijo…Eva 漢字とAbc ½ ٣ ٣rd", "a" * 3000 + " Bb " + "9" * 3000, "\ud800 Xy z", "Ab", "!?", "one\ttwo\x0bThree\u00a0Four|Five"]
+    joined = decontaminate.Texts(texts)
+    plain = joined.plain()
+    codes = joined.canonical(plain).code
+    place = {1: "<num>", 2: "<unit>", 3: "<name>"}
+    got = [[] for _ in texts]
+    for d, a, b, c in zip(plain.doc, plain.start, plain.end, codes):
+        word = joined.whole[a:b]
+        got[d].append((word, place.get(int(c), word.lower()), word.lower() if int(c) in place else None))
+    assert got == [tokens_of(t) for t in texts]
+    one = decontaminate.Texts([texts[1]])
+    assert (one.plain().code == plain.code[plain.doc == 1]).all()
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     item = ITEMS[0][1]
@@ -207,11 +378,11 @@ def test_decontamination(spark):
         (8, "Say whether Bob gave 7 apples to the girl and whether Bob then kept 9 of the other apples", "s"), (9, "Say whether Bob gave 7 apples to the girl and whether Ann then kept 7 of the other apples", "s"), (0, item, "s"), (10, prose(rng, 20_000) + " " + item, "s"),
     ]
     d, b = docs(spark, rows), spark.createDataFrame(ITEMS + ITEMS[:1], "item_id long, text string")
-    for few in (10**6, 0):
+    for few in (10**9, 0):
         found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b, few).collect()}
         assert found == {(0, 1), (1, 1), (2, 1), (6, 2), (8, 6), (10, 1)}
     single = [r for r in rows if r[0] not in (None, 0)]
-    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, single), b).collect()} == decontaminate.brute_force([r[:2] for r in single], ITEMS)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, single), b).collect()} == leaks_by_hand([r[:2] for r in single], ITEMS)
     left = decontaminate.drop_contaminated(d, b)
     assert left.columns == d.columns and sorted(map(str, (r.doc_id for r in left.collect()))) == sorted(map(str, [3, 4, 5, 7, 9, None]))
     assert decontaminate.contaminated(docs(spark, []), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
@@ -223,7 +394,7 @@ def test_decontamination_of_a_question_held_twice(spark):
     b = spark.createDataFrame(ITEMS + ITEMS[5:], "item_id long, text string")
     for d in (docs(spark, rows), docs(spark, rows + rows)):
         found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()}
-        assert found == {(0, 6), (1, 6), (2, 6)} == decontaminate.brute_force([r[:2] for r in rows], ITEMS)
+        assert found == {(0, 6), (1, 6), (2, 6)} == leaks_by_hand([r[:2] for r in rows], ITEMS)
 
 
 def test_decontamination_finds_verbatim_copies(spark):
@@ -233,8 +404,8 @@ def test_decontamination_finds_verbatim_copies(spark):
     rows = [(1, "so two plus two it is"), (2, "see 12 + 30 = 42, 7 + 8 = 15, 9 + 1 = 10 there"), (3, "here: " + items[2][1]), (4, "他说今天天气很好我们一起去公园散步吧"), (5, "x y " + " ".join(words[10:35]) + " z")]
     rows += [(6, "see 13 + 30 = 42, 7 + 8 = 15, 9 + 1 = 11 there"), (7, " ".join(words[:12])), (8, "两个 plus"), (9, None), (10, "")]
     d, b = docs(spark, [(*r, "s") for r in rows]), spark.createDataFrame(items, "item_id long, text string")
-    for few in (10**6, 0):
-        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b, few).collect()} == {(i, i) for i in range(1, 6)} == decontaminate.brute_force(rows, items)
+    for few in (10**9, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b, few).collect()} == {(i, i) for i in range(1, 6)} == leaks_by_hand(rows, items)
 
 
 # chat
@@ -278,6 +449,14 @@ def test_chat_recovers_missing_markers_as_one_pass_would(spark):
     assert [r.role for r in got if not r.continued][:2] == ["user", "user"] or got[0].role == "user"
 
 
+def test_chat_markers_on_whole_lines():
+    assert chat.marker(" " * 76 + "user's are many") == (0, 0) and chat.marker("\t" * 85 + "user: hi") == (2, 91)
+    for line, role, rest in (("[assistant]: well", 3, "well"), ("USER> bye?", 2, "bye?"), ("**Human** : x", 2, "x"), ("<|system|>", 1, ""), ("A: yes", 3, "yes"), ("a long way", 0, "a long way"), ("user", 0, "user"), ("user  ", 0, "user  "), ("#user :", 2, ""), ("", 0, ""), ("bot|] hm", 3, "hm")):
+        mark, at = chat.marker(line)
+        assert (mark, line[at:]) == (role, rest), line
+    assert chat.marker("user" + " " * 200_000 + "x") == chat.marker(" " * 200_000) == chat.marker("[" * 200_000) == (0, 0)
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, "user", None), (1, None, None, "x"), (None, 0, "robot", "a\nb"), (1, 1, "assistant", ""), (1, 1, "assistant", ""), (2, 0, "user", "y" * 50_000)]
     got = chat.format_chats(turns(spark, rows)).collect()

@@ -12,9 +12,12 @@ Beside the templates stands an exact path for every item: runs of ``RUN`` raw to
 case; single characters in scripts without spaces), the whole item if it is shorter. One run that a document holds
 is enough, whatever its cover and however few ordinary words it has.
 
-The benchmark's windows are sent to the tasks, as a filter and for the join, only up to ``FEW_WINDOWS`` of them; beyond,
+The benchmark's windows are sent to the tasks, as a filter and for the join, only up to ``FEW_BYTES`` of them; beyond,
 all windows of the documents are shuffled and joined.
 
+Tasks read the texts of a batch as one array of code points. Token borders, the codes of tokens and the hashes of
+windows all come from running sums over it, so no Python code runs per word. Case is folded by code point.
+
 Edge cases: null, empty or blank texts match nothing; items shorter than a window are one window of their own
 length, from ``SHORTEST`` tokens on (shorter ones match verbatim only, so an item of one word matches every text with that word);
 a window with fewer than ``WORDS`` words between its slots is no evidence by itself; repeated benchmark items and repeated rows give the same answer once
@@ -23,16 +26,18 @@ per row's id; a null ``doc_id`` is never reported; long texts are read whole.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .near_dedup import WordHashes, mix
+from .near_dedup import mix
 
 WINDOW = 8
 SHORTEST = 5
@@ -41,7 +46,10 @@ WORDS = 4
 RUN = 13
 COVER = 0.5
 CONSISTENT = 0.8
-FEW_WINDOWS = 1_000_000
+#: The benchmark's windows with their slots, in bytes, up to which they are sent to every task.
+FEW_BYTES = 32_000_000
+#: Code points that a task reads together; a longer text is read alone.
+BATCH = 400_000
 
 #: Units that are replaced.
 UNITS = frozenset(
@@ -50,97 +58,129 @@ UNITS = frozenset(
     "inches foot feet yard yards gram grams kilogram kilograms liter liters litre litres percent degree degrees celsius fahrenheit watt watts volt volts".split()
 )
 NUM, UNIT, NAME = (np.uint64(x) for x in (1, 2, 3))
-_TOKEN = re.compile(r"[^\W_]+")
-#: Letters of scripts that are written without spaces: Thai to Lao, Burmese, Khmer, kana, Han.
-_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-_NUMBER = re.compile(r"\d+(?:st|nd|rd|th)?")
-_ENDS = re.compile(r"[.!?:;\n\"|]")
-
+#: Code points of scripts that are written without spaces (Thai to Lao, Burmese, Khmer, kana, Han).
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+ENDS = '.!?:;\n"|'
+SUFFIXES = ("st", "nd", "rd", "th")
+#: Bits of a code point's kind. Letters and digits beyond ``LAST`` do not exist.
+INSIDE, END, UPPER, LOWER, DIGIT, ALONE = (np.uint8(1 << i) for i in range(6))
+LAST = 0x3FFFF
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-class Raw(WordHashes):
-    """The code of a token as it is, in lower case; the same as an ordinary word's."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[token] = code = Canon.word(token.lower())
-        return code
-
-
-class Canon(WordHashes):
-    """The code of a token inside a sentence: a placeholder's, or the hash of the word in lower case."""
-
-    def __missing__(self, token: str) -> int:
-        low = token.lower()
-        if _NUMBER.fullmatch(low):
-            code = int(NUM)
-        elif low in UNITS:
-            code = int(UNIT)
-        elif token[:1].isupper() and token[1:].islower():
-            code = int(NAME)
-        else:
-            code = self.word(low)
-        if len(self) > 500_000:
-            self.clear()
-        self[token] = code
-        return code
-
-    @staticmethod
-    def word(low: str) -> int:
-        import xxhash
-
-        return xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) | 8
-
-
-def template(text: str | None, canon: Canon) -> tuple[list[str], np.ndarray]:
-    """Tokens and their codes. A capitalised word that opens a sentence is an ordinary word."""
-    text = text or ""
-    tokens = _TOKEN.findall(text)
-    codes = np.fromiter(map(canon.__getitem__, tokens), np.uint64, len(tokens))
-    if (named := np.nonzero(codes == NAME)[0]).size:
-        gaps = _TOKEN.split(text)
-        for i in named:
-            if i == 0 or _ENDS.search(gaps[i]):
-                codes[i] = canon.word(tokens[i].lower())
-    return tokens, codes
-
-
-def raw_tokens(tokens: list[str]) -> list[str]:
-    """The tokens with scripts without spaces taken character by character."""
-    out: list[str] = []
-    for token in tokens:
-        if token.isascii() or not _UNSPACED.search(token):
-            out.append(token)
-        else:
-            out += [t for t in re.split(f"({_UNSPACED.pattern})", token) if t]
-    return out
-
-
-def raw_codes(text: str | None, tokens: list[str], codes: np.ndarray, raw: Raw) -> np.ndarray:
-    """Codes of the raw tokens; ordinary words have theirs already."""
-    if text and not text.isascii() and _UNSPACED.search(text):
-        split = raw_tokens(tokens)
-        return np.fromiter(map(raw.__getitem__, split), np.uint64, len(split))
-    placed = np.nonzero(codes <= NAME)[0]
-    if placed.size:
-        codes = codes.copy()
-        codes[placed] = [raw[tokens[i]] for i in placed]
-    return codes
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: its kind, its lower case, and a random number for that."""
+    chars = [chr(i) for i in range(LAST + 1)]
+    kind = np.zeros(LAST + 1, np.uint8)
+    for bit, test in ((INSIDE, str.isalnum), (UPPER, lambda c: c.isupper() or c.istitle()), (LOWER, str.islower), (DIGIT, str.isdecimal)):
+        kind[[test(c) for c in chars]] |= bit
+    kind[[ord(c) for c in ENDS]] |= END
+    for low, high in UNSPACED:
+        kind[low : high + 1] |= ALONE & -(kind[low : high + 1] & INSIDE)
+    low = np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars], np.uint32)
+    with np.errstate(over="ignore"):
+        return kind, low, mix(low.astype(np.uint64) + np.uint64(1))
+
+
+@dataclass(frozen=True)
+class Tokens:
+    """The tokens of some texts: the text of each, where it lies in the whole, and its code."""
+
+    doc: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    code: np.ndarray
+
+
+class Texts:
+    """Texts read as one array of code points, each ended by a line feed."""
+
+    def __init__(self, texts: list[str]):
+        self.whole = "\n".join(texts)
+        kinds, self.lows, values = _tables()
+        self.points = np.minimum(np.frombuffer(self.whole.encode("utf-32-le", "surrogatepass"), np.uint32), np.uint32(LAST))
+        self.kind = kinds[self.points]
+        self.first = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+        with np.errstate(over="ignore"):
+            base, self.back = powers(len(self.points))
+            self.sums = np.zeros(len(self.points) + 1, np.uint64)
+            np.cumsum(values[self.points] * base, out=self.sums[1:])
+
+    def _tokens(self, apart: np.ndarray | None) -> Tokens:
+        """Runs of letters and digits; those of ``apart`` are tokens by themselves."""
+        inside = np.zeros(len(self.kind) + 2, bool)
+        inside[1:-1] = self.kind & INSIDE
+        starts, ends = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
+        if apart is not None:
+            alone = np.zeros(len(self.kind) + 2, bool)
+            alone[1:-1] = apart
+            border = inside[1:] & inside[:-1] & (alone[1:] | alone[:-1])
+            starts, ends = starts | border, ends | border
+        start, end = np.nonzero(starts)[0], np.nonzero(ends)[0]
+        with np.errstate(over="ignore"):
+            code = mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64)) | np.uint64(8)
+        return Tokens(np.searchsorted(self.first, start, "right") - 1, start, end, code)
+
+    def plain(self) -> Tokens:
+        """The tokens with the codes of their lower case."""
+        return self._tokens(None)
+
+    def raw(self, plain: Tokens) -> Tokens:
+        """The plain tokens, but for scripts without spaces, where each character is a token."""
+        apart = (self.kind & ALONE) > 0
+        return self._tokens(apart) if apart.any() else plain
+
+    def canonical(self, plain: Tokens) -> Tokens:
+        """The tokens with placeholders for numbers, units and capitalised words that open no sentence."""
+        code = plain.code.copy()
+        opening = self.kind[plain.start]
+        names = np.nonzero(opening & UPPER)[0]
+        if names.size:
+            start, end = plain.start[names], plain.end[names]
+            uppers, lowers = (np.concatenate(([0], np.cumsum((self.kind & bit) > 0))) for bit in (UPPER, LOWER))
+            ends = np.nonzero(self.kind & END)[0]
+            before = np.where(names > 0, plain.end[names - 1], 0)
+            inner = np.searchsorted(ends, start) == np.searchsorted(ends, before)
+            code[names[(uppers[end] - uppers[start] == 1) & (lowers[end] - lowers[start] > 0) & inner & (names > 0)]] = NAME
+        code[_units().known(plain.code)] = UNIT
+        numbers = np.nonzero(opening & DIGIT)[0]
+        if numbers.size:
+            start, end = plain.start[numbers], plain.end[numbers]
+            digits = np.concatenate(([0], np.cumsum((self.kind & DIGIT) > 0)))
+            digits = digits[end] - digits[start]
+            last = np.stack([self.lows[self.points[np.maximum(end - k, 0)]] for k in (2, 1)])
+            ordinal = np.any([(last[0] == ord(a)) & (last[1] == ord(b)) for a, b in SUFFIXES], axis=0)
+            code[numbers[(digits == end - start) | ((digits == end - start - 2) & ordinal)]] = NUM
+        return Tokens(plain.doc, plain.start, plain.end, code)
+
+
+@cache
+def _units() -> Wanted:
+    return Wanted(Texts(sorted(UNITS)).plain().code.view(np.int64))
+
+
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse, from the first one on."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            _powers[k] = np.cumprod(np.full(max(n, 2 * len(_powers[k])), base, np.uint64), dtype=np.uint64)
+    return _powers[0][:n], _powers[1][:n]
 
 
 class Runs:
     """Hashes of the runs of any length of one text, from sums of powers."""
 
     def __init__(self, codes: np.ndarray):
-        n = len(codes)
         with np.errstate(over="ignore"):
-            self.sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(mix(codes) * np.cumprod(np.full(n, _BASE, np.uint64), dtype=np.uint64), out=self.sums[1:])
-            self.back = np.cumprod(np.full(n, _INVERSE, np.uint64), dtype=np.uint64)
+            base, self.back = powers(len(codes))
+            self.sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum(mix(codes) * base, out=self.sums[1:])
 
     def hashes(self, n: int) -> np.ndarray:
         if len(self.back) < n:
@@ -149,78 +189,105 @@ class Runs:
             return mix((self.sums[n:] - self.sums[:-n]) * self.back[: len(self.back) - n + 1] + np.uint64(n)).astype(np.int64)
 
 
-def windows(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of ``n`` tokens, and which of them hold enough words."""
-    if len(codes) < n:
-        return np.empty(0, np.int64), np.empty(0, bool)
-    size = len(codes) - n + 1
-    out, literal = np.full(size, n, np.uint64), np.zeros(size, np.int64)
-    with np.errstate(over="ignore"):
-        for j in range(n):
-            part = codes[j : j + size]
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + part)
-            literal += part > NAME
-    return out.astype(np.int64), literal >= min(WORDS, n)
-
-
-def slots(tokens: list[str], codes: np.ndarray, at: int, n: int) -> list[str]:
-    return [tokens[i].lower() for i in range(at, at + n) if codes[i] <= NAME]
-
-
-def _known(wanted: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which of the hashes are in a sorted array."""
-    if not len(wanted):
-        return np.zeros(len(hashes), bool)
-    near = np.searchsorted(wanted, hashes)
-    near[near == len(wanted)] = 0
-    return wanted[near] == hashes
-
-
-def _window_rows(lengths: list[int], item: bool, wanted: dict[int, np.ndarray] | None = None):
-    """Windows of each text, runs of raw tokens with their length below 0; of an item shorter than them the whole; of a document only those in ``wanted``."""
+class Wanted:
+    """A set of hashes: a table by their first bits, and the sorted hashes for what it lets pass."""
+
+    BITS = 20
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.sort(hashes)
+        self.table = np.zeros(1 << self.BITS, bool)
+        self.table[self._first(self.sorted)] = True
+
+    def _first(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes.view(np.uint64) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of those that are in the set."""
+        hashes = hashes.view(np.int64)
+        near = np.nonzero(self.table[self._first(hashes)])[0]
+        at = np.searchsorted(self.sorted, hashes[near])
+        at[at == len(self.sorted)] = 0
+        return near[self.sorted[at] == hashes[near]] if len(self.sorted) else near[:0]
+
+
+def telling(tokens: Tokens, at: np.ndarray, n: int) -> np.ndarray:
+    """Those of the windows of ``n`` tokens from ``at`` on that hold enough ordinary words."""
+    words = np.concatenate(([0], np.cumsum(tokens.code > NAME)))
+    return at[words[at + n] - words[at] >= min(WORDS, n)]
+
+
+def _found(texts: Texts, lengths: list[int], wanted: dict[int, Wanted] | None) -> Iterator[tuple[int, int, int, int, list[str]]]:
+    """(text, hash, place, length, slots) of the windows and, with their length below 0, runs of raw tokens that are wanted."""
+    plain = texts.plain()
+    if not len(plain.code):
+        return
+    for tokens, own in ((texts.canonical(plain), [n for n in lengths if n > 0]), (texts.raw(plain), [n for n in lengths if n < 0])):
+        runs, first = Runs(tokens.code), np.searchsorted(tokens.doc, np.arange(len(texts.first)))
+        for n in own:
+            hashes, size = runs.hashes(abs(n)), abs(n)
+            at = np.arange(len(hashes)) if wanted is None else wanted[n].known(hashes)
+            at = at[tokens.doc[at] == tokens.doc[at + size - 1]]
+            if n > 0:
+                at = telling(tokens, at, n)
+            for i in at:
+                slots = [texts.whole[tokens.start[j] : tokens.end[j]].lower() for j in range(i, i + n) if tokens.code[j] <= NAME]
+                yield tokens.doc[i], hashes[i], i - first[tokens.doc[i]], n, slots
+
+
+def _item_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The windows and runs of each item; of one shorter than them the whole."""
+    for frame in frames:
+        out = []
+        for key, text in zip(frame["id"], frame["text"]):
+            texts = Texts([text or ""])
+            plain = texts.plain()
+            size, raw = min(WINDOW, len(plain.code)), min(RUN, len(texts.raw(plain).code))
+            found = list(_found(texts, ([size] if size >= SHORTEST else []) + ([-raw] if raw else []), None))
+            telling_windows = sum(n > 0 for _, _, _, n, _ in found)
+            out += [(key, h, at, n, telling_windows if n > 0 else len(found) - telling_windows, slots) for _, h, at, n, slots in found]
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+
+def _document_rows(lengths: list[int], hashes_of: dict[int, np.ndarray] | None):
+    """The windows and runs of each document, only those in ``hashes_of`` if it is given."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        canon, raw = Canon(), Raw()
+        wanted = None if hashes_of is None else {n: Wanted(h) for n, h in hashes_of.items()}
         for frame in frames:
-            for lo in range(0, len(frame), 512):
-                part, out = frame.iloc[lo : lo + 512], []
-                for key, text in zip(part["id"], part["text"]):
-                    tokens, codes = template(text, canon)
-                    if not tokens:
-                        continue
-                    plain = raw_codes(text, tokens, codes, raw)
-                    runs = Runs(plain)
-                    for n in [min(WINDOW, len(tokens)), -min(RUN, len(plain))] if item else lengths:
-                        if n < 0:
-                            hashes = runs.hashes(-n)
-                            good = np.ones(len(hashes), bool)
-                        elif n < SHORTEST:
-                            continue
-                        else:
-                            hashes, good = windows(codes, n)
-                        if wanted is not None and len(hashes):
-                            good &= _known(wanted[n], hashes)
-                        out += [(key, hashes[i], i, n, int(good.sum()) if item else 0, slots(tokens, codes, i, n) if n > 0 else []) for i in np.nonzero(good)[0]]
-                yield pd.DataFrame(out, columns=["id", "hash", "at", "length", "windows", "slots"])
+            keys, texts, size = [], [], 0
+            for key, text in zip(frame["id"], frame["text"]):
+                keys.append(key)
+                texts.append(text or "")
+                size += len(texts[-1])
+                if size > BATCH:
+                    yield rows(keys, texts, wanted)
+                    keys, texts, size = [], [], 0
+            if keys:
+                yield rows(keys, texts, wanted)
+
+    def rows(keys: list[int], texts: list[str], wanted: dict[int, Wanted] | None) -> pd.DataFrame:
+        return pd.DataFrame([(keys[d], h, at, n, 0, slots) for d, h, at, n, slots in _found(Texts(texts), lengths, wanted)], columns=_COLUMNS)
 
     return run
 
 
+_COLUMNS = ["id", "hash", "at", "length", "windows", "slots"]
 _ROW = "id long, hash long, at int, length int, windows int, slots array<string>"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, few: int = FEW_WINDOWS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, few: int = FEW_BYTES) -> DataFrame:
     """(doc_id, item_id, matched, windows, cover, consistent) for each document and benchmark item that it holds."""
-    items = cut(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null").mapInPandas(_window_rows([], True), _ROW))
+    items = cut(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null").mapInPandas(_item_rows, _ROW))
     lengths = [r[0] for r in items.select("length").distinct().collect()]  # at most WINDOW - SHORTEST + 1 + RUN values
     wanted = None
-    if items.count() <= few:
-        each = items.select("length", "hash").distinct().collect()
-        wanted = {n: np.sort(np.array([r[1] for r in each if r[0] == n], np.int64)) for n in lengths}
+    if (items.agg(F.sum(64 + F.length(F.array_join("slots", "        ")))).first()[0] or 0) <= few:
+        each = items.select("length", "hash").distinct().toPandas()  # few / 64 rows of two numbers at the most
+        wanted = {n: each.loc[each["length"] == n, "hash"].to_numpy(np.int64) for n in lengths}
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     if not lengths:
         texts = texts.limit(0)
-    found = texts.mapInPandas(_window_rows(lengths, False, wanted), _ROW).select(F.col("id").alias("doc_id"), "hash", "length", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
+    found = texts.mapInPandas(_document_rows(lengths, wanted), _ROW).select(F.col("id").alias("doc_id"), "hash", "length", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
     of_items = items.select(F.col("id").alias("item_id"), "hash", "length", F.col("at").alias("item_at"), "windows", F.col("slots").alias("item_slots"))
     met = found.join(F.broadcast(of_items) if wanted is not None else of_items, ["hash", "length"]).withColumn("raw", F.col("length") < 0)
     pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("doc_slots").alias("b"))
@@ -270,41 +337,3 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("gone_id"))
     return docs.select(F.struct("*").alias("doc")).join(gone, F.col("doc.doc_id") == F.col("gone_id"), "left_anti").select("doc.*")
-
-
-def brute_force(docs: Iterable[tuple[int, str | None]], items: Iterable[tuple[int, str | None]]) -> set[tuple[int, int]]:
-    """(doc_id, item_id) for a small fixture, with token tuples in place of hashes."""
-    canon, out = Canon(), set()
-    read = [(d, *template(t, canon)) for d, t in docs]
-    for item, text in items:
-        tokens, codes = template(text, canon)
-        plain = [t.lower() for t in raw_tokens(tokens)]
-        n = min(RUN, len(plain))
-        held = {tuple(plain[i : i + n]) for i in range(len(plain) - n + 1)} if n else set()
-        for doc, own, _ in read:
-            low = [t.lower() for t in raw_tokens(own)]
-            if any(tuple(low[i : i + n]) in held for i in range(len(low) - n + 1)):
-                out.add((doc, item))
-        n = min(WINDOW, len(tokens))
-        if n < SHORTEST:
-            continue
-        good = [i for i in range(len(tokens) - n + 1) if sum(c > NAME for c in codes[i : i + n]) >= min(WORDS, n)]
-        for doc, own, own_codes in read:
-            met = [
-                (j, i, set(zip(slots(tokens, codes, i, n), slots(own, own_codes, j, n))))
-                for j in range(len(own) - n + 1)
-                for i in good
-                if (own_codes[j : j + n] == codes[i : i + n]).all()
-            ]
-            runs, last = [list(met)], None
-            for m in met:
-                if last is None or m[1] <= last:
-                    runs.append([])
-                runs[-1].append(m)
-                last = m[1]
-            for run in runs:
-                pairs = set().union(*(p for _, _, p in run))
-                agree = min(len({a for a, _ in pairs}), len({b for _, b in pairs})) / len(pairs) if pairs else 1.0
-                if good and len({i for _, i, _ in run}) / len(good) >= COVER and agree >= CONSISTENT:
-                    out.add((doc, item))
-    return out
