@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,16 @@ def daily_of_signals(signals: DataFrame, aggs: list[Column], times: DataFrame, e
     return met.select(*KEYS, *[c for c in daily.columns if c not in ("entity_type", "name", "date")])
 
 
+def daily_of_metrics(daily: DataFrame, times: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`daily_hype` and :func:`daily_reality` of a table with both: ``<metric>`` and ``<metric>_n`` per entity and day."""
+    known = entities.select("entity_id", F.col("name").alias("entity_name"), "entity_type")
+    met = daily.withColumnRenamed("name", "entity_name").join(known, ["entity_name", "entity_type"]).join(times.select("time_id", "date"), "date")
+    some = lambda metrics: reduce(lambda a, b: a | b, [F.col(f"{m}_n") > 0 for m in metrics])
+    hype = met.where(some(HYPE)).select(*KEYS, *[F.col(m).alias(c) for m, (c, _) in HYPE.items()], *[F.col(f"{m}_n").alias(n) for m, (_, n) in HYPE.items()])
+    reality = met.where(some(REALITY)).select(*KEYS, *[F.col(m).alias(c) for m, c in REALITY.items()])
+    return hype, reality
+
+
 def by_entity(order: str = "date") -> "Window":
     return Window.partitionBy("entity_id").orderBy(order)
 

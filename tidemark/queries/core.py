@@ -15,12 +15,17 @@ from .sqlkit import BUBBLE, COMBINED, CUT, ENTITY, HINDEX, RINDEX, change, oracl
 IDS = "time_id, date, entity_id, entity_name, entity_type"
 
 
-def daily_hype(spark: SparkSession, sf: str, dims=None) -> DataFrame:
-    return ft.daily_of_signals(ad.hype_signals(ad.sales(spark, sf)), ft.hype_aggs(), *(dims or ad.star(spark, sf)))
+def daily(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Daily hype and reality, from one scan and one aggregation of the line items."""
+    return ft.daily_of_metrics(materialised(ad.daily_signals(ad.sales(spark, sf))), *ad.star(spark, sf))
 
 
-def daily_reality(spark: SparkSession, sf: str, dims=None) -> DataFrame:
-    return ft.daily_of_signals(ad.reality_signals(ad.sales(spark, sf)), ft.reality_aggs(), *(dims or ad.star(spark, sf)))
+def daily_hype(spark: SparkSession, sf: str) -> DataFrame:
+    return ft.daily_of_signals(ad.hype_signals(ad.sales(spark, sf)), ft.hype_aggs(), *ad.star(spark, sf))
+
+
+def daily_reality(spark: SparkSession, sf: str) -> DataFrame:
+    return ft.daily_of_signals(ad.reality_signals(ad.sales(spark, sf)), ft.reality_aggs(), *ad.star(spark, sf))
 
 
 def star_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,8 +35,8 @@ def star_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def combined(spark: SparkSession, sf: str) -> DataFrame:
-    dims = ad.star(spark, sf)
-    return ft.combined_features(ft.hype_features(daily_hype(spark, sf, dims)), ft.reality_features(daily_reality(spark, sf, dims)))
+    hype, reality = daily(spark, sf)
+    return ft.combined_features(ft.hype_features(hype), ft.reality_features(reality))
 
 
 def bubble(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +63,7 @@ def _windows(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 
 
 def pair_corr(spark: SparkSession, sf: str) -> DataFrame:
-    daily = daily_hype(spark, sf).where("entity_type = 'software'")
+    daily = daily_hype(spark, sf)
     return ft.correlation_per_entity(ft.pair_correlation(daily, "github_trending"))
 
 

@@ -35,27 +35,54 @@ def _signals(base: DataFrame, rows: list[tuple[str, Column, str, str, str, Colum
 
 
 def hype_signals(base: DataFrame) -> DataFrame:
+    return _signals(base, _hype_rows())
+
+
+def _hype_rows() -> list[tuple[str, Column, str, str, str, Column]]:
     nation, size = F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string")), F.concat(F.lit("size-"), (F.col("p_size") % 5).cast("string"))
     innovation = _PERCENT("l_discount") / 16
-    return _signals(base, [
+    return [
         ("company", F.col("p_brand"), "reddit", "sentiment", "reddit_ai_sentiment", F.when(F.col("l_returnflag") != "N", (2 * _PERCENT("l_discount") - 9) / 16)),
         ("company", F.col("p_brand"), "news", "sentiment", "news_ai_sentiment", F.when(F.col("l_linestatus") == "O", (2 * _PERCENT("l_tax") - 7) / 16)),
         ("software", F.col("p_type"), "github", "trending", "github_trending_score", F.col("l_quantity") / 64),
         ("ai_model", nation, "huggingface", "trending", "huggingface_trending_score", F.col("l_quantity") / 64),
         ("ai_model", nation, "arxiv", "innovation", "arxiv_innovation_score", innovation),
         ("research", size, "arxiv", "innovation", "arxiv_innovation_score", innovation),
-    ])
+    ]
 
 
 def reality_signals(base: DataFrame) -> DataFrame:
+    return _signals(base, _reality_rows())
+
+
+def _reality_rows() -> list[tuple[str, Column, str, str, str, Column]]:
     nation = F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string"))
-    return _signals(base, [
+    return [
         ("company", F.col("p_brand"), "yfinance", "USD", "stock_price", F.round(F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)))),
         ("company", F.col("p_brand"), "yfinance", "shares", "trading_volume", F.col("l_quantity")),
         ("software", F.col("p_type"), "github", "count", "github_stars_delta", F.col("l_quantity") - 25),
         ("software", F.col("p_type"), "github", "count", "github_forks_delta", F.col("l_linenumber") - 3),
         ("ai_model", nation, "huggingface", "count", "model_downloads_delta", F.col("l_quantity") - 25),
-    ])
+    ]
+
+
+def daily_signals(base: DataFrame) -> DataFrame:
+    """Per entity and day the average and count of every hype and reality metric, as ``<metric>`` and ``<metric>_n``; one scan.
+
+    The types of entities are the grouping sets of one aggregation, and hype and reality lie side by side.
+    """
+    listed = [(t, n, m, v) for rows in (_hype_rows(), _reality_rows()) for t, n, _, _, m, v in rows]
+    names, values = {t: n for t, n, _, _ in listed}, {m: v for _, _, m, v in listed}
+    each = base.select("date", *[n.alias(t) for t, n in names.items()], *[v.cast("double").alias(m) for m, v in values.items()])
+    sets = each.groupingSets([["date", t] for t in names], "date", *names)
+    met = sets.agg(*[F.grouping(t).alias(f"{t}_off") for t in names], *[f(m).alias(m + n) for m in values for f, n in ((F.avg, ""), (F.count, "_n"))])
+    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for t in names:
+        kind, name = F.when(F.col(f"{t}_off") == 0, F.lit(t)).otherwise(kind), F.when(F.col(f"{t}_off") == 0, F.col(t)).otherwise(name)
+    out = met.select(kind.alias("entity_type"), name.alias("name"), "date", *[m + n for m in values for n in ("", "_n")])
+    of = {m: [t for t, _, x, _ in listed if x == m] for m in values}
+    held = lambda m: F.col("entity_type").isin(of[m])
+    return out.select("entity_type", "name", "date", *[c for m in values for c in (F.when(held(m), F.col(m)).alias(m), F.when(held(m), F.col(f"{m}_n")).otherwise(0).alias(f"{m}_n"))])
 
 
 def dim_time(spark: SparkSession, sf_dir: str) -> DataFrame:
