@@ -91,7 +91,7 @@ def dim_source(spark: SparkSession, sf: str) -> DataFrame:
 
 def fan_out_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Star join by name only over prices of parts named like a brand or a type: the default that may fan out."""
-    lines = ad.sales(spark, sf).where("l_linenumber = 1")
+    lines = ad.sales(spark, sf)
     return dm.star_facts(lines.select("date", "p_brand", "l_quantity"), F.col("date"), F.col("p_brand"), ad.dim_time(spark, sf), ad.dim_entity(spark, sf)).select("time_id", "entity_id", "l_quantity")
 
 
@@ -280,7 +280,7 @@ WHERE source_name IS NOT NULL AND source_name NOT IN (SELECT source_name FROM so
     "assign_keys": "SELECT o_custkey, o_orderkey, 1000 + row_number() OVER (ORDER BY o_custkey, o_orderkey) AS row_key FROM orders",
     "hype_facts": oracle("SELECT time_id, entity_id, source_id, signal_type, metric_name, count(*) AS n, round(sum(metric_value) + 1.37e-9, 6) + 0.0 AS total FROM hfacts GROUP BY ALL"),
     "reality_facts": oracle("SELECT time_id, entity_id, metric_name, metric_unit, provenance, count(*) AS n, round(sum(metric_value) + 1.37e-9, 6) + 0.0 AS total FROM rfacts GROUP BY ALL"),
-    "fan_out_facts": oracle("SELECT time_id, entity_id, round(q + 1.37e-9, 6) + 0.0 AS l_quantity FROM sold JOIN times USING (date) JOIN entities ON brand = name WHERE line = 1"),
+    "fan_out_facts": oracle("SELECT time_id, entity_id, round(q + 1.37e-9, 6) + 0.0 AS l_quantity FROM sold JOIN times USING (date) JOIN entities ON brand = name"),
     "price_facts": oracle("""
 SELECT * FROM (SELECT t.time_id, e.entity_id, m.metric_name, round(CASE m.metric_name WHEN 'stock_price' THEN close ELSE volume END + 1.37e-9, 6) + 0.0 AS metric_value, m.metric_unit, 'yfinance' AS provenance
   FROM dprice p JOIN (SELECT date, row_number() OVER (ORDER BY date) AS time_id FROM (SELECT DISTINCT date FROM dprice)) t USING (date)
