@@ -236,3 +236,39 @@ def test_streams_take_arrivals_in_parts_and_rows_without_a_day(spark):
     got = series._streamed(spark, rows, "day", lambda s: s, ["id"], "append", Sink)
     assert sorted(r.id for r in got.collect()) == list(range(80))
     assert seen == [(40, 4), (40, 4)]
+
+
+def test_stream_sink_survives_a_restart_and_a_replay(spark, tmp_path):
+    from tidemark.streaming import jobs
+
+    folder, schema = str(tmp_path), "name long, date date, stars long, forks long, activity_score double"
+    day = dt.date.fromisoformat
+    arrivals = [
+        [(1, day("2024-01-01"), 10, 1, 2.0), (2, day("2024-01-01"), 5, 0, 1.0)],
+        [(1, day("2024-01-03"), 15, 1, 1.0), (1, day("2024-01-02"), 12, 2, 3.0), (2, None, 9, 9, 9.0)],
+        [(2, day("2024-01-01"), 99, 9, 9.0), (2, day("2024-01-05"), 4, 0, 2.0)],
+    ]
+    for rows in arrivals:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        sink = jobs.Upserts(spark, f"{folder}/out", ["name", "date"], F.col("date"))
+        jobs.run_once(jobs.stream_deltas(jobs.source(spark, f"{folder}/in", spark.createDataFrame([], schema).schema, 9)), sink, "append", f"{folder}/state")
+    out = sorted(tuple(r) for r in jobs.Upserts(spark, f"{folder}/out", ["name", "date"]).table(spark.createDataFrame([], jobs.DELTAS).schema).collect())
+    assert [(n, str(d), s, f, round(c, 6)) for n, d, s, f, c, _ in out] == [(1, "2024-01-01", 10, 1, 2.0), (1, "2024-01-02", 2, 1, 1.0), (1, "2024-01-03", 3, -1, -2.0), (2, "2024-01-01", 5, 0, 1.0), (2, "2024-01-05", -1, 0, 1.0)]
+    batch = spark.createDataFrame([(1, day("2024-01-02"), 7, 7, 7.0, 7.0)], jobs.DELTAS)
+    for _ in range(2):
+        jobs.Upserts(spark, f"{folder}/out", ["name", "date"], F.col("date"))(batch, 3)
+    again = jobs.Upserts(spark, f"{folder}/out", ["name", "date"]).table(batch.schema)
+    assert again.count() == 5 and again.where("stars_delta = 7").count() == 1
+
+
+def test_stream_keeps_the_first_of_a_key(spark, tmp_path):
+    from tidemark.streaming import jobs
+
+    folder, schema = str(tmp_path), "key string, ts timestamp, v int"
+    at = dt.datetime.fromisoformat
+    for rows in ([("a", at("2024-01-01T00:00:00"), 1), ("a", at("2024-01-01T01:00:00"), 2)], [("a", at("2024-01-01T02:00:00"), 3), ("b", at("2024-01-01T02:00:00"), 4)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = jobs.first_by_key(jobs.source(spark, f"{folder}/in", spark.createDataFrame([], schema).schema, 9), ["key"], "ts")
+        jobs.run_once(stream, jobs.Upserts(spark, f"{folder}/out", ["key", "v"]), "append", f"{folder}/state")
+    got = jobs.Upserts(spark, f"{folder}/out", ["key", "v"]).table(spark.createDataFrame([], schema).schema).collect()
+    assert sorted(r.key for r in got) == ["a", "b"] and {r.v for r in got if r.key == "b"} == {4} and all(r.v < 3 for r in got if r.key == "a")

@@ -28,10 +28,13 @@ def _arrivals(df: DataFrame, day: str) -> list[DataFrame]:
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, day: str, job, keys: list[str], mode: str, sink=None) -> DataFrame:
-    """The job's table after both arrivals, each written in the partitions that it comes in and drained before the next."""
+    """The job's table after both arrivals, each written in the partitions that it comes in and drained before the next.
+
+    The sink is made anew for each arrival, as after a restart.
+    """
     folder = jobs.shared_folder(spark, "stream")
-    out = (sink or jobs.Upserts)(spark, f"{folder}/out", keys)
     for arrival in _arrivals(rows, day):
+        out = (sink or jobs.Upserts)(spark, f"{folder}/out", keys)
         arrival.write.mode("append").parquet(f"{folder}/in")
         stream = job(jobs.source(spark, f"{folder}/in", rows.schema, ALL_FILES))
         jobs.run_once(stream, out, mode, f"{folder}/checkpoint")

@@ -11,29 +11,47 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.series import bars
-from ..session import shared_dir
+from ..session import exists, materialised, shared_dir
 from ..sources.staging import keep_latest, upsert
 
 
+PART = "upsert_part"
+
+
 class Upserts:
-    """A result table as a chain of versions; each micro-batch writes the next from the last."""
+    """A result table in a folder, partitioned by ``part``; each micro-batch rewrites the partitions that it touches.
+
+    All that the sink knows is in the folder: after a restart it goes on from there. Rows replace those with the same
+    keys, so a batch that is sent again changes nothing. ``part`` has to follow from the keys; by default it is their hash.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str]):
-        self.spark, self.folder, self.keys, self.at = spark, folder, keys, None
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], part: Column | None = None):
+        self.spark, self.folder, self.keys = spark, folder, keys
+        self.part = F.coalesce((F.pmod(F.xxhash64(*keys), F.lit(16)) if part is None else part).cast("string"), F.lit(""))
+
+    def merged(self, old: DataFrame, batch: DataFrame) -> DataFrame:
+        return upsert(old, batch, self.keys)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        merged = batch if self.at is None else upsert(self.spark.read.parquet(self.at), batch, self.keys)
-        path = f"{self.folder}/v{batch_id}-{uuid.uuid4().hex[:8]}"
-        merged.write.parquet(path)
-        self.at = path
+        new = batch.withColumn(PART, self.part).persist()  # it is read twice, and stateful operators should run once
+        rows = new
+        if exists(self.spark, self.folder):
+            touched = self._read(batch.schema).join(new.select(PART).distinct(), PART, "left_semi")
+            rows = materialised(self.merged(touched.select(*new.columns), new))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.folder)
+        new.unpersist()
+
+    def _read(self, schema: StructType) -> DataFrame:
+        return self.spark.read.schema(StructType([*schema.fields, StructField(PART, StringType())])).parquet(self.folder)
 
-    def table(self, schema=None) -> DataFrame:
-        return self.spark.createDataFrame([], schema) if self.at is None else self.spark.read.parquet(self.at)
+    def table(self, schema: StructType) -> DataFrame:
+        return self._read(schema).drop(PART) if exists(self.spark, self.folder) else self.spark.createDataFrame([], schema)
 
 
 def source(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
@@ -52,19 +70,28 @@ def stream_bars(ticks: DataFrame, width: str, late: str = "1 hour") -> DataFrame
 
 
 DELTAS = "name long, date date, stars_delta long, forks_delta long, activity_change double, momentum_score double"
-STATE = "stars long, forks long, activity_score double"
+STATE = "stars long, forks long, activity_score double, day long"
 
 
 def _deltas(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Deltas of one repository's new snapshots, in order of date; the last snapshot is the state."""
-    stars, forks, activity = state.get if state.exists else (0, 0, 0.0)
-    rows = pd.concat(list(frames)).sort_values("date")
+    """Deltas of one repository's new snapshots, in order of date; the last snapshot is the state.
+
+    A snapshot that is not later than the last one, or has no date, comes too late: its delta is part of the one that has
+    been given, and it is left out. The state is four numbers per repository and stays: a repository that pauses has to
+    go on from its last snapshot.
+    """
+    stars, forks, activity, last = state.get if state.exists else (0, 0, 0.0, None)
+    rows = pd.concat(list(frames)).dropna(subset=["date"]).sort_values("date")
     out = []
     for r in rows.itertuples():
+        day = (pd.Timestamp(r.date) - pd.Timestamp(0)).days
+        if last is not None and day <= last:
+            continue
         moved, change = int(r.stars) - stars, float(r.activity_score) - activity
         out.append((key[0], r.date, moved, int(r.forks) - forks, change, change * (1.0 if moved >= 0 else -1.0)))
-        stars, forks, activity = int(r.stars), int(r.forks), float(r.activity_score)
-    state.update((stars, forks, activity))
+        stars, forks, activity, last = int(r.stars), int(r.forks), float(r.activity_score), day
+    if last is not None:
+        state.update((stars, forks, activity, last))
     yield pd.DataFrame(out, columns=["name", "date", "stars_delta", "forks_delta", "activity_change", "momentum_score"])
 
 
@@ -75,15 +102,15 @@ def stream_deltas(snapshots: DataFrame) -> DataFrame:
 class LatestByKey(Upserts):
     """Keeps the last row per key by an order, over all micro-batches."""
 
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str], order: list[str]):
-        super().__init__(spark, folder, keys)
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], order: list[str], part: Column | None = None):
+        super().__init__(spark, folder, keys, part)
         self.order = order
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        both = batch if self.at is None else self.spark.read.parquet(self.at).unionByName(batch)
-        path = f"{self.folder}/v{batch_id}-{uuid.uuid4().hex[:8]}"
-        keep_latest(both, self.keys, self.order).write.parquet(path)
-        self.at = path
+        super().__call__(keep_latest(batch, self.keys, self.order), batch_id)
+
+    def merged(self, old: DataFrame, batch: DataFrame) -> DataFrame:
+        return keep_latest(old.unionByName(batch), self.keys, self.order)
 
 
 def first_by_key(stream: DataFrame, keys: list[str], ts: str, late: str = "1 day") -> DataFrame:
