@@ -112,6 +112,8 @@ def slots(plan: DataFrame, drawn: DataFrame, block: int = BLOCK) -> DataFrame:
     held = Window.partitionBy("shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("low", F.sum("n").over(held) - F.col("n")).withColumn("held", F.sum("n").over(Window.partitionBy("shard")))
     told = plan.select("rank", "blocks", "epochs", "rest", "tail", "tail_at")
+    # A drawn row grows by as many slots, so rows are dealt to all tasks, however few bytes they are.
+    counts = counts.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "rank")
     each = counts.join(F.broadcast(told) if plan.count() <= FEW_SOURCES else told, "rank").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     each = each.withColumn("slot", F.col("first") + F.col("i")).withColumn("epoch", F.floor(F.try_divide(F.col("slot"), F.col("blocks"))).cast("long")).withColumn("k", F.pmod("slot", "blocks"))
     each = each.withColumn("block", swap_or_not(F.col("k"), F.col("blocks"), F.xxhash64("rank", "epoch")))
