@@ -1,7 +1,6 @@
 """Every query with SQL is compared with DuckDB on the smallest tables; the others have to run."""
 
 import datetime
-import os
 
 import duckdb
 import pandas as pd
@@ -10,8 +9,6 @@ import pytest
 from tidemark import queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Slow ones that others cover step by step.
-SLOW = {"upsert_bubble", "incr_reality_index_exact", "incr_hype_index_exact", "incr_reality_index", "reality_weights", "star_join", "range_avg", "latest_point"}
 
 
 @pytest.fixture(scope="session")
@@ -35,7 +32,7 @@ def plain(df, columns):
     return df[columns].map(one).sort_values(columns).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(k for k in queries.QUERIES if k not in SLOW or os.environ.get("ALL_QUERIES")))
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, duck, sf_dir, name):
     got = queries.QUERIES[name](spark, sf_dir).toPandas()
     if name not in queries.ORACLE_SQL:
