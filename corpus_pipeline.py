@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and its result is written and read again."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and its result is written and read again.
+
+For every stage: a null text counts as the empty text; a null id is never a reason to drop a row, but for copies of
+other rows; further columns are kept by all stages but the last, whatever their names; an empty table gives an empty
+table; long texts are read whole. What each stage does with repeated rows and ties is said below.
+"""
 
 from __future__ import annotations
 
@@ -8,31 +13,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
-from tidemark.llm.common import shared_dir, table
+from tidemark.llm.common import remove, shared_dir, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Empty texts are scored, too; repeated rows are judged alike."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies stays."""
+    """One document of each group of copies stays: the longest, then that of the smallest id. Empty texts are copies; of repeated rows one stays."""
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays, that of the smallest id.
+
+    Texts without words, and rows without an id, stay; so do repeated rows of the id that stays.
+    """
     return near_dedup.drop_near_copies(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, with all rows of their id; rows without a text or an id stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How much of each remaining document the mix takes: ``doc_id, size, source_size, target, taken``."""
+    """How much of each remaining document the mix takes: ``doc_id, size, source_size, target, taken, pieces, first_shard``.
+
+    One row per row of ``docs``; texts without words have size 0 and are not taken; a null source is one of its own.
+    """
     return mixing.mix(docs)
 
 
@@ -53,5 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")  # nothing reads it any more
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -32,3 +32,23 @@ def test_empty_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, docs, sf_dir).count() == 0
+
+
+def test_stages_on_nulls_ties_repeated_rows_and_clashing_columns(spark, sf_dir):
+    names = "doc_id long, text string, lang string, source string, n_chars long, Score double, doc string, row long, digest string, hash string, gone_id long, part int"
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    good = "The old house by the river stands empty now. Nobody has come to see it since the spring, and the garden is full of weeds. A man from the town said that it will be sold."
+    rows = [(1, good), (1, good), (2, good + " Soon."), (3, good.replace(" ", "  ")), (4, None), (5, ""), (6, " \n"), (None, good), (None, "only mine here"), (7, good + "\n" + item), (8, "long " * 50_000)]
+    docs = spark.createDataFrame([(i, t, None, None if i == 2 else "s", None, 1.0, "mine", 7, "mine", None, 9, 3) for i, t in rows], names)
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(str(r.doc_id) for r in df.collect())
+    kept = stage["quality classifier"](spark, docs, sf_dir)
+    assert kept.columns == docs.columns and set(ids(kept)) <= {str(i) for i, _ in rows} and {r.Score for r in kept.collect()} <= {1.0}
+    second = stage["exact dedup"](spark, docs, sf_dir)
+    assert second.columns == docs.columns and ids(second) == sorted(map(str, [3, 2, 6, None, 7, 8]))
+    third = stage["MinHash near-dedup"](spark, docs, sf_dir)
+    assert third.columns == docs.columns and [i for i in ids(third) if i in ("1", "2", "3")] == ["1", "1"] and ids(third).count("None") == 2 and {"4", "5", "6", "8"} <= set(ids(third))
+    fourth = stage["benchmark decontamination"](spark, docs, sf_dir)
+    assert fourth.columns == docs.columns and ids(fourth) == sorted(str(i) for i, _ in rows if i != 7)
+    last = stage["mixing sources to target weights"](spark, docs, sf_dir).collect()
+    assert len(last) == len(rows) and all(r.taken <= 2 * r.size for r in last) and all(r.size == 0 == r.taken for r in last if r.doc_id in (4, 5, 6))
