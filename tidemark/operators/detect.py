@@ -22,6 +22,10 @@ DIVERGENCE_WEIGHT, ACCELERATION_WEIGHT, PATTERN_WEIGHT = 0.5, 0.3, 0.2
 DECAY, FRAME = 0.75, 128
 #: A score on a threshold is not above it, in whatever order its sums were taken.
 TOLERANCE = 1e-9
+#: Up to so many points the templates are broadcast.
+FEW_POINTS = 100_000
+#: The entity that stands for all, see :func:`include_global`.
+EVERYONE = -1
 #: Variances below this are those of a constant.
 FLAT = 1e-24
 
@@ -113,12 +117,16 @@ def as_alerts(rows: DataFrame) -> DataFrame:
     ).where("alert_level is not null")
 
 
+def _with_patterns(scores: DataFrame, patterns: DataFrame | None) -> DataFrame:
+    if patterns is None:
+        return scores.withColumn("pattern", F.lit(0.0))
+    return scores.join(patterns, "entity_id", "left").withColumn("pattern", F.coalesce("pattern", F.lit(0.0)))
+
+
 def alerts(rows: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """Alerts at each entity's last date, from its whole history. ``patterns``: (entity_id, pattern), 0 where absent."""
     last = scored(rows).groupBy("entity_id").agg(F.max_by(F.struct("date", "divergence_z", "acceleration_z"), "date").alias("r")).select("entity_id", "r.*")
-    if patterns is None:
-        return as_alerts(last.withColumn("pattern", F.lit(0.0)))
-    return as_alerts(last.join(patterns, "entity_id", "left").withColumn("pattern", F.coalesce("pattern", F.lit(0.0))))
+    return as_alerts(_with_patterns(last, patterns))
 
 
 def asof_scores(rows: DataFrame) -> DataFrame:
@@ -137,15 +145,23 @@ def asof_scores(rows: DataFrame) -> DataFrame:
     return smooth.select("entity_id", "date", "n", z("hype", "reality").alias("divergence_z"), z("a_h", "a_r").alias("acceleration_z")).where(F.col("n") >= MIN_SAMPLES)
 
 
-def asof_alerts(rows: DataFrame) -> DataFrame:
-    """Alerts for every date from the rows up to it. An entity without a row on a date is taken at its last row before."""
+def include_global(rows: DataFrame, overall: DataFrame, key: int = EVERYONE) -> DataFrame:
+    """``rows`` and the series of all entities together, (date, hype, reality), as an entity of its own."""
+    return rows.unionByName(overall.select(F.lit(key).cast("long").alias("entity_id"), "date", "hype", "reality"))
+
+
+def asof_alerts(rows: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """Alerts for every date from the rows up to it. An entity without a row on a date is taken at its last row before.
+
+    ``patterns``: (entity_id, pattern) for all dates, 0 where absent.
+    """
     found = asof_scores(rows).withColumn("until", F.lead("date").over(_ordered()))
     spine = rows.select(F.col("date").alias("day")).distinct()
     last = spine.agg(F.date_add(F.max("day"), 1).alias("end"))
     spans = found.crossJoin(F.broadcast(last)).withColumn("until", F.coalesce("until", "end"))  # one row
     days = spans.withColumn("day", F.explode(F.sequence("date", F.date_sub("until", 1))))
-    carried = days.join(spine, "day", "left_semi").select("entity_id", F.col("day").alias("date"), "divergence_z", "acceleration_z", F.lit(0.0).alias("pattern"))
-    return as_alerts(carried)
+    carried = days.join(spine, "day", "left_semi").select("entity_id", F.col("day").alias("date"), "divergence_z", "acceleration_z")
+    return as_alerts(_with_patterns(carried, patterns))
 
 
 def save_alerts(new: DataFrame, existing: DataFrame) -> DataFrame:
@@ -161,16 +177,21 @@ def _normal(x: np.ndarray) -> np.ndarray:
 
 
 def warped_distance(a: np.ndarray, b: np.ndarray) -> float:
-    """Root of the least summed squared cost over all warpings, row by row."""
-    row = np.full(len(b) + 1, np.inf)
-    row[0] = 0.0
-    for x in a:
-        cost, new = (x - b) ** 2, np.full(len(b) + 1, np.inf)
-        diagonal = np.minimum(row[:-1], row[1:])
-        for j in range(len(b)):
-            new[j + 1] = cost[j] + min(diagonal[j], new[j])
-        row = new
-    return float(np.sqrt(row[-1]))
+    """Root of the least summed squared cost over all warpings; one numpy step per diagonal of the table, in linear memory."""
+    n, m = len(a), len(b)
+    before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # the two diagonals before, by row + 1
+    before[0] = 0.0
+    for d in range(n + m - 1):
+        i = np.arange(max(0, d - m + 1), min(n, d + 1))
+        now = np.full(n + 1, np.inf)
+        now[i + 1] = (a[i] - b[d - i]) ** 2 + np.minimum(np.minimum(last[i], last[i + 1]), before[i])
+        before, last = last, now
+    return float(np.sqrt(last[n]))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= FEW_POINTS else df
 
 
 def pattern_match(series: DataFrame, templates: DataFrame) -> DataFrame:
@@ -180,7 +201,7 @@ def pattern_match(series: DataFrame, templates: DataFrame) -> DataFrame:
     """
     names = templates.select("template").distinct()
     rows = series.select("entity_id", F.unix_date("date").cast("long").alias("pos"), F.col("divergence").alias("value"))
-    keyed = rows.crossJoin(F.broadcast(names))  # a few templates
+    keyed = rows.crossJoin(_small(names))
     shapes = templates.select("template", F.col("pos").cast("long").alias("pos"), "value")
 
     def compare(own: pd.DataFrame, shape: pd.DataFrame) -> pd.DataFrame:
@@ -190,7 +211,7 @@ def pattern_match(series: DataFrame, templates: DataFrame) -> DataFrame:
         return pd.DataFrame({"entity_id": [own["entity_id"].iloc[0]], "distance": [d]})
 
     ids = series.select(F.col("entity_id").alias("entity_id")).distinct()
-    spread = ids.crossJoin(F.broadcast(shapes))  # a few short templates
+    spread = ids.crossJoin(_small(shapes))
     spread = spread.select(F.col("entity_id").alias("of_entity"), F.col("template").alias("shape"), "pos", "value")
     found = keyed.groupBy("entity_id", "template").cogroup(spread.groupBy("of_entity", "shape")).applyInPandas(compare, "entity_id long, distance double")
     return found.groupBy("entity_id").agg((1 / (1 + F.min("distance"))).alias("pattern"))

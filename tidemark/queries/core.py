@@ -131,7 +131,7 @@ def latest_kpis(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latest_point(spark: SparkSession, sf: str) -> DataFrame:
-    return bubble(spark, sf).withColumn("computed_at", F.current_timestamp()).agg(F.max_by(F.struct("*"), F.struct("computed_at", "date")).alias("r")).select("r.*")
+    return bubble(spark, sf).withColumn("computed_at", F.current_timestamp()).agg(F.max_by(F.struct("*"), F.struct("computed_at", "date")).alias("r")).select("r.*").drop("computed_at")
 
 
 def date_gaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,5 +240,6 @@ ORDER BY abs(coalesce(bubble_momentum, 0)) DESC, entity_name LIMIT 10"""),
     "top_intensity": oracle(f"SELECT date, entity_name, entity_type, {r('multi_source_hype_intensity', 'reality_strength_score', 'hype_reality_gap')} FROM comb WHERE entity_name IS NOT NULL ORDER BY round(comb.multi_source_hype_intensity, 6) DESC, date, entity_id LIMIT 5"),
     "index_series": oracle(f"SELECT date, {r('hype_index', 'reality_index', 'hype_reality_gap', 'bubble_risk_score')} FROM bubble WHERE date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"),
     "latest_kpis": oracle(f"SELECT (SELECT count(*) FROM bubble) AS points, date AS last_date, {r('hype_index', 'reality_index', 'hype_reality_gap')} FROM bubble ORDER BY date DESC LIMIT 1"),
+    "latest_point": oracle(f"SELECT date, time_id, {r(*BUBBLE)} FROM bubble ORDER BY date DESC LIMIT 1"),
     "date_gaps": oracle("SELECT * FROM (SELECT entity_id, date, lead(date) OVER w AS next_date, CAST(lead(date) OVER w - date AS INT) AS gap_days FROM dhype WINDOW w AS (PARTITION BY entity_id ORDER BY date)) WHERE gap_days > 7"),
 }

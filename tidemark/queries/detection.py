@@ -12,6 +12,9 @@ from ..operators import serving as sv
 from ..sources import adapters as ad
 from .sqlkit import define, oracle, r, r_as
 
+#: Templates of ``template_alerts``.
+EPISODES = 5
+
 define("ev", "SELECT user_id AS entity_id, CAST(ts AS DATE) AS date, count(*) FILTER (event_type IN ('view', 'click'))::DOUBLE AS hype, count(*) FILTER (event_type = 'purchase')::DOUBLE AS reality FROM events GROUP BY ALL")
 define("ev_n", "SELECT *, count(*) OVER (PARTITION BY entity_id) AS all_n, row_number() OVER (PARTITION BY entity_id ORDER BY date) AS rn FROM ev")
 define("rstats", "SELECT entity_id, count(*) AS n, quantile_cont(hype, 0.5) AS hype_median, quantile_cont(hype, 0.75) - quantile_cont(hype, 0.25) AS hype_iqr, quantile_cont(reality, 0.5) AS reality_median, quantile_cont(reality, 0.75) - quantile_cont(reality, 0.25) AS reality_iqr FROM ev GROUP BY entity_id")
@@ -30,15 +33,57 @@ FROM ({rows}) WHERE coalesce(divergence_z, 0) - 1e-9 > 1.5 OR coalesce(accelerat
 
 
 define("alerted", _alerts_sql("SELECT * FROM zs WHERE rn = all_n"))
-# every date's history of an entity, scored from scratch
-define("cutoff", "SELECT d.day, e.* FROM (SELECT DISTINCT date AS day FROM ev) d JOIN ev e ON e.date <= d.day")
-define("pre0", "SELECT *, count(*) OVER (PARTITION BY day, entity_id) AS all_n, row_number() OVER (PARTITION BY day, entity_id ORDER BY date) AS rn FROM cutoff")
-define("prestat", "SELECT day, entity_id, quantile_cont(hype, 0.5) AS hm, quantile_cont(hype, 0.75) - quantile_cont(hype, 0.25) AS hi, quantile_cont(reality, 0.5) AS rm, quantile_cont(reality, 0.75) - quantile_cont(reality, 0.25) AS ri FROM cutoff GROUP BY ALL")
-define("pre1", "SELECT p.*, (hype - hm) / CASE WHEN hi = 0 THEN 1 ELSE hi END - (reality - rm) / CASE WHEN ri = 0 THEN 1 ELSE ri END AS dv FROM pre0 p JOIN prestat USING (day, entity_id) WHERE all_n >= 5")
-define("pre2", "SELECT *, dv - 2 * lag(dv, 1) OVER w + lag(dv, 2) OVER w AS second FROM pre1 WINDOW w AS (PARTITION BY day, entity_id ORDER BY date)")
-define("pre3", "SELECT a.day, a.entity_id, a.rn, a.all_n, any_value(a.dv) AS dv, coalesce(sum(b.second * pow(0.75, a.rn - b.rn)) / sum(pow(0.75, a.rn - b.rn)), 0) AS ac FROM pre2 a LEFT JOIN pre2 b ON a.day = b.day AND a.entity_id = b.entity_id AND b.rn <= a.rn AND b.second IS NOT NULL GROUP BY a.day, a.entity_id, a.rn, a.all_n")
+define("ev_all", f"SELECT * FROM ev UNION ALL SELECT {dt.EVERYONE}, date, sum(hype), sum(reality) FROM ev GROUP BY date")
 _zz = lambda x: f"CASE WHEN stddev_pop({x}) OVER (PARTITION BY day, entity_id) > 1e-9 THEN ({x} - avg({x}) OVER (PARTITION BY day, entity_id)) / stddev_pop({x}) OVER (PARTITION BY day, entity_id) END"
-define("asof_rows", _alerts_sql(f"SELECT day AS date, entity_id, divergence_z, acceleration_z FROM (SELECT day, entity_id, rn, all_n, {_zz('dv')} AS divergence_z, {_zz('ac')} AS acceleration_z FROM pre3) WHERE rn = all_n"))
+
+
+def _asof(ev: str, tail: str = "") -> None:
+    """Every date's history of an entity of ``ev``, scored from scratch: ``asof_rows`` + ``tail``."""
+    t = tail
+    define(f"cutoff{t}", f"SELECT d.day, e.* FROM (SELECT DISTINCT date AS day FROM {ev}) d JOIN {ev} e ON e.date <= d.day")
+    define(f"pre0{t}", f"SELECT *, count(*) OVER (PARTITION BY day, entity_id) AS all_n, row_number() OVER (PARTITION BY day, entity_id ORDER BY date) AS rn FROM cutoff{t}")
+    define(f"prestat{t}", f"SELECT day, entity_id, quantile_cont(hype, 0.5) AS hm, quantile_cont(hype, 0.75) - quantile_cont(hype, 0.25) AS hi, quantile_cont(reality, 0.5) AS rm, quantile_cont(reality, 0.75) - quantile_cont(reality, 0.25) AS ri FROM cutoff{t} GROUP BY ALL")
+    define(f"pre1{t}", f"SELECT p.*, (hype - hm) / CASE WHEN hi = 0 THEN 1 ELSE hi END - (reality - rm) / CASE WHEN ri = 0 THEN 1 ELSE ri END AS dv FROM pre0{t} p JOIN prestat{t} USING (day, entity_id) WHERE all_n >= 5")
+    define(f"pre2{t}", f"SELECT *, dv - 2 * lag(dv, 1) OVER w + lag(dv, 2) OVER w AS second FROM pre1{t} WINDOW w AS (PARTITION BY day, entity_id ORDER BY date)")
+    define(f"pre3{t}", f"SELECT a.day, a.entity_id, a.rn, a.all_n, any_value(a.dv) AS dv, coalesce(sum(b.second * pow(0.75, a.rn - b.rn)) / sum(pow(0.75, a.rn - b.rn)), 0) AS ac FROM pre2{t} a LEFT JOIN pre2{t} b ON a.day = b.day AND a.entity_id = b.entity_id AND b.rn <= a.rn AND b.second IS NOT NULL GROUP BY a.day, a.entity_id, a.rn, a.all_n")
+    define(f"asof_scored{t}", f"SELECT day AS date, entity_id, divergence_z, acceleration_z FROM (SELECT day, entity_id, rn, all_n, {_zz('dv')} AS divergence_z, {_zz('ac')} AS acceleration_z FROM pre3{t}) WHERE rn = all_n")
+    define(f"asof_rows{t}", _alerts_sql(f"SELECT * FROM asof_scored{t}"))
+
+
+_asof("ev")
+_asof("ev_all", "_all")
+
+# the least warped distance of each series to some template, row by row of the table of costs
+_unit = lambda x, by: f"list(CASE WHEN sd > 0 THEN ({x} - mean) / sd ELSE 0.0 END ORDER BY pos) FROM (SELECT *, avg({x}) OVER (PARTITION BY {by}) AS mean, stddev_samp({x}) OVER (PARTITION BY {by}) AS sd FROM "
+define("own_shape", f"SELECT entity_id, {_unit('divergence', 'entity_id').replace(' FROM', ' AS xs FROM', 1)} (SELECT *, date AS pos FROM diverg)) GROUP BY entity_id")
+define("means3", "SELECT entity_id % 3 AS template, date AS pos, avg(divergence) AS v FROM diverg GROUP BY ALL")
+define("episodes", f"SELECT entity_id FROM asof_scored WHERE divergence_z IS NOT NULL GROUP BY entity_id ORDER BY round(max(divergence_z), 6) DESC, entity_id LIMIT {EPISODES}")
+define("peaks", "SELECT entity_id AS template, date AS pos, divergence AS v FROM diverg JOIN episodes USING (entity_id)")
+for name, rows in (("warped", "means3"), ("warped_peaks", "peaks")):
+    define(f"{name}_shape", f"SELECT template, {_unit('v', 'template').replace(' FROM', ' AS ts FROM', 1)} {rows}) GROUP BY template")
+    define(name, f"""
+SELECT entity_id, 1 / (1 + sqrt(min(cost))) AS pattern FROM (
+  SELECT entity_id, list_reduce(list_prepend(list_prepend(0.0::DOUBLE, list_transform(ts, lambda t: 'inf'::DOUBLE)), list_transform(xs, lambda x: [x])), lambda above, x:
+    list_reduce(list_prepend(['inf'::DOUBLE], list_transform(range(1, len(ts) + 1), lambda j: [pow(x[1] - ts[j], 2), least(above[j], above[j + 1])])), lambda done, c: list_append(done, c[1] + least(c[2], done[-1]))))[-1] AS cost
+  FROM own_shape CROSS JOIN {name}_shape) GROUP BY entity_id""")
+
+# binary segmentation, round by round
+define("cp_rows0", "SELECT entity_id, date, divergence AS x, 0 AS seg FROM diverg")
+for k in range(5):
+    define(f"cp_best{k}", f"""
+SELECT entity_id, CAST({k + 1} AS INT) AS round, date, seg, gain FROM (SELECT *, t * t / k + (total - t) * (total - t) / nullif(n - k, 0) - total * total / n AS gain FROM (
+  SELECT *, count(*) OVER whole AS n, sum(x) OVER whole AS total, row_number() OVER upto AS k, sum(x) OVER upto AS t FROM cp_rows{k}
+  WINDOW whole AS (PARTITION BY entity_id, seg), upto AS (PARTITION BY entity_id, seg ORDER BY date ROWS UNBOUNDED PRECEDING)) WHERE k < n)
+QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY round(gain, 9) DESC, date) = 1""")
+    define(f"cp_rows{k + 1}", f"SELECT a.entity_id, a.date, a.x, CASE WHEN a.seg = b.seg AND a.date > b.date THEN {k + 1} ELSE a.seg END AS seg FROM cp_rows{k} a LEFT JOIN cp_best{k} b USING (entity_id)")
+
+# a lag of 1: residual sums by centred moments, and the tail of a chi-square with one degree of freedom by a series
+define("lag1", "SELECT entity_id, reality AS y, lag(reality) OVER w AS a, lag(hype) OVER w AS b FROM ev WINDOW w AS (PARTITION BY entity_id ORDER BY date)")
+define("lag1_sums", "SELECT entity_id, count(*) AS n, " + ", ".join(f"count(*) * covar_pop({p}, {q}) AS {p}{q}" for p, q in ("yy", "aa", "bb", "ya", "yb", "ab")) + " FROM lag1 WHERE a IS NOT NULL GROUP BY entity_id HAVING count(*) > 3")
+define("lag1_fit", """
+SELECT entity_id, n, yy - CASE WHEN aa > 1e-9 THEN ya * ya / aa ELSE 0 END AS small, yy - CASE WHEN aa * bb - ab * ab > 1e-9 THEN (bb * ya * ya - 2 * ab * ya * yb + aa * yb * yb) / (aa * bb - ab * ab)
+  WHEN aa > 1e-9 THEN ya * ya / aa WHEN bb > 1e-9 THEN yb * yb / bb ELSE 0 END AS whole FROM lag1_sums""")
+define("lag1_root", "SELECT entity_id, CASE WHEN whole > 1e-9 THEN sqrt(greatest(n * (small - whole) / whole, 0) / 2) WHEN small <= 1e-9 THEN 0 ELSE 40 END AS t FROM lag1_fit")
 
 _ALERT = ["divergence_score", "acceleration_score", "pattern_score", "confidence"]
 _ALERT_SQL = f"SELECT timestamp, entity_id, alert_level, {r(*_ALERT)} FROM "
@@ -62,6 +107,27 @@ def pattern_match(spark: SparkSession, sf: str) -> DataFrame:
     return dt.pattern_match(rows, templates(rows))
 
 
+def episodes(scores: DataFrame, rows: DataFrame) -> DataFrame:
+    """The series of the ``EPISODES`` entities that stood out most on any day, each a template."""
+    most = scores.groupBy("entity_id").agg(F.max("divergence_z").alias("z")).where("z is not null")
+    top = most.orderBy(F.desc(F.round("z", 6)), "entity_id").limit(EPISODES).select("entity_id")
+    return rows.join(top, "entity_id").select(F.col("entity_id").cast("string").alias("template"), F.unix_date("date").alias("pos"), F.col("divergence").alias("value"))
+
+
+def template_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts as of each day, graded by the nearest known episode, too."""
+    rows = _ev(spark, sf)
+    series = dt.divergence(rows)
+    return _plain(dt.asof_alerts(rows, dt.pattern_match(series, episodes(dt.asof_scores(rows), series))))
+
+
+def asof_alerts_global(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts as of each day, of the users and of all users together."""
+    rows = _ev(spark, sf)
+    overall = rows.groupBy("date").agg(F.sum("hype").alias("hype"), F.sum("reality").alias("reality"))
+    return _plain(dt.asof_alerts(dt.include_global(rows, overall)))
+
+
 def save_alerts(spark: SparkSession, sf: str) -> DataFrame:
     found = dt.asof_alerts(_ev(spark, sf))
     known = found.where(F.col("timestamp") < F.lit("2024-01-16").cast("timestamp"))
@@ -98,6 +164,9 @@ QUERIES = {k: _rounding(f) for k, f in {
     "pattern_match": pattern_match,
     "changepoints": lambda s, d: dt.changepoints(dt.divergence(_ev(s, d)), 1),
     "changepoints5": lambda s, d: dt.changepoints(dt.divergence(_ev(s, d)), 5),
+    "template_alerts": template_alerts,
+    "asof_alerts_global": asof_alerts_global,
+    "lead_lag1": lambda s, d: dt.lead_lag(_ev(s, d), ["hype"], "reality", 1),
     "lead_lag": lambda s, d: dt.lead_lag(_ev(s, d), ["hype"], "reality"),
 }.items()}
 
@@ -124,4 +193,13 @@ SELECT entity_id, CAST(1 AS INT) AS round, date, {r('gain')} FROM (
   SELECT entity_id, date, t * t / rn + (s - t) * (s - t) / (all_n - rn) - s * s / all_n AS gain FROM (
     SELECT entity_id, date, rn, all_n, sum(divergence) OVER (PARTITION BY entity_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS t, sum(divergence) OVER (PARTITION BY entity_id) AS s FROM diverg) WHERE rn < all_n
   QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY round(t * t / rn + (s - t) * (s - t) / (all_n - rn) - s * s / all_n, 9) DESC, date) = 1)"""),
+    "pattern_match": oracle(f"SELECT entity_id, {r('pattern')} FROM warped"),
+    "template_alerts": oracle(f"""
+SELECT CAST(date AS TIMESTAMP) AS timestamp, entity_id, alert_level, {r_as({'divergence_score': 'dz', 'acceleration_score': 'az', 'pattern_score': 'p', 'confidence': '1 / (1 + exp(5 - (0.5 * abs(dz) + 0.3 * abs(az) + 0.2 * p)))'})} FROM (
+  SELECT *, CASE WHEN dz - 1e-9 > 3.0 AND p > 0.8 THEN 'critical' WHEN dz - 1e-9 > 2.5 AND p > 0.6 THEN 'warning' WHEN dz - 1e-9 > 1.5 OR az - 1e-9 > 2.0 THEN 'watch' END AS alert_level FROM (
+    SELECT date, entity_id, coalesce(divergence_z, 0) AS dz, coalesce(acceleration_z, 0) AS az, coalesce(pattern, 0) AS p FROM asof_scored LEFT JOIN warped_peaks USING (entity_id)))
+WHERE alert_level IS NOT NULL"""),
+    "asof_alerts_global": oracle(_ALERT_SQL + "asof_rows_all"),
+    "changepoints5": oracle("SELECT * FROM (" + " UNION ALL ".join(f"SELECT entity_id, round, date, {r('gain')} FROM cp_best{k}" for k in range(5)) + ")"),
+    "lead_lag1": oracle(f"SELECT entity_id, 'hype' AS indicator, {r_as({'score': 'CASE WHEN t > 0 THEN list_sum(list_transform(range(0, 2500), lambda k: exp((2 * k + 1) * ln(t) - t * t - lgamma(k + 1.5)))) ELSE 0 END'})} FROM lag1_root"),
 }

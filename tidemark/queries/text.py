@@ -172,6 +172,7 @@ _num = lambda p, m: f"TRY_CAST(replace(regexp_extract(t, '{p}', 1), ',', '') AS
 
 ORACLE_SQL = {
     "kw_mentions": f"SELECT doc_id, {_count('text', TERMS)} AS mentions FROM documents",
+    "kw_words": "SELECT doc_id, " + " + ".join(rf"regexp_matches(lower(text), '(^|[^\p{{L}}\p{{Nd}}_]){t}([^\p{{L}}\p{{Nd}}_]|$)')::INT" for t in TERMS) + " AS mentions FROM documents",
     "kw_mentions_default": f"SELECT doc_id, {_count('text', tx.NEWS_TERMS)} AS mentions FROM documents",
     "lexicon_sentiment": oracle(f"SELECT k AS doc_id, {r('compound', 'pos', 'neg', 'neu')} FROM docsent"),
     "news_features": oracle(f"""
