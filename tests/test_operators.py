@@ -57,6 +57,38 @@ def test_reload_adds_nothing(spark):
     assert dims.unseen(spark.createDataFrame([("a", 2), ("b", 3), (None, 4)], "k string, v int"), known, ["k"]).collect()[0].k == "b"
 
 
+def test_a_second_load_of_facts_adds_nothing_nulls_included(spark, tmp_path):
+    facts = spark.createDataFrame([(1, "a", 1.0), (1, None, 2.0), (None, "b", 3.0)], "time_id long, url string, v double")
+    path = f"{tmp_path}/facts"
+    for batch in (facts.limit(0), facts.where("v = 2"), facts, facts):
+        dims.append_facts(batch, path, ["time_id", "url"])
+    assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1.0, 2.0, 3.0]
+
+
+def test_lookup_fails_on_unknown_and_null(spark):
+    known = spark.createDataFrame([("a", 4), ("a", 2), ("b", 3)], "ticker string, entity_id long")
+    rows = lambda *t: dims.lookup(spark.createDataFrame([(x,) for x in t], "t string"), "t", known, "ticker", "entity_id")
+    assert {(r.t, r.entity_id) for r in rows("a", "b", "a").collect()} == {("a", 2), ("b", 3)}
+    assert rows().count() == 0
+    for bad in ("c", None):
+        with pytest.raises(Exception, match="no entity_id for t"):
+            rows("a", bad).collect()
+
+
+def test_recent_papers_and_last_month(spark):
+    rows = spark.createDataFrame([(D[0], {"x": 1, "y": 5}), (D[3], {}), (None, None)], "d date, m map<string,long>")
+    assert [r.d for r in tx.recent(rows, "d", str(D[5]), 2).collect()] == [D[3]]
+    assert sorted(r[0] for r in rows.select(tx.last_of_map(F.col("m"))).collect()) == [0, 0, 5]
+
+
+def test_all_entities_together_are_an_entity(spark):
+    rows = events(spark, [1, 2, 3, 4, 50, 6], [1, 1, 2, 1, 1, 2])
+    alone = detect.asof_alerts(rows).drop("entity_id", "contributing_factors").collect()
+    both = detect.asof_alerts(detect.include_global(rows, rows)).drop("contributing_factors")
+    assert alone and sorted(both.where(F.col("entity_id") == detect.EVERYONE).drop("entity_id").collect()) == sorted(alone)
+    assert both.count() == 2 * len(alone)
+
+
 def events(spark, hype, reality, entity=1):
     return spark.createDataFrame([(entity, D[i], float(h), float(r)) for i, (h, r) in enumerate(zip(hype, reality))], "entity_id long, date date, hype double, reality double")
 

@@ -159,3 +159,13 @@ def repo_id_variants(name: Column) -> Column:
     first = F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, 1, 2), "/"))
     last = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, -2, 2), "/"))
     return F.array_distinct(F.array_compact(F.array(name, first, last)))
+
+
+def recent(rows: DataFrame, when: str, as_of: str, days: int = 30) -> DataFrame:
+    """Rows of the last ``days`` up to ``as_of``; those without a date are left out."""
+    return rows.where(F.col(when) >= F.date_sub(F.lit(as_of).cast("date"), days))
+
+
+def last_of_map(values: Column) -> Column:
+    """The value of a map's last entry, 0 for an empty or missing map."""
+    return F.coalesce(F.try_element_at(F.map_values(values), F.lit(-1)), F.lit(0))

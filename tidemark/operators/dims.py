@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import exists
+
 
 def number(df: DataFrame, key: str, *order: str, start: int = 0) -> DataFrame:
     """``df`` with ``key`` = start + row number in the total order given. For dimensions, which fit a task."""
@@ -44,6 +48,31 @@ def extend_dimension(candidates: DataFrame, existing: DataFrame, key: str, natur
     return numbered.withColumn(key, F.col(key) + F.col("largest_key")).drop("largest_key")
 
 
+def lookup(rows: DataFrame, on: str, known: DataFrame, by: str, key: str) -> DataFrame:
+    """``rows`` with ``key`` of the row of ``known`` whose ``by`` equals their ``on``, the smallest of several.
+
+    The job fails on a value that is not known, and on a null.
+    """
+    one = known.groupBy(F.col(by).alias("lookup_value")).agg(F.min(key).alias("lookup_key"))
+    told = F.concat(F.lit(f"no {key} for {on}: "), F.coalesce(F.col(on).cast("string"), F.lit("null")))
+    found = F.coalesce("lookup_key", F.raise_error(told).cast(known.schema[key].dataType))
+    return rows.join(one, F.col(on) == F.col("lookup_value"), "left").withColumn(key, found).drop("lookup_value", "lookup_key")
+
+
+def fresh_facts(new: DataFrame, loaded: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts whose keys are not loaded yet. Nulls in keys are equal, so that a second load adds nothing."""
+    known = loaded.select(*[F.col(k).alias(f"known_{k}") for k in keys]).distinct()
+    return new.join(known, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in keys]), "left_anti")
+
+
+def append_facts(new: DataFrame, path: str, keys: list[str]) -> None:
+    """Appends to the table at ``path``, if need be a new one, what it does not hold by ``keys``."""
+    spark = new.sparkSession
+    if exists(spark, path):
+        new = fresh_facts(new, spark.read.parquet(path), keys)
+    new.write.mode("append").parquet(path)
+
+
 def star_facts(rows: DataFrame, when: Column, entity: Column, times: DataFrame, entities: DataFrame, by: str = "name", entity_type: str | None = None) -> DataFrame:
     """``rows`` with time_id and entity_id. By default an entity is met by name alone and may fan out over its types."""
     keyed = rows.withColumn("fact_date", when).withColumn("fact_entity", entity).where("fact_date is not null and fact_entity is not null")

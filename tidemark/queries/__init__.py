@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core, detection, series, text, warehouse
+from . import core, detection, facts, series, text, warehouse
 
-_MODULES = (core, detection, text, series, warehouse)
+_MODULES = (core, detection, text, series, warehouse, facts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}

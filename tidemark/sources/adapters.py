@@ -142,8 +142,8 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(
-        "doc_id", F.col("source").alias("company"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int")).alias("published"), F.substring("text", 1, 80).alias("title"),
-        F.expr("substring(text, 81)").alias("description"), F.col("lang").alias("source"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"),
+        "doc_id", F.col("source").alias("company"), _day_of_doc().alias("published"), F.substring("text", 1, 80).alias("title"),
+        F.expr("substring(text, 81)").alias("description"), F.col("lang").alias("source"), _address("doc").alias("url"),
     )
 
 
@@ -152,17 +152,31 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(
         "conv_id", "turn", F.col("role").alias("subreddit"), (F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("created_utc"), F.substring("text", 1, 60).alias("title"),
         F.col("text").alias("selftext"), (F.length("text") % 100 - 1).cast("long").alias("score"), F.col("turn").alias("num_comments"),
+        F.concat(F.lit("post/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("url"),
     )
 
 
+def _day_of_doc() -> Column:
+    return F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int"))
+
+
+def _address(kind: str) -> Column:
+    return F.concat(F.lit(f"{kind}/"), F.col("doc_id").cast("string"))
+
+
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("search_term"), F.col("text").alias("abstract"), (F.col("doc_id") % 7).cast("int").alias("n_authors"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("lang").alias("search_term"), F.col("text").alias("abstract"), (F.col("doc_id") % 7).cast("int").alias("n_authors"), _day_of_doc().alias("published"), _address("paper").alias("url")
+    )
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.concat(F.lit("Revenue was $"), F.col("n_chars").cast("string"), F.lit(" million. "), F.col("text"))
     odd = F.concat(F.lit("Revenue of 1,234 "), F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("ticker"), F.when(F.col("doc_id") % 2 == 0, even).otherwise(odd).alias("filing_text"))
+    form = F.when(F.col("doc_id") % 2 == 0, "10-K").otherwise("10-Q")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("ticker"), F.when(F.col("doc_id") % 2 == 0, even).otherwise(odd).alias("filing_text"), form.alias("form"), _day_of_doc().alias("filed"), _address("filing").alias("url")
+    )
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
