@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import shutil
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import detect, dims, quality, series, serving
-from tidemark.plans import features, indices
+from tidemark.plans import features, indices, refresh
 from tidemark.sources import staging
 
 D = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(200)]
@@ -304,3 +305,26 @@ def test_stream_keeps_the_first_of_a_key(spark, tmp_path):
         jobs.run_once(stream, jobs.Upserts(spark, f"{folder}/out", ["key", "v"]), "append", f"{folder}/state")
     got = jobs.Upserts(spark, f"{folder}/out", ["key", "v"]).table(spark.createDataFrame([], schema).schema).collect()
     assert sorted(r.key for r in got) == ["a", "b"] and {r.v for r in got if r.key == "b"} == {4} and all(r.v < 3 for r in got if r.key == "a")
+
+
+def test_refresh_in_steps_keeps_the_state_of_a_full_run_and_survives_a_crash(spark, tmp_path):
+    dice = random.Random(3)
+    keys = [(i + 1, D[i], e, f"e{e}", kind) for i in range(50) for e, kind in ((1, "company"), (2, "software"), (3, "ai_model")) if (i + e) % 4]
+    kinds = "time_id long, date date, entity_id long, entity_name string, entity_type string"
+    values = lambda n: [float(dice.randint(1, 9)) for _ in range(n)]
+    hype = spark.createDataFrame([(*k, *values(5), 1, 1, 1, 1, 1) for k in keys], f"{kinds}, " + ", ".join(f"{c} double" for c, _ in features.HYPE.values()) + ", " + ", ".join(f"{n} long" for _, n in features.HYPE.values()))
+    reality = spark.createDataFrame([(*k, *values(5)) for k in keys], f"{kinds}, " + ", ".join(f"{c} double" for c in features.REALITY.values()))
+    store, rows = str(tmp_path), lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert refresh.refresh(spark, store, hype.limit(0), reality.limit(0)).count() == 0
+    for last in (39, 44, 49):
+        refresh.refresh(spark, store, *[d.where(F.col("date") <= F.lit(D[last])) for d in (hype, reality)])
+    assert refresh.refresh(spark, store, hype, reality).count() == 0
+    combined = features.combined_features(features.hype_features(hype), features.reality_features(reality))
+    state = lambda name: spark.read.parquet(f"{store}/state/{D[49]}/{name}")
+    assert rows(state("sums")) == rows(refresh.weight_sums(combined))
+    assert rows(state("hype")) == sorted(r for e in (1, 2, 3) for r in rows(hype.where(f"entity_id = {e}"))[-30:])
+    whole = rows(refresh.stored(spark, store))
+    assert [r[0] for r in whole] == D[:50]
+    shutil.rmtree(f"{store}/bubble/until={D[49]}")  # as if the last refresh had stopped before its commit
+    refresh.refresh(spark, store, hype, reality)
+    assert rows(refresh.stored(spark, store)) == whole

@@ -6,6 +6,8 @@ one by date both indices. Windows over all days run on one row per day.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,36 +20,42 @@ def _kind(value: str) -> Column:
     return F.col("entity_type") == value
 
 
-def _mean(c: Column | str, over: bool) -> Column:
-    a = F.avg(c)
-    return a.over(_entity()) if over else a
+def weight_parts() -> dict[str, Column]:
+    """What the entity weights average, by name."""
+    return {
+        "intensity": zero("multi_source_hype_intensity"), "trending": zero("trending_intensity"), "github": zero("github_trending_score"), "hf": zero("hf_trending_score"),
+        "innovation": zero("arxiv_innovation_score"), "innovation_100": zero("arxiv_innovation_score") * 100, "price": zero("stock_price"), "stars": F.abs("github_stars_delta"),
+        "forks": F.abs("github_forks_delta"), "downloads": F.abs("hf_downloads_delta"), "moved": F.col("hf_downloads_delta"),
+    }
+
+
+def means(over: bool = False) -> Callable[[str], Column]:
+    """Averages of :func:`weight_parts` by name; windows over the entity if ``over``, else aggregates."""
+    parts = weight_parts()
+    return lambda n: F.avg(parts[n]).over(_entity()) if over else F.avg(parts[n])
 
 
-def hype_weight(over: bool = False) -> Column:
-    """Weight of an entity in the hype index; a window if ``over``, else an aggregate."""
-    m = lambda c: _mean(zero(c), over)
-    innovation = _mean(zero("arxiv_innovation_score") * 100, over)
+def hype_weight(m: Callable[[str], Column]) -> Column:
+    """Weight of an entity in the hype index, from averages by name."""
     return (
-        F.when(_kind("company"), (m("multi_source_hype_intensity") + m("trending_intensity")) * 2)
-        .when(_kind("software"), (m("github_trending_score") + m("hf_trending_score")) * 1.5)
-        .when(_kind("ai_model"), (m("hf_trending_score") + innovation) * 1.3)
-        .otherwise(m("arxiv_innovation_score") + m("multi_source_hype_intensity"))
+        F.when(_kind("company"), (m("intensity") + m("trending")) * 2)
+        .when(_kind("software"), (m("github") + m("hf")) * 1.5)
+        .when(_kind("ai_model"), (m("hf") + m("innovation_100")) * 1.3)
+        .otherwise(m("innovation") + m("intensity"))
     )
 
 
-def reality_weight(over: bool = False) -> Column:
-    size = lambda c: _mean(F.abs(c), over)
-    stars, downloads = size("github_stars_delta"), size("hf_downloads_delta")
+def reality_weight(m: Callable[[str], Column]) -> Column:
     return (
-        F.when(_kind("company"), (_mean(zero("stock_price"), over) + stars * 100 + downloads * 50) * 2)
-        .when(_kind("software"), stars * 100 + size("github_forks_delta") * 50)
-        .when(_kind("ai_model"), _mean("hf_downloads_delta", over) * 50 + downloads * 100)
-        .otherwise(stars * 100 + downloads * 50)
+        F.when(_kind("company"), (m("price") + m("stars") * 100 + m("downloads") * 50) * 2)
+        .when(_kind("software"), m("stars") * 100 + m("forks") * 50)
+        .when(_kind("ai_model"), m("moved") * 50 + m("downloads") * 100)
+        .otherwise(m("stars") * 100 + m("downloads") * 50)
     )
 
 
 def entity_weights(combined: DataFrame, which: str) -> DataFrame:
-    weight = {"hype": hype_weight, "reality": reality_weight}[which]()
+    weight = {"hype": hype_weight, "reality": reality_weight}[which](means())
     return combined.groupBy("entity_id", "entity_name", "entity_type").agg(weight.alias("entity_weight"))
 
 
@@ -109,19 +117,24 @@ def _after(df: DataFrame, since: str | None) -> DataFrame:
 
 def hype_index(combined: DataFrame, since: str | None = None, exact: bool = True) -> DataFrame:
     """The hype index per day. With ``since`` the days after it: normalised over all rows if ``exact``, else over those days."""
-    rows = normalised(combined.withColumn("hype_weight", hype_weight(True)), HYPE_NORMS, None if exact else since)
+    rows = normalised(combined.withColumn("hype_weight", hype_weight(means(True))), HYPE_NORMS, None if exact else since)
     return _after(rows, since).groupBy("time_id", "date").agg(*_hype_aggs())
 
 
 def reality_index(combined: DataFrame, since: str | None = None, exact: bool = True) -> DataFrame:
-    rows = normalised(combined.withColumn("reality_weight", reality_weight(True)), REALITY_NORMS, None if exact else since)
+    rows = normalised(combined.withColumn("reality_weight", reality_weight(means(True))), REALITY_NORMS, None if exact else since)
     return _after(rows, since).groupBy("time_id", "date").agg(*_reality_aggs())
 
 
 def both_indices(combined: DataFrame) -> DataFrame:
     """Both indices per day in one pass over ``combined``."""
-    rows = combined.withColumns({"hype_weight": hype_weight(True), "reality_weight": reality_weight(True)})
-    rows = normalised(rows, HYPE_NORMS | REALITY_NORMS)
+    rows = combined.withColumns({"hype_weight": hype_weight(means(True)), "reality_weight": reality_weight(means(True))})
+    return daily_indices(rows)
+
+
+def daily_indices(weighted: DataFrame) -> DataFrame:
+    """Both indices per day of rows with ``hype_weight`` and ``reality_weight``, normalised among these rows."""
+    rows = normalised(weighted, HYPE_NORMS | REALITY_NORMS)
     return rows.groupBy("time_id", "date").agg(*_hype_aggs(), *[a for a in _reality_aggs()[:6]])
 
 

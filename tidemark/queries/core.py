@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
 from ..plans import features as ft
 from ..plans import indices as ix
+from ..plans import refresh
 from ..session import materialised
 from ..sources import adapters as ad
-from .sqlkit import BUBBLE, COMBINED, CUT, ENTITY, HINDEX, RINDEX, change, oracle, over, r, r_as
+from ..streaming.jobs import shared_folder
+from .sqlkit import BUBBLE, COMBINED, CUT, ENTITY, HINDEX, RINDEX, TABLES, change, define, oracle, over, r, r_as
 
 IDS = "time_id, date, entity_id, entity_name, entity_type"
 
@@ -95,6 +100,16 @@ def upsert_bubble(spark: SparkSession, sf: str) -> DataFrame:
     return upsert(ix.bubble_metrics(ix.both_indices(rows)), _incremental(rows), ["date"])
 
 
+def refresh_bubble(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored table after a first run up to a date, a refresh from its own latest date, and one without new days."""
+    hype, reality = (materialised(d) for d in daily(spark, sf))
+    store, first = shared_folder(spark, "bubble"), F.col("date") <= F.lit(CUT).cast("date")
+    refresh.refresh(spark, store, hype.where(first), reality.where(first))
+    for _ in range(2):
+        refresh.refresh(spark, store, hype, reality)
+    return refresh.stored(spark, store)
+
+
 def distinct_on(spark: SparkSession, sf: str) -> DataFrame:
     """One row per month of the daily bubble table, the latest day's."""
     rows = bubble(spark, sf).select(F.trunc("date", "month").alias("month"), "date", "time_id", "hype_index")
@@ -141,6 +156,17 @@ def date_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return gaps(brands, "date", 7, "entity_id")
 
 
+# the table as it was stored at the cut, from the days up to it alone, and the days that a refresh adds
+define("comb_first", f"SELECT * FROM comb WHERE date <= DATE '{CUT}'")
+for new, old, swaps in (
+    ("wh_first", "wh", ("comb",)), ("wr_first", "wr", ("comb",)), ("nh_first", "nh", ("comb", "wh")), ("nr_first", "nr", ("comb", "wr")), ("hidx_first", "hidx", ("nh",)), ("ridx_first", "ridx", ("nr",)),
+    ("days_first", "days", ("hidx", "ridx")), ("bubble_first", "bubble", ("days",)),
+):
+    define(new, reduce(lambda sql, name: re.sub(rf"\b{name}\b", f"{name}_first", sql), swaps, TABLES[old]))
+define("history_first", TABLES["history"].replace("old_bubble", "bubble_first"))
+define("refreshed", re.sub(r"\bhistory\b", "history_first", TABLES["incr"]).replace("old_bubble", "bubble_first"))
+
+
 _W = lambda items: oracle(f"SELECT date, entity_id, {r_as({n: e for e, n, _ in items})} FROM {'dhype' if items[0][2] == 'h' else 'dreal'}")
 
 
@@ -176,6 +202,7 @@ QUERIES = {k: _rounding(f) for k, f in {
     "incr_reality_index_exact": lambda s, d: ix.reality_index(combined(s, d), CUT),
     "incr_bubble": incr_bubble,
     "upsert_bubble": upsert_bubble,
+    "refresh_bubble": refresh_bubble,
     "distinct_on": distinct_on,
     "top_risk": top_risk,
     "latest_per_entity": latest_per_entity,
@@ -231,6 +258,7 @@ GROUP BY date, entity_id"""),
     "incr_reality_index_exact": oracle(f"SELECT time_id, date, entity_count, {r(*RINDEX)} FROM ridx_after"),
     "incr_bubble": oracle(f"SELECT date, time_id, {r(*BUBBLE)} FROM incr"),
     "upsert_bubble": oracle(f"SELECT date, time_id, {r(*BUBBLE)} FROM (SELECT * FROM incr UNION ALL SELECT * FROM bubble WHERE date NOT IN (SELECT date FROM incr))"),
+    "refresh_bubble": oracle(f"SELECT date, time_id, {r(*BUBBLE)} FROM (SELECT * FROM bubble_first UNION ALL SELECT * FROM refreshed)"),
     "distinct_on": oracle(f"SELECT DISTINCT ON (month) month, date, time_id, {r('hype_index')} FROM (SELECT CAST(date_trunc('month', date) AS DATE) AS month, * FROM bubble) ORDER BY month, date DESC"),
     "top_risk": oracle("""
 SELECT entity_name, entity_type, round(round(coalesce(hype_score, 0), 2) + 1.37e-9, 6) + 0.0 AS hype_score, round(round(coalesce(reality_score, 0), 2) + 1.37e-9, 6) + 0.0 AS reality_score, round(round(coalesce(bubble_momentum, 0), 4) + 1.37e-9, 6) + 0.0 AS bubble_momentum
