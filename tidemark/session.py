@@ -29,6 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of so many files or more are read as they are.
+FEW_FILES = 16
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, which reads files, dealt to all cores if it is one of a few files.
+
+    A small file is one row group, so one task would do all that follows up to the first exchange. Large tables have
+    many files; they are not shuffled for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < min(cores, FEW_FILES) else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode a temporary one where that is unset."""
     context = spark.sparkContext

@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dims import calendar, number
-from ..session import materialised, table
+from ..session import materialised, spread, table
 from .schemas import SOURCES
 
 _PERCENT = lambda c: F.round(F.col(c) * 100)
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     joined = lines.join(part, lines.l_partkey == part.p_partkey).join(supplier, lines.l_suppkey == supplier.s_suppkey)
