@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, pii, token_counts
+from . import line_dedup, pii, prefix_trie, spelling, substring_dedup, token_counts
 from .chat import format_chats
 from .common import WORD, shared_dir, table, text_of
 from .decontaminate import contaminated
@@ -71,6 +71,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -82,10 +94,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_spelling": op12_spelling,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_pii": pii.oracle(),
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op12_spelling": spelling.ORACLE_SQL,
+    "op13_substring_dedup": substring_dedup.ORACLE_SQL,
     "op9_line_dedup": line_dedup.oracle(),
     "op6_exact_dedup": r"""
 WITH t AS (
