@@ -9,6 +9,7 @@ from ..functions.expr import rounded
 from ..operators import series as sr
 from ..session import table
 from ..sources import adapters as ad
+from ..sources.keyed_log import KeyedLog
 from ..sources.staging import keep_latest
 from ..streaming import jobs
 from . import text as _text  # defines the snapshots' SQL  # noqa: F401
@@ -27,14 +28,14 @@ def _arrivals(df: DataFrame, day: str) -> list[DataFrame]:
     return [df.where(first), df.where(~first)]
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, day: str, job, keys: list[str], mode: str, sink=None) -> DataFrame:
+def _streamed(spark: SparkSession, rows: DataFrame, day: str, job, keys: list[str], mode: str, sink=None, part: str | None = None) -> DataFrame:
     """The job's table after both arrivals, each written in the partitions that it comes in and drained before the next.
 
     The sink is made anew for each arrival, as after a restart.
     """
     folder = jobs.shared_folder(spark, "stream")
     for arrival in _arrivals(rows, day):
-        out = (sink or jobs.Upserts)(spark, f"{folder}/out", keys)
+        out = (sink or jobs.Upserts)(spark, f"{folder}/out", keys, *([F.to_date(part)] if part else []))
         arrival.write.mode("append").parquet(f"{folder}/in")
         stream = job(jobs.source(spark, f"{folder}/in", rows.schema, ALL_FILES))
         jobs.run_once(stream, out, mode, f"{folder}/checkpoint")
@@ -42,12 +43,12 @@ def _streamed(spark: SparkSession, rows: DataFrame, day: str, job, keys: list[st
 
 
 def stream_ohlcv(spark: SparkSession, sf: str) -> DataFrame:
-    return _streamed(spark, ad.ticks(spark, sf), "ts", lambda s: jobs.stream_bars(s, "1 hour", "40 days"), ["ticker", "bucket"], "update")
+    return _streamed(spark, ad.ticks(spark, sf), "ts", lambda s: jobs.stream_bars(s, "1 hour", "40 days"), ["ticker", "bucket"], "update", part="bucket")
 
 
 def stream_deltas(spark: SparkSession, sf: str) -> DataFrame:
     rows = ad.snapshots(spark, sf).select("name", "date", "stars", "forks", "activity_score")
-    return _streamed(spark, rows, "date", jobs.stream_deltas, ["name", "date"], "append")
+    return _streamed(spark, rows, "date", jobs.stream_deltas, ["name", "date"], "append", part="date")
 
 
 def _daily_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,8 +56,8 @@ def _daily_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    sink = lambda s, folder, keys: jobs.LatestByKey(s, folder, keys, ["ts", "event_id"])
-    return _streamed(spark, _daily_keys(spark, sf), "day", lambda s: s, ["user_id", "event_type", "day"], "append", sink)
+    sink = lambda s, folder, keys, part: jobs.LatestByKey(s, folder, keys, ["ts", "event_id"], part)
+    return _streamed(spark, _daily_keys(spark, sf), "day", lambda s: s, ["user_id", "event_type", "day"], "append", sink, "day")
 
 
 def newer_than_hwm(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,6 +67,20 @@ def newer_than_hwm(spark: SparkSession, sf: str) -> DataFrame:
     return sr.newer_than(events, marks, "event_type", "ts")
 
 
+def stored_marks(spark: SparkSession, sf: str) -> DataFrame:
+    """Events loaded by stored marks: those of the first half of the month, all, and all once more. Each is there once."""
+    events = table(spark, sf, "events").select("event_id", "event_type", "ts")
+    store = KeyedLog(spark, jobs.shared_folder(spark, "marks"), ["event_id", "ts"], F.to_date("ts"))
+    for rows in (events.where(F.col("ts") < F.lit(MIDDLE).cast("timestamp")), events, events):
+
+        def choose(marks: dict[str, str], rows: DataFrame = rows) -> DataFrame:
+            known = spark.createDataFrame(list(marks.items()), "event_type string, last string").withColumn("last", F.col("last").cast("timestamp"))
+            return sr.newer_than(rows, known, "event_type", "ts")
+
+        store.ingest(choose, "event_type", "ts")
+    return store.table(events.schema)
+
+
 def due_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Which users have not been seen for a day, six hours or an hour, by their id modulo 3."""
     events = table(spark, sf, "events")
@@ -88,6 +103,7 @@ QUERIES = {k: _rounding(f) for k, f in {
     "stream_deltas": stream_deltas,
     "stream_dedup": stream_dedup,
     "newer_than_hwm": newer_than_hwm,
+    "stored_marks": stored_marks,
     "due_sources": due_sources,
     "dedup_latest": lambda s, d: keep_latest(_daily_keys(s, d), ["user_id", "event_type", "day"], ["ts", "event_id"]),
 }.items()}
@@ -114,6 +130,7 @@ ORACLE_SQL = {
     "model_deltas": oracle(f"SELECT name, date, CAST(downloads - {_LAG('downloads')} AS BIGINT) AS downloads_delta, CAST(likes - {_LAG('likes')} AS BIGINT) AS likes_delta, round((downloads - {_LAG('downloads')}) / greatest({_LAG('downloads')}, 1) * 0.6 + (likes - {_LAG('likes')}) / greatest({_LAG('likes')}, 1) * 0.4 + 1.37e-9, 6) + 0.0 AS trending_score FROM snaps"),
     "stream_dedup": oracle(f"SELECT user_id, event_type, day, ts, event_id, {r('value')} FROM latest_key"),
     "dedup_latest": oracle(f"SELECT user_id, event_type, day, ts, event_id, {r('value')} FROM latest_key"),
+    "stored_marks": "SELECT event_id, event_type, ts FROM events",
     "newer_than_hwm": f"SELECT e.event_id, e.event_type, e.ts FROM events e LEFT JOIN (SELECT event_type, max(ts) AS last FROM events WHERE ts < TIMESTAMP '{MIDDLE}' AND event_type <> 'error' GROUP BY ALL) m USING (event_type) WHERE last IS NULL OR ts > last",
     "due_sources": "SELECT source, last, coalesce(epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(last)) >= 60 * CASE source % 3 WHEN 0 THEN 1440 WHEN 1 THEN 360 ELSE 60 END, true) AS due FROM (SELECT DISTINCT user_id AS source FROM events) LEFT JOIN (SELECT user_id AS source, max(ts) AS last FROM events WHERE user_id % 7 <> 0 GROUP BY ALL) USING (source)",
 }

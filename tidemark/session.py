@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -62,6 +64,48 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a file or folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder of the shared store; none if it is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+
+
+def read_file(spark: SparkSession, name: str) -> str:
+    """The content of a small file of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_file(spark: SparkSession, name: str, content: str) -> bool:
+    """Writes a small file of the shared store, whole or not at all; False if there is one of that name."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(name)
+    part, store = jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{path.getName()}.{uuid.uuid4().hex}"), path.getFileSystem(conf)
+    stream = store.create(part, True)
+    stream.write(bytearray(content, "utf-8"))
+    stream.close()
+    never = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)  # no overwriting
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), conf).rename(part, path, never)
+        return True
+    except Py4JJavaError as problem:
+        store.delete(part, False)
+        if "FileAlreadyExists" in problem.java_exception.getClass().getName():
+            return False
+        raise
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared folder; for small tables that a plan reads several times."""
     shared_dir(df.sparkSession)

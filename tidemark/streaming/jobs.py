@@ -13,45 +13,40 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.types import StructType
 
 from ..operators.series import bars
-from ..session import exists, materialised, shared_dir
-from ..sources.staging import keep_latest, upsert
+from ..session import shared_dir
+from ..sources.keyed_log import KeyedLog
 
+#: What state with timers needs; set while a stream starts, and as before after that. Timers move with the next batch, so a
+#: drained stream needs no further batch without data.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
-PART = "upsert_part"
 
+class Upserts(KeyedLog):
+    """A result table that grows by micro-batches, see :class:`KeyedLog`; a batch that is sent again changes nothing.
 
-class Upserts:
-    """A result table in a folder, partitioned by ``part``; each micro-batch rewrites the partitions that it touches.
-
-    All that the sink knows is in the folder: after a restart it goes on from there. Rows replace those with the same
-    keys, so a batch that is sent again changes nothing. ``part`` has to follow from the keys; by default it is their hash.
+    All that the sink knows is in the folder: after a restart it goes on from there. Rows replace those with the same keys.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str], part: Column | None = None):
-        self.spark, self.folder, self.keys = spark, folder, keys
-        self.part = F.coalesce((F.pmod(F.xxhash64(*keys), F.lit(16)) if part is None else part).cast("string"), F.lit(""))
-
-    def merged(self, old: DataFrame, batch: DataFrame) -> DataFrame:
-        return upsert(old, batch, self.keys)
-
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        new = batch.withColumn(PART, self.part).persist()  # it is read twice, and stateful operators should run once
-        rows = new
-        if exists(self.spark, self.folder):
-            touched = self._read(batch.schema).join(new.select(PART).distinct(), PART, "left_semi")
-            rows = materialised(self.merged(touched.select(*new.columns), new))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.folder)
-        new.unpersist()
+        if self.has("stream", batch_id):
+            batch.write.format("noop").mode("overwrite").save()  # a replay: the table has it, the operators' state may not
+        else:
+            self.append(batch, "stream", batch_id)
 
-    def _read(self, schema: StructType) -> DataFrame:
-        return self.spark.read.schema(StructType([*schema.fields, StructField(PART, StringType())])).parquet(self.folder)
 
-    def table(self, schema: StructType) -> DataFrame:
-        return self._read(schema).drop(PART) if exists(self.spark, self.folder) else self.spark.createDataFrame([], schema)
+class LatestByKey(Upserts):
+    """Keeps the last row per key by an order, over all micro-batches."""
+
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], order: list[str], part: Column | None = None):
+        super().__init__(spark, folder, keys, part, order)
 
 
 def source(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
@@ -60,8 +55,16 @@ def source(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
 
 
 def run_once(stream: DataFrame, sink: Upserts, mode: str, checkpoint: str) -> None:
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
-    query.awaitTermination()
+    conf = stream.sparkSession.conf
+    before = {k: conf.get(k, None) for k in STATE_STORE}
+    try:
+        for k, v in STATE_STORE.items():
+            conf.set(k, v)
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def stream_bars(ticks: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
@@ -71,46 +74,51 @@ def stream_bars(ticks: DataFrame, width: str, late: str = "1 hour") -> DataFrame
 
 DELTAS = "name long, date date, stars_delta long, forks_delta long, activity_change double, momentum_score double"
 STATE = "stars long, forks long, activity_score double, day long"
+#: Days for which a repository's last snapshot is kept, as long as staging keeps its rows.
+KEPT_DAYS = 30
+_DAY_MS = 86_400_000
 
 
-def _deltas(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+class Deltas(StatefulProcessor):
     """Deltas of one repository's new snapshots, in order of date; the last snapshot is the state.
 
-    A snapshot that is not later than the last one, or has no date, comes too late: its delta is part of the one that has
-    been given, and it is left out. The state is four numbers per repository and stays: a repository that pauses has to
-    go on from its last snapshot.
+    A snapshot that is not later than the last one comes too late: its delta is part of the one that has been given, and it
+    is left out. A timer drops the state of a repository that has paused for ``KEPT_DAYS`` days, so the store holds the
+    repositories that are alive; one that comes back after that starts from 0, as one does whose staging rows have gone.
     """
-    stars, forks, activity, last = state.get if state.exists else (0, 0, 0.0, None)
-    rows = pd.concat(list(frames)).dropna(subset=["date"]).sort_values("date")
-    out = []
-    for r in rows.itertuples():
-        day = (pd.Timestamp(r.date) - pd.Timestamp(0)).days
-        if last is not None and day <= last:
-            continue
-        moved, change = int(r.stars) - stars, float(r.activity_score) - activity
-        out.append((key[0], r.date, moved, int(r.forks) - forks, change, change * (1.0 if moved >= 0 else -1.0)))
-        stars, forks, activity, last = int(r.stars), int(r.forks), float(r.activity_score), day
-    if last is not None:
-        state.update((stars, forks, activity, last))
-    yield pd.DataFrame(out, columns=["name", "date", "stars_delta", "forks_delta", "activity_change", "momentum_score"])
 
-
-def stream_deltas(snapshots: DataFrame) -> DataFrame:
-    return snapshots.groupBy("name").applyInPandasWithState(_deltas, DELTAS, STATE, "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        stars, forks, activity, last = self.last.get() if self.last.exists() else (0, 0, 0.0, None)
+        before, out = last, []
+        for r in pd.concat(list(rows)).sort_values("date").itertuples():
+            day = (pd.Timestamp(r.date) - pd.Timestamp(0)).days
+            if last is not None and day <= last:
+                continue
+            moved, change = int(r.stars) - stars, float(r.activity_score) - activity
+            out.append((key[0], r.date, moved, int(r.forks) - forks, change, change * (1.0 if moved >= 0 else -1.0)))
+            stars, forks, activity, last = int(r.stars), int(r.forks), float(r.activity_score), day
+        if last != before:
+            self.last.update((stars, forks, activity, last))
+            if before is not None:
+                self.handle.deleteTimer((before + KEPT_DAYS) * _DAY_MS)
+            self.handle.registerTimer((last + KEPT_DAYS) * _DAY_MS)
+        yield pd.DataFrame(out, columns=["name", "date", "stars_delta", "forks_delta", "activity_change", "momentum_score"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
-class LatestByKey(Upserts):
-    """Keeps the last row per key by an order, over all micro-batches."""
-
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str], order: list[str], part: Column | None = None):
-        super().__init__(spark, folder, keys, part)
-        self.order = order
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        super().__call__(keep_latest(batch, self.keys, self.order), batch_id)
-
-    def merged(self, old: DataFrame, batch: DataFrame) -> DataFrame:
-        return keep_latest(old.unionByName(batch), self.keys, self.order)
+def stream_deltas(snapshots: DataFrame) -> DataFrame:
+    """Deltas against each repository's snapshot before; rows without a date are left out."""
+    dated = snapshots.where("date is not null").withColumn("at", F.col("date").cast("timestamp")).withWatermark("at", f"{KEPT_DAYS} days")
+    return dated.groupBy("name").transformWithStateInPandas(Deltas(), StructType.fromDDL(DELTAS), "Append", "EventTime")
 
 
 def first_by_key(stream: DataFrame, keys: list[str], ts: str, late: str = "1 day") -> DataFrame:
