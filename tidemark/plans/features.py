@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import growth, zero, zero_ratio
+from ..session import materialised
 
 KEYS = ["time_id", "date", "entity_id", "entity_name", "entity_type"]
 
@@ -169,3 +173,75 @@ def pair_correlation(daily: DataFrame, value: str, rows: int = 30) -> DataFrame:
 
 def correlation_per_entity(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("date", "entity_id").agg(F.avg("corr").alias("correlation"))
+
+
+def rolling_block(x: np.ndarray, y: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rolling correlation of every series of ``x`` with every one of ``y`` (series by day, NaN where absent), and where both are.
+
+    Windows count the days that both have. Days of a pair are moved to the front, so one sum over lags serves all pairs.
+    """
+    both = ~np.isnan(x)[:, None, :] & ~np.isnan(y)[None, :, :]
+    order = np.argsort(~both, axis=2, kind="stable")
+    there = np.take_along_axis(both, order, 2)
+    a, b = (np.where(there, np.take_along_axis(np.broadcast_to(v, both.shape), order, 2), 0.0) for v in (x[:, None, :], y[None, :, :]))
+    days = both.shape[2]
+    n = np.minimum(np.arange(1, days + 1), rows)
+    late = lambda v, k: np.concatenate((np.zeros((*v.shape[:2], k)), v[:, :, : days - k]), axis=2) if k else v
+    lags = range(min(rows, days))
+    mean_a, mean_b = (sum(late(v, k) for k in lags) / n for v in (a, b))
+    cov, var_a, var_b = (np.zeros(both.shape) for _ in range(3))
+    for k in lags:
+        inside = k < n
+        da, db = np.where(inside, late(a, k) - mean_a, 0.0), np.where(inside, late(b, k) - mean_b, 0.0)
+        cov, var_a, var_b = cov + da * db, var_a + da * da, var_b + db * db
+    spread = np.sqrt(var_a / n) * np.sqrt(var_b / n)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        corr = np.where(there & (spread > 1e-12), cov / n / spread, np.nan)
+    out = np.full(both.shape, np.nan)
+    np.put_along_axis(out, order, corr, 2)
+    return out, both
+
+
+#: The most series of a block, and the most cells (pairs by days) of two blocks that one task holds.
+BLOCK, CELLS = 32, 3_000_000
+
+
+def entity_correlation(daily: DataFrame, value: str, rows: int = 30, block: int = BLOCK) -> DataFrame:
+    """:func:`correlation_per_entity` of :func:`pair_correlation`, without a row per pair.
+
+    Entities are dealt into blocks; a task correlates a block with another in numpy steps, and what leaves it is one sum per
+    entity and day, which add up within tasks before they are shuffled.
+    """
+    own = daily.where(F.col(value).isNotNull()).select("date", "entity_id", F.col(value).cast("double").alias("x"))
+    lines = own.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct(F.unix_date("date").alias("day"), "x"))).alias("own"))
+    lines = materialised(lines.select("entity_id", F.col("own.day").alias("days"), F.col("own.x").alias("xs")))
+    held, longest = lines.agg(F.count("*"), F.max(F.size("days"))).first()  # two values
+    blocks = max(1, -(-held // max(1, min(block, math.isqrt(CELLS // max(1, longest or 1))))))
+    at = F.pmod(F.xxhash64("entity_id"), F.lit(blocks)).cast("int")
+    placed = lines.withColumn("block", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    paired = placed.select("entity_id", "days", "xs", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def correlate(frame: pd.DataFrame) -> pd.DataFrame:
+        low, high = frame["low"].iloc[0], frame["high"].iloc[0]
+        left, right = frame[frame["block"] == low], frame[frame["block"] == high]
+        days = np.unique(np.concatenate(list(frame["days"])))
+        x, y = np.full((len(left), len(days)), np.nan), np.full((len(right), len(days)), np.nan)
+        for side, m in ((left, x), (right, y)):
+            for i, (d, v) in enumerate(zip(side["days"], side["xs"])):
+                m[i, np.searchsorted(days, d)] = v
+        if not len(left) or not len(right):
+            return pd.DataFrame({"entity_id": [], "day": [], "total": [], "n": [], "met": []})
+        corr, both = rolling_block(x, y, rows)
+        if low == high:
+            same = np.eye(len(left), dtype=bool)
+            corr[same], both[same] = np.nan, False
+        out = []
+        for side, axis in ((left, 1), (right, 0)) if low != high else ((left, 1),):
+            met, n = both.sum(axis), (~np.isnan(corr)).sum(axis)
+            i, d = np.nonzero(met)
+            out.append(pd.DataFrame({"entity_id": side["entity_id"].to_numpy()[i], "day": days[d], "total": np.nansum(corr, axis)[i, d], "n": n[i, d], "met": met[i, d]}))
+        return pd.concat(out)
+
+    sums = paired.groupBy("low", "high").applyInPandas(correlate, "entity_id long, day int, total double, n long, met long")
+    per = sums.groupBy("entity_id", "day").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return per.select(F.date_from_unix_date("day").alias("date"), "entity_id", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("correlation"))

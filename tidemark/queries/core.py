@@ -68,8 +68,7 @@ def _windows(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 
 
 def pair_corr(spark: SparkSession, sf: str) -> DataFrame:
-    daily = daily_hype(spark, sf)
-    return ft.correlation_per_entity(ft.pair_correlation(daily, "github_trending"))
+    return ft.entity_correlation(daily_hype(spark, sf), "github_trending")
 
 
 def norm_by_entity(spark: SparkSession, sf: str) -> DataFrame:
