@@ -96,9 +96,8 @@ def _signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def near_pairs(words: DataFrame) -> DataFrame:
     """``a, a_n, b, b_n``: each pair of words one edit apart, once. ``words`` (word, n) is read twice."""
     signed = cut(words.mapInPandas(_signed, "role int, signature long, word string, n long"))
-    shared = signed.groupBy("signature").agg(F.count("*").alias("c")).where("c > 1").select("signature")
-    few = signed.join(shared, "signature", "left_semi")
-    left, right = few.where("role < 2").select("signature", "role", F.col("word").alias("a"), F.col("n").alias("a_n")), few.where("role <> 1").select("signature", F.col("word").alias("b"), F.col("n").alias("b_n"))
+    left = signed.where("role < 2").select("signature", "role", F.col("word").alias("a"), F.col("n").alias("a_n"))
+    right = signed.where("role <> 1").select("signature", F.col("word").alias("b"), F.col("n").alias("b_n"))
     met = left.join(right, "signature").where((F.col("role") == 1) | (F.col("a") < F.col("b")))
     pairs = cut(met.where(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n").distinct())
     discard(signed)
