@@ -13,7 +13,7 @@ case; single characters in scripts without spaces), the whole item if it is shor
 is enough, whatever its cover and however few ordinary words it has.
 
 The benchmark's windows are sent to the tasks, as a filter and for the join, only up to ``FEW_BYTES`` of them; beyond,
-all windows of the documents are shuffled and joined.
+all windows of the documents are shuffled and joined, those that very many places hold in parts.
 
 Tasks read the texts of a batch as one array of code points. Token borders, the codes of tokens and the hashes of
 windows all come from running sums over it, so no Python code runs per word. Case is folded by code point.
@@ -21,7 +21,8 @@ windows all come from running sums over it, so no Python code runs per word. Cas
 Edge cases: null, empty or blank texts match nothing; items shorter than a window are one window of their own
 length, from ``SHORTEST`` tokens on (shorter ones match verbatim only, so an item of one word matches every text with that word);
 a window with fewer than ``WORDS`` words between its slots is no evidence by itself; repeated benchmark items and repeated rows give the same answer once
-per row's id; a null ``doc_id`` is never reported; long texts are read whole.
+per row's id; a null ``doc_id`` is never reported, an item without an ``item_id`` counts like any other but adds nothing to
+``item_ids``; several texts of one ``doc_id`` are judged each by itself, and one that leaks speaks for the id; long texts are read whole.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ CONSISTENT = 0.8
 FEW_BYTES = 32_000_000
 #: Code points that a task reads together; a longer text is read alone.
 BATCH = 400_000
+#: Places of the documents with one window of the benchmark in one part of a join.
+HOT = 100_000
 
 #: Units that are replaced.
 UNITS = frozenset(
@@ -239,13 +242,13 @@ def _item_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The windows and runs of each item; of one shorter than them the whole."""
     for frame in frames:
         out = []
-        for key, text in zip(frame["id"], frame["text"]):
+        for *key, text in zip(frame["id"], frame["mark"], frame["text"]):
             texts = Texts([text or ""])
             plain = texts.plain()
             size, raw = min(WINDOW, len(plain.code)), min(RUN, len(texts.raw(plain).code))
             found = list(_found(texts, ([size] if size >= SHORTEST else []) + ([-raw] if raw else []), None))
             telling_windows = sum(n > 0 for _, _, _, n, _ in found)
-            out += [(key, h, at, n, telling_windows if n > 0 else len(found) - telling_windows, slots) for _, h, at, n, slots in found]
+            out += [(*key, h, at, n, telling_windows if n > 0 else len(found) - telling_windows, slots) for _, h, at, n, slots in found]
         yield pd.DataFrame(out, columns=_COLUMNS)
 
 
@@ -256,7 +259,7 @@ def _document_rows(lengths: list[int], hashes_of: dict[int, np.ndarray] | None):
         wanted = None if hashes_of is None else {n: Wanted(h) for n, h in hashes_of.items()}
         for frame in frames:
             keys, texts, size = [], [], 0
-            for key, text in zip(frame["id"], frame["text"]):
+            for *key, text in zip(frame["id"], frame["mark"], frame["text"]):
                 keys.append(key)
                 texts.append(text or "")
                 size += len(texts[-1])
@@ -266,48 +269,72 @@ def _document_rows(lengths: list[int], hashes_of: dict[int, np.ndarray] | None):
             if keys:
                 yield rows(keys, texts, wanted)
 
-    def rows(keys: list[int], texts: list[str], wanted: dict[int, Wanted] | None) -> pd.DataFrame:
-        return pd.DataFrame([(keys[d], h, at, n, 0, slots) for d, h, at, n, slots in _found(Texts(texts), lengths, wanted)], columns=_COLUMNS)
+    def rows(keys: list[list[int]], texts: list[str], wanted: dict[int, Wanted] | None) -> pd.DataFrame:
+        return pd.DataFrame([(*keys[d], h, at, n, 0, slots) for d, h, at, n, slots in _found(Texts(texts), lengths, wanted)], columns=_COLUMNS)
 
     return run
 
 
-_COLUMNS = ["id", "hash", "at", "length", "windows", "slots"]
-_ROW = "id long, hash long, at int, length int, windows int, slots array<string>"
+_COLUMNS = ["id", "mark", "hash", "at", "length", "windows", "slots"]
+_ROW = "id long, mark long, hash long, at int, length int, windows int, slots array<string>"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, few: int = FEW_BYTES) -> DataFrame:
-    """(doc_id, item_id, matched, windows, cover, consistent) for each document and benchmark item that it holds."""
-    items = cut(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null").mapInPandas(_item_rows, _ROW))
+def _salted(found: DataFrame, items: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join by window, with those windows that more than ``hot`` places of the documents hold in parts."""
+    by = ["hash", "length"]
+    counts = found.groupBy(*by).agg(F.count("*").alias("c")).where(F.col("c") > hot)
+    salts = cut(items.select(*by).distinct().join(counts, by).select(*by, F.ceil(F.col("c") / hot).alias("salts")))  # of the benchmark's windows alone
+    one = F.lit(1).cast("long")
+    left = found.join(salts, by, "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark", "doc_at"), F.coalesce("salts", one))).drop("salts")
+    right = items.join(salts, by, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", one) - 1))).drop("salts")
+    return left, right
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, few: int = FEW_BYTES, hot: int = HOT) -> DataFrame:
+    """(doc_id, item_id, matched, windows, cover, consistent) for each document and benchmark item that it holds.
+
+    Items are known by their id, those without one by their text. The texts of one ``doc_id`` are judged one by one.
+    """
+    key = F.coalesce(F.col("item_id").cast("long"), F.xxhash64("text"))
+    named = benchmark.select(key.alias("id"), F.col("item_id").isNull().cast("long").alias("mark"), "text").where("text is not null")
+    items = cut(named.mapInPandas(_item_rows, _ROW))
     lengths = [r[0] for r in items.select("length").distinct().collect()]  # at most WINDOW - SHORTEST + 1 + RUN values
     wanted = None
     if (items.agg(F.sum(64 + F.length(F.array_join("slots", "        ")))).first()[0] or 0) <= few:
         each = items.select("length", "hash").distinct().toPandas()  # few / 64 rows of two numbers at the most
         wanted = {n: each.loc[each["length"] == n, "hash"].to_numpy(np.int64) for n in lengths}
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"), "text").where("id is not null and text is not null")
     if not lengths:
         texts = texts.limit(0)
-    found = texts.mapInPandas(_document_rows(lengths, wanted), _ROW).select(F.col("id").alias("doc_id"), "hash", "length", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
-    of_items = items.select(F.col("id").alias("item_id"), "hash", "length", F.col("at").alias("item_at"), "windows", F.col("slots").alias("item_slots"))
-    met = found.join(F.broadcast(of_items) if wanted is not None else of_items, ["hash", "length"]).withColumn("raw", F.col("length") < 0)
+    found = texts.mapInPandas(_document_rows(lengths, wanted), _ROW).select(F.col("id").alias("doc_id"), "mark", "hash", "length", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
+    of_items = items.select(F.col("id").alias("item"), F.col("mark").alias("unnamed"), "hash", "length", F.col("at").alias("item_at"), "windows", F.col("slots").alias("item_slots"))
+    if wanted is not None:
+        met = found.join(F.broadcast(of_items), ["hash", "length"])
+    else:
+        left, right = _salted(cut(found), of_items, hot)
+        met = left.join(right, ["hash", "length", "salt"]).drop("salt")
+    met = met.withColumn("raw", F.col("length") < 0)
+    both = ["doc_id", "mark", "item", "unnamed"]
     pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("doc_slots").alias("b"))
-    run = Window.partitionBy("doc_id", "item_id", "raw").orderBy("doc_at", "item_at")
+    run = Window.partitionBy(*both, "raw").orderBy("doc_at", "item_at")
     before = F.lag("item_at").over(run)
     again = (F.col("item_at") == before) & (F.col("doc_at") > F.lag("doc_at").over(run))
     restart = F.when((F.col("item_at") < before) | again, 1).otherwise(0)
     runs = met.withColumn("restart", restart).withColumn("occurrence", F.sum("restart").over(run))
-    each = runs.groupBy("doc_id", "item_id", "raw", "occurrence").agg(
+    each = runs.groupBy(*both, "raw", "occurrence").agg(
         F.collect_set("item_at").alias("places"), F.max("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
     each = each.withColumn("told", F.when(F.col("raw"), _exact(F.col("places"), F.col("windows"))).otherwise(_told(F.col("places"), F.col("windows"), F.col("pairs"))))
     together = _told(F.array_distinct(F.flatten("all_places")), F.coalesce("windows", F.lit(1)), F.array_distinct(F.flatten("all_pairs")))
-    per = each.groupBy("doc_id", "item_id").agg(
+    per = each.groupBy(*both).agg(
         F.collect_list(F.when(~F.col("raw"), F.col("places"))).alias("all_places"),
         F.max(F.when(~F.col("raw"), F.col("windows"))).alias("windows"),
         F.collect_list(F.when(~F.col("raw"), F.col("pairs"))).alias("all_pairs"),
         F.max("told").alias("best"),
     )
-    return per.select("doc_id", "item_id", F.greatest(together, "best").alias("told")).where("told.leaks").select("doc_id", "item_id", "told.matched", "told.windows", "told.cover", "told.consistent")
+    told = per.select("doc_id", "item", "unnamed", F.greatest(together, "best").alias("told")).where("told.leaks")
+    best = told.groupBy("doc_id", "item", "unnamed").agg(F.max("told").alias("told"))
+    return best.select("doc_id", F.when(F.col("unnamed") == 0, F.col("item")).alias("item_id"), "told.matched", "told.windows", "told.cover", "told.consistent")
 
 
 def _exact(places: Column, windows: Column) -> Column:
