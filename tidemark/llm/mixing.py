@@ -11,9 +11,9 @@ is cut where the target is met. Blocks are joined with the documents by their in
 The permutations are swap-or-not shuffles: each round maps ``x`` to ``key - x`` or leaves it, by a hash of the larger
 of the two. They are bijections on any range, need no state, and are computed row by row.
 
-Everything is a DataFrame expression. A source's offsets are sums over hashed parts of about ``PART`` documents, and sums
-over parts and shards go in strides of ``STRIDE``, so a source that holds most rows is no single task; slots are
-generated in two steps for the same reason.
+Everything is a DataFrame expression. A source's offsets are sums over hashed parts of about ``PART`` documents (many equal
+rows go round the parts), and sums over parts and shards go in strides of ``STRIDE``, so a source that holds most rows is
+no single task; slots are generated in two steps for the same reason. Sources beyond ``FEW_SOURCES`` are summed likewise.
 
 Edge cases: a null or blank text has size 0 and is never taken; a null source is a source of its own, last in order;
 a source without words has target 0; an empty table gives an empty result; repeated rows are mixed as rows of their
@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.chunks import ROW, numbered
 from .common import WORD, cut, text_of
 
 BLOCK = 512
@@ -55,26 +56,40 @@ def swap_or_not(x: Column, n: Column, key: Column, inverse: bool = False) -> Col
     return F.aggregate(order, x.cast("long"), step)
 
 
-def targets(sizes: DataFrame) -> DataFrame:
+def _sum_before(rows: DataFrame, order: list[str], value: str, name: str, many: bool) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows before, in a total order: by one window, or, of many rows, in strides."""
+    if not many:
+        return rows.withColumn(name, F.coalesce(F.sum(value).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = numbered(rows.withColumn("every", F.lit(0)), ["every"], order).withColumn(ROW, F.col(ROW) - 1)
+    return _before(at, "every", ROW, value, name).drop("every", ROW)
+
+
+def targets(sizes: DataFrame, few: int = FEW_SOURCES) -> DataFrame:
     """(source, source_size) with ``rank`` and ``target``: weights with caps, the excess reshared by weight.
 
     All that is below its cap lies at one level per weight. Sources in order of cap by weight give, for each, the
-    level if all before it were at their caps; the first level that its own cap holds is the level of all.
+    level if all before it were at their caps; the first level that its own cap holds is the level of all. More than
+    ``few`` sources are numbered and summed over ranges, not in one task.
     """
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    many = sizes.count() > few
+    if many:
+        ranked = numbered(sizes.select("source", "source_size", F.col("source").isNull().cast("int").alias("last"), F.lit(0).alias("every")), ["every"], ["last", "source"])
+        ranked = ranked.select("source", "source_size", (F.col(ROW) - 1).alias("rank"))
+    else:
+        ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
     rows = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * REPEAT).withColumn("full", F.col("cap") / F.col("weight"))
-    before = Window.orderBy("full", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    rest = Window.orderBy("full", "rank").rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.orderBy("full", "rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * SHARE
-    levels = rows.withColumn("own", (total - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(rest))
+    whole = rows.agg((F.sum("source_size") * SHARE).alias("total"), F.sum("weight").alias("weights"))
+    order = ["full", "rank"]
+    summed = _sum_before(_sum_before(rows, order, "cap", "caps_before", many), order, "weight", "weights_before", many)
+    levels = summed.join(F.broadcast(whole)).withColumn("own", (F.col("total") - F.col("caps_before")) / (F.col("weights") - F.col("weights_before")))  # one row
     level = levels.where("own <= full").agg(F.min_by("own", F.struct("full", "rank")).alias("level"))
     return rows.join(F.broadcast(level)).select(
         "source", "source_size", "rank", F.coalesce(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")), F.col("cap").cast("double")).alias("target")
     )
 
 
-def planned(sources: DataFrame, block: int = BLOCK) -> DataFrame:
+def planned(sources: DataFrame, block: int = BLOCK, few: int = FEW_SOURCES) -> DataFrame:
     """Per source: words wanted, blocks, whole epochs, where the short last block comes, slots, first slot."""
     want = F.least(F.round("target").cast("long"), F.col("source_size") * REPEAT)
     size, rest, tail = F.col("source_size"), F.col("rest"), F.col("tail")
@@ -83,7 +98,7 @@ def planned(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = rows.withColumn("tail_at", swap_or_not(F.col("blocks") - 1, F.col("blocks"), F.xxhash64("rank", "epochs"), inverse=True))
     more = F.when(rest <= F.col("tail_at") * block, F.ceil(rest / block)).otherwise(F.ceil((rest + block - tail) / block)).cast("long")
     rows = rows.withColumn("slots", F.col("epochs") * F.col("blocks") + more)
-    return rows.withColumn("first_slot", F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("slots"))
+    return _sum_before(rows, ["rank"], "slots", "first_slot", sources.count() > few)
 
 
 def _before(df: DataFrame, by: str, order: str, value: str, name: str) -> DataFrame:
@@ -130,22 +145,43 @@ def _measured(docs: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def _pieces(rows: DataFrame, block: int, part: int) -> DataFrame:
-    """(row, rank, block, low, words, skip): where each document lies in the blocks of its source."""
+def _dealt(rows: DataFrame, part: int) -> DataFrame:
+    """``rows`` with their part: by their mark, but rows of one mark beyond ``part`` go round all parts.
+
+    Such rows are numbered within the partition that they come in, after those of their mark in partitions before.
+    """
     parts = max(1, rows.count() // part)
-    placed = rows.where("size > 0").withColumn("part", F.pmod("mark", F.lit(parts)))
+    at = lambda c: F.pmod(c, F.lit(parts))
+    common = rows.groupBy("mark").agg(F.count("*").alias("c")).where(F.col("c") > part).select("mark")
+    if parts == 1 or common.isEmpty():
+        return rows.withColumn("part", at(F.col("mark")))
+    many = rows.join(common, "mark", "left_semi").withColumn("source_part", F.shiftright("row", 33))
+    per = many.groupBy("mark", "source_part").agg(F.count("*").alias("c"))
+    offset = per.select("mark", "source_part", (F.sum("c").over(Window.partitionBy("mark").orderBy("source_part")) - F.col("c")).alias("offset"))
+    number = F.row_number().over(Window.partitionBy("mark", "source_part").orderBy("row")) + F.col("offset")
+    round_robin = many.join(offset, ["mark", "source_part"]).withColumn("part", at(at(F.col("mark")) + number)).drop("source_part", "offset")
+    return rows.join(common, "mark", "left_anti").withColumn("part", at(F.col("mark"))).unionByName(round_robin)
+
+
+def _starts(rows: DataFrame, part: int) -> DataFrame:
+    """(row, rank, size, start): where each document starts in the stream of its source."""
+    placed = _dealt(rows.where("size > 0"), part)
     within = Window.partitionBy("rank", "part").orderBy("mark", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     before = _before(placed.groupBy("rank", "part").agg(F.sum("size").alias("of_part")), "rank", "part", "of_part", "before").select("rank", "part", "before")
-    offset = placed.withColumn("upto", F.sum("size").over(within)).join(before, ["rank", "part"]).select("row", "rank", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("start"))
-    spread = offset.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long"))))
+    return placed.withColumn("upto", F.sum("size").over(within)).join(before, ["rank", "part"]).select("row", "rank", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("start"))
+
+
+def _pieces(starts: DataFrame, block: int) -> DataFrame:
+    """(row, rank, block, low, words, skip): where each document lies in the blocks of its source."""
+    spread = starts.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long"))))
     low = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     skip = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     return spread.select("row", "rank", "block", low.alias("low"), (high - low).alias("words"), skip.alias("skip"))
 
 
-def _mixture(docs: DataFrame, block: int, part: int, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """The documents with size and source, and :func:`mixed`'s rows with ``row`` in place of the document's id."""
+def _mixture(docs: DataFrame, block: int, part: int, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents with size and source, :func:`mixed`'s rows with ``row`` in place of the document's id, and :func:`_starts`."""
     measured = _measured(docs, id_col)
     sources = cut(targets(measured.groupBy("source").agg(F.sum("size").alias("source_size"))))
     told = sources.select(F.col("source").alias("of_source"), "rank", "source_size", "target")
@@ -155,8 +191,9 @@ def _mixture(docs: DataFrame, block: int, part: int, id_col: str) -> tuple[DataF
     plan = planned(sources, block)
     dealt = slots(plan, cut(draw(plan)), block)
     words = F.least(F.col("words"), F.col("take") - F.col("low"))
-    met = _pieces(rows, block, part).join(dealt.hint("merge"), ["rank", "block"]).withColumn("words", words).where("words > 0")
-    return rows, met.select("shard", "place", "rank", "block", "low", "row", "skip", "words")
+    starts = _starts(rows, part)
+    met = _pieces(starts, block).join(dealt.hint("merge"), ["rank", "block"]).withColumn("words", words).where("words > 0")
+    return rows, met.select("shard", "place", "rank", "block", "low", "row", "skip", "words"), starts
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "doc_id") -> DataFrame:
@@ -165,18 +202,23 @@ def mixed(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "
     Each slot of a shard, told by ``place``, holds a block of ``source``; the block is made of pieces in the order of
     ``low``, each of ``words`` words of a document after its first ``skip``.
     """
-    rows, pieces = _mixture(docs, block, part, id_col)
+    rows, pieces, _ = _mixture(docs, block, part, id_col)
     return pieces.join(rows.select("row", "doc_id", "source"), "row").select("shard", "place", "source", "block", "low", "doc_id", "skip", "words")
 
 
 def mixed_blocks(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "doc_id") -> DataFrame:
     """The token blocks themselves: (shard, place, source, block, words, text), the words joined by single spaces."""
     kept = cut(docs.select(F.col(id_col).alias("doc_id"), "source", F.col("text")))
-    rows, pieces = _mixture(kept, block, part, "doc_id")
-    # Rows are numbered alike as both read the same written partitions.
+    rows, pieces, starts = _mixture(kept, block, part, "doc_id")
+    # Rows are numbered alike as both read the same written partitions. Each text is cut at its blocks' borders once.
     texts = kept.select(F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0)).alias("all"))
-    said = pieces.join(rows.select("row", "source"), "row").join(texts, "row")
-    one = F.struct("low", F.array_join(F.slice("all", (F.col("skip") + 1).cast("int"), F.col("words").cast("int")), " ").alias("said"))
+    first, last = F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long")
+    skip = lambda b: F.greatest(b * block - F.col("start"), F.lit(0))
+    stop = lambda b: F.least(F.col("size"), (b + 1) * block - F.col("start"))
+    piece = lambda b: F.struct(b.alias("block"), F.slice("all", (skip(b) + 1).cast("int"), (stop(b) - skip(b)).cast("int")).alias("held"))
+    cuts = texts.join(starts, "row").select("row", F.inline(F.transform(F.sequence(first, last), piece)))
+    said = pieces.join(rows.select("row", "source"), "row").join(cuts, ["row", "block"])
+    one = F.struct("low", F.array_join(F.slice("held", F.lit(1), F.col("words").cast("int")), " ").alias("said"))
     each = said.withColumn("piece", one).groupBy("shard", "place", "source", "block").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list("piece")).alias("pieces"))
     return each.select("shard", "place", "source", "block", "words", F.array_join("pieces.said", " ").alias("text"))
 
@@ -186,7 +228,7 @@ def mix(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "do
 
     ``pieces`` counts the slots that hold words of the document, ``first_shard`` is the first output shard with one.
     """
-    rows, pieces = _mixture(docs, block, part, id_col)
+    rows, pieces, _ = _mixture(docs, block, part, id_col)
     taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.count("*").alias("pieces"), F.min("shard").alias("first_shard"))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", count("taken"), count("pieces"), "first_shard")
