@@ -21,6 +21,7 @@ ignored; very long texts travel once, as digests.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -58,7 +59,7 @@ def placed(conversations: DataFrame) -> DataFrame:
 def rebuilt(turns: DataFrame, every: int = 20, shared: int = 4) -> tuple[DataFrame, DataFrame]:
     """Turns and ids of conversations that start like others: the first ``h`` turns of ``c - c % every``, then the own ones after ``h``.
 
-    ``h`` is the CRC-32 of the id in decimal digits modulo ``shared``. ``turns`` is read three times.
+    ``h`` is the CRC-32 of the id in decimal digits modulo ``shared``; the remainder of a negative id is negative. ``turns`` is read three times.
     """
     ids = turns.select("conv_id").distinct().withColumn("h", F.crc32(F.col("conv_id").cast("string").cast("binary")) % shared).withColumn("base", F.col("conv_id") - F.col("conv_id") % every)
     heads = turns.where((F.col("pos") < shared) & (F.col("conv_id") % every == 0))
@@ -318,7 +319,7 @@ def brute_force(rows: list[tuple], every: int = 20, shared: int = 4) -> list[tup
     own: dict[int, list] = {}
     for c, _, role, text in sorted(((c, t if t is not None else float("-inf"), r or "", x or "") for c, t, r, x in rows if c is not None)):
         own.setdefault(c, []).append((role, text))
-    built = {c: own.get(c - c % every, [])[: (h := zlib.crc32(str(c).encode()) % shared)] + turns[h:] for c, turns in own.items()}
+    built = {c: own.get(c - int(math.fmod(c, every)), [])[: (h := zlib.crc32(str(c).encode()) % shared)] + turns[h:] for c, turns in own.items()}
     members: dict[tuple, list] = {}
     for c in sorted(built):
         for d in range(len(built[c]) + 1):
@@ -345,7 +346,8 @@ WITH placed AS (
   FROM heads UNION ALL
   SELECT p.conv_id, p.pos - h + coalesce(m, 0), p.role, p.text FROM placed p JOIN ids USING (conv_id) LEFT JOIN (SELECT conv_id, count(*) AS m FROM heads GROUP BY ALL) USING (conv_id) WHERE p.pos > h
 ), paths AS (
-  SELECT conv_id, pos AS depth, len(regexp_extract_all(text, '[^ 	-]+')) AS words, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM rebuilt
+  SELECT conv_id, pos AS depth, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM rebuilt
   UNION ALL SELECT conv_id, 0, 0, '' FROM ids
 ), nodes AS (
   SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM paths GROUP BY path

@@ -2,9 +2,10 @@
 
 A window is ``K`` consecutive words of one document. Each window has a minimiser, the least hash of its runs of ``M``
 words; consecutive windows that share one make a super-k-mer, and its words travel as one packed string to the
-minimiser's bucket. Equal windows have equal minimisers, so they meet. A bucket ranks its windows by doubling (words,
-then runs of 2, 4 and 8 words, then all 13 from two runs of 8), sorts the ranks, and so counts equal windows exactly,
-word by word. A window is repeated if a document with a smaller id holds it, too; every word in a repeated window goes.
+minimiser's bucket. Equal windows have equal minimisers, so they meet. A bucket sorts its windows by a hash and compares
+those of equal hashes word by word, which counts equal windows exactly. A window is repeated if a document with a smaller
+id holds it, too; every word in a repeated window goes. Hashes of runs of words come from sums over a task's bytes, so no
+Python code runs per word.
 
 A first pass counts the windows of each bucket. A bucket with more than twice its share is cut into parts by packed
 string: a part settles what it sees, and sends the windows that its smallest id holds on to an exact comparison over all
@@ -23,19 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, side, text_of
-from .near_dedup import _STEP, WordHashes, mix
+from .decontaminate import powers
+from .near_dedup import mix
 
 K, M = 13, 3
 #: Windows of a bucket, on average.
-BUCKET = 300_000
+BUCKET = 200_000
 #: Words that are cut together, and the most windows of a super-k-mer and super-k-mers of a packed string.
-CHUNK, LONGEST, PACKED = 1_000_000, 256, 2_000
+CHUNK, LONGEST, PACKED = 600_000, 256, 2_000
 #: Characters of text for a window, to guess the number of buckets.
 CHARS = 6
 
@@ -53,19 +54,37 @@ def _least(g: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - size)], out[width - size :]) if width > size else out
 
 
-def super_kmers(hashes: np.ndarray, doc: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, number of windows, minimiser) of each super-k-mer of words that stand side by side; ``doc``: whose each word is."""
-    if len(hashes) < k:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        g = np.zeros(len(hashes) - m + 1, np.uint64)
-        for j in range(m):
-            g = mix(g * _STEP + hashes[j : len(hashes) - m + 1 + j])
-    least = _least(g, k - m + 1)
-    at = np.nonzero(doc[: len(doc) - k + 1] == doc[k - 1 :])[0]
+class Line:
+    """Words joined by single spaces: where each begins and ends, and hashes of runs of them."""
+
+    def __init__(self, text: bytes):
+        self.text, points = text, np.frombuffer(text, np.uint8)
+        spaces = np.nonzero(points == 32)[0]
+        self.begin, self.end = np.concatenate(([0], spaces + 1)), np.append(spaces, len(points))
+        with np.errstate(over="ignore"):
+            base, self.back = powers(len(points))
+            self.sums = np.zeros(len(points) + 1, np.uint64)
+            np.cumsum(_VALUES[points] * base, out=self.sums[1:])
+
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of the runs from the words ``first`` to the words ``last``."""
+        a, b = self.begin[first], self.end[last]
+        with np.errstate(over="ignore"):
+            return mix((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(np.uint64))
+
+
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def super_kmers(runs: np.ndarray, doc: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, number of windows, minimiser) of each super-k-mer of words that stand side by side.
+
+    ``runs``: the hash of the ``m`` words from each one on; ``doc``: whose each word is.
+    """
+    at = np.nonzero(doc[: max(0, len(doc) - k + 1)] == doc[k - 1 :])[0]
     if not len(at):
         return at, at, np.empty(0, np.uint64)
-    least, whose = least[at], doc[at]
+    least, whose = _least(runs, k - m + 1)[at], doc[at]
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) > 1) | (least[1:] != least[:-1]) | (whose[1:] != whose[:-1])
     first = np.nonzero(new)[0]
@@ -74,37 +93,36 @@ def super_kmers(hashes: np.ndarray, doc: np.ndarray, k: int = K, m: int = M) ->
     return at[first], np.diff(np.append(first, len(at))), least[first]
 
 
-class _Chunks:
-    """Documents of a task, some at a time: their words, and the super-k-mers of these."""
-
-    def __init__(self, frames: Iterator[pd.DataFrame]):
-        self.frames, self.hashes = frames, WordHashes()
-
-    def __iter__(self):
-        words, owners = [], []
-        for frame in self.frames:
-            for doc_id, mark, text in zip(frame["doc_id"], frame["mark"], frame["text"]):
-                own = _words(text)
-                if len(own) >= K:
-                    owners.append((doc_id, mark, len(words), len(own)))
-                    words += own
-                if len(words) >= CHUNK:
-                    yield self._made(words, owners)
-                    words, owners = [], []
-        if owners:
-            yield self._made(words, owners)
-
-    def _made(self, words: list[bytes], owners: list[tuple]):
-        ids, marks, begins, lengths = (np.array(x, np.int64) for x in zip(*owners))
-        doc = np.repeat(np.arange(len(owners)), lengths)
-        first, n, least = super_kmers(np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words)), doc)
+def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """Documents of a task, some at a time: their words as one line, and their super-k-mers as ids, marks, first words, places, windows, minimisers."""
+
+    def made(texts: list[bytes], owners: list[tuple]) -> tuple:
+        line, (ids, marks, lengths) = Line(b" ".join(texts)), (np.array(x, np.int64) for x in zip(*owners))
+        doc, begins = np.repeat(np.arange(len(owners)), lengths), np.cumsum(lengths) - lengths
+        words = np.arange(len(doc))
+        first, n, least = super_kmers(line.hashes(words[: len(words) - M + 1], words[M - 1 :]), doc)
         of = doc[first]
-        return words, ids[of], marks[of], first, first - begins[of], n, mix(least)
+        return line, ids[of], marks[of], first, first - begins[of], n, mix(least)
+
+    texts, owners, size = [], [], 0
+    for frame in frames:
+        for doc_id, mark, text in zip(frame["doc_id"], frame["mark"], frame["text"]):
+            own = b" ".join(_words(text))
+            n = own.count(b" ") + 1
+            if n >= K:
+                texts.append(own)
+                owners.append((doc_id, mark, n))
+                size += n
+            if size >= CHUNK:
+                yield made(texts, owners)
+                texts, owners, size = [], [], 0
+    if owners:
+        yield made(texts, owners)
 
 
 def _counted(buckets: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, _, _, _, _, n, least in _Chunks(frames):
+        for *_, n, least in _chunks(frames):
             bucket, at = np.unique(least % np.uint64(buckets), return_inverse=True)
             yield pd.DataFrame({"bucket": bucket.astype(np.int64), "windows": np.bincount(at, n).astype(np.int64)})
 
@@ -116,15 +134,13 @@ def _packed(buckets: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for words, ids, marks, first, places, n, least in _Chunks(frames):
-            text, offsets = b" ".join(words), np.zeros(len(words) + 1, np.int64)
-            np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=offsets[1:])
+        for line, ids, marks, first, places, n, least in _chunks(frames):
             bucket = (least % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             starts = np.nonzero(np.diff(bucket[order], prepend=-1))[0]
-            begin, end = offsets[first].tolist(), (offsets[first + n + K - 1] - 1).tolist()
+            text, begin, end = line.text, line.begin[first].tolist(), line.end[first + n + K - 2].tolist()
             rows = []
-            for a, b in zip(starts, np.append(starts[1:], len(order))):
+            for a, b in zip(starts.tolist(), np.append(starts[1:], len(order)).tolist()):
                 for c in range(a, b, PACKED):
                     some = order[c : min(b, c + PACKED)]
                     head = np.stack((ids[some], marks[some], places[some], n[some]))
@@ -135,21 +151,35 @@ def _packed(buckets: int):
     return run
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+def _unpacked(data: bytes) -> tuple[np.ndarray, bytes]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     rows = int(np.frombuffer(raw, np.int64, 1)[0])
-    return np.frombuffer(raw, np.int64, 4 * rows, 8).reshape(4, rows), raw[8 + 32 * rows :].split(b" ")
-
-
-def window_ranks(words: list[bytes], at: np.ndarray) -> np.ndarray:
-    """A number for each window (``K`` words from each place in ``at``): equal for equal words and for no others."""
-    rank = pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    size = 1
-    while size < K:
-        step = min(size, K - size)
-        rank = pd.factorize((rank[:-step] << 32) | rank[step:])[0]
-        size += step
-    return rank[at]
+    return np.frombuffer(raw, np.int64, 4 * rows, 8).reshape(4, rows), raw[8 + 32 * rows :]
+
+
+def exact_ranks(text: bytes, begin: np.ndarray, end: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each piece of ``text``, equal for equal pieces and for no others, and the order in which they stand sorted.
+
+    Pieces are sorted by their hashes; those that share one are compared, and told apart if they differ.
+    """
+    order = np.argsort(hashed, kind="stable")
+    new = np.concatenate(([True], np.diff(hashed[order]) != 0))
+    group = np.cumsum(new) - 1
+    again = np.nonzero(~new)[0]
+    heads = order[np.nonzero(new)[0][group[again]]]
+    rest, a, b = order[again], begin.tolist(), end.tolist()
+    differ = [g for i, j, g in zip(rest.tolist(), heads.tolist(), group[again].tolist()) if text[a[i] : b[i]] != text[a[j] : b[j]]]
+    rank = np.empty(len(hashed), np.int64)
+    rank[order] = group
+    if differ:
+        top = int(group[-1]) + 1
+        for g in set(differ):
+            known: dict[bytes, int] = {}
+            for i in order[group == g].tolist():
+                rank[i] = top + known.setdefault(text[a[i] : b[i]], len(known))
+            top += len(known)
+        order = np.argsort(rank, kind="stable")
+    return rank, order
 
 
 RANGES = "kind int, doc_id long, mark long, begin long, stop long, window binary"
@@ -157,15 +187,14 @@ RANGES = "kind int, doc_id long, mark long, begin long, stop long, window binary
 
 def _judged(frame: pd.DataFrame) -> pd.DataFrame:
     """Kind 0: runs of words in windows that a smaller id of this part holds. Kind 1, of a bucket in parts: the windows of the least id."""
-    heads, lists = zip(*map(_unpacked, frame["data"]))
+    heads, bodies = zip(*map(_unpacked, frame["data"]))
     ids, marks, places, n = np.concatenate(heads, axis=1)
-    words = [w for x in lists for w in x]
-    lengths = n + K - 1
+    line, lengths = Line(b" ".join(bodies)), n + K - 1
     of = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     at = np.repeat(np.cumsum(lengths) - lengths, n) + inside
-    rank, doc = window_ranks(words, at), ids[of]
-    order = np.argsort(rank, kind="stable")
+    begin, end, doc = line.begin[at], line.end[at + K - 1], ids[of]
+    rank, order = exact_ranks(line.text, begin, end, line.hashes(at, at + K - 1))
     starts = np.nonzero(np.diff(rank[order], prepend=-1))[0]
     least = np.empty(int(rank.max()) + 1, np.int64)
     least[rank[order][starts]] = np.minimum.reduceat(doc[order], starts)
@@ -179,7 +208,7 @@ def _judged(frame: pd.DataFrame) -> pd.DataFrame:
     if frame["parts"].iloc[0] < 2:
         return out
     kept = np.nonzero(~gone)[0]
-    more = pd.DataFrame({"kind": 1, "doc_id": doc[kept], "mark": marks[of[kept]], "begin": place[kept], "stop": place[kept] + K, "window": [b" ".join(words[i : i + K]) for i in at[kept].tolist()]})
+    more = pd.DataFrame({"kind": 1, "doc_id": doc[kept], "mark": marks[of[kept]], "begin": place[kept], "stop": place[kept] + K, "window": [line.text[a:b] for a, b in zip(begin[kept].tolist(), end[kept].tolist())]})
     return pd.concat((out, more))
 
 
