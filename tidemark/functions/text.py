@@ -6,7 +6,10 @@ Terms are tested as case-folded substrings, so ``ai`` also counts in ``said``; `
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +51,43 @@ def mentions(text: Column, terms: list[str], word_boundary: bool = False, fold:
     return out
 
 
+#: Characters of terms that one automaton holds.
+PACK = 4_000_000
+
+
+def _finder(terms: list[str]):
+    """A function of texts: how many of ``terms`` each holds."""
+
+    @F.pandas_udf("int")
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for i, term in enumerate(terms):
+            automaton.add_word(term, i)
+        automaton.make_automaton()
+        for some in texts:
+            yield some.map(lambda t: len({i for _, i in automaton.iter(t)}) if terms and t else 0).astype("int32")
+
+    return found
+
+
+def term_mentions(df: DataFrame, text: str, terms: DataFrame, name: str = "mentions", pack: int = PACK) -> DataFrame:
+    """``df`` with how many of ``terms`` (term) occur in ``text``, as :func:`mentions` of a list, for lists of any length.
+
+    A task finds all terms of a pack in one pass over a text, by an automaton, so the cost does not grow with their number.
+    Terms beyond ``pack`` characters go in several packs, each with a pass of its own; blank and repeated terms count once
+    at most, as in a list of distinct terms, and the empty term not at all.
+    """
+    known = terms.select(F.lower("term").alias("term")).where("term is not null and term <> ''").distinct()
+    packs = max(1, -(-(known.agg(F.sum(F.length("term"))).first()[0] or 0) // pack))  # one value
+    out, counts = df, []
+    for k in range(packs):
+        of_pack = [r["term"] for r in known.where(F.pmod(F.xxhash64("term"), F.lit(packs)) == k).collect()]  # about ``pack`` characters
+        counts.append(f"{name}_{k}")
+        out = out.withColumn(counts[-1], _finder(of_pack)(F.lower(F.col(text))))
+    total = sum((F.col(c) for c in counts[1:]), F.col(counts[0]))
+    return out.withColumn(name, total).drop(*counts)
+
+
 def any_term(text: Column, terms: list[str], fold: bool = True) -> Column:
     return mentions(text, terms, fold=fold) > 0
 

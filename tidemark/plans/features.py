@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import growth, zero, zero_ratio
+from ..operators import chunks as ch
 from ..session import materialised
 
 KEYS = ["time_id", "date", "entity_id", "entity_name", "entity_type"]
@@ -82,32 +83,50 @@ def by_entity(order: str = "date") -> "Window":
     return Window.partitionBy("entity_id").orderBy(order)
 
 
-def rolling(c: str, rows: int, f=F.avg) -> Column:
+def rolling(c: str, rows: int, f=F.avg, w: Window | None = None) -> Column:
     """``f`` over the last ``rows`` rows of the entity."""
-    return f(c).over(by_entity().rowsBetween(1 - rows, 0))
+    return f(c).over((w or by_entity()).rowsBetween(1 - rows, 0))
 
 
-def change(c: str, rows: int) -> Column:
+def change(c: str, rows: int, w: Window | None = None) -> Column:
     """Relative change against the value ``rows`` rows before."""
-    return growth(F.col(c), F.lag(c, rows).over(by_entity()))
+    return growth(F.col(c), F.lag(c, rows).over(w or by_entity()))
 
 
 def volatility(c: str, rows: int = 30) -> Column:
     return F.stddev_samp(c).over(by_entity().rowsBetween(1 - rows, 0))
 
 
-def hype_features(daily: DataFrame) -> DataFrame:
+#: How many rows the windows of features reach back.
+REACH = 30
+
+
+def in_chunks(daily: DataFrame, size: int | None, compute) -> DataFrame:
+    """``compute(daily, window)`` by entity; with a ``size`` by chunks of so many rows, so that no entity is one task."""
+    return compute(daily, by_entity()) if size is None else ch.windowed(daily, ["entity_id"], ["date"], size, REACH, compute)
+
+
+def keys_of(df: DataFrame) -> list[str]:
+    return [*KEYS, *[c for c in (ch.ROW, ch.CHUNK, ch.OWN) if c in df.columns]]
+
+
+def hype_features(daily: DataFrame, size: int | None = None) -> DataFrame:
+    """Rolling averages, momentum and intensity; ``size``: see :func:`in_chunks`."""
+    return in_chunks(daily, size, _hype_features)
+
+
+def _hype_features(daily: DataFrame, over: Window) -> DataFrame:
     w = daily.select(
         "*",
-        *[rolling(c, 7).alias(f"{c}_7") for c in ("reddit_sentiment", "news_sentiment", "github_trending", "hf_trending")],
-        *[rolling(c, 30).alias(f"{c}_30") for c in ("reddit_sentiment", "news_sentiment")],
-        *[change(c, 7).alias(f"{c}_change") for c in ("reddit_sentiment", "news_sentiment", "github_trending")],
+        *[rolling(c, 7, w=over).alias(f"{c}_7") for c in ("reddit_sentiment", "news_sentiment", "github_trending", "hf_trending")],
+        *[rolling(c, 30, w=over).alias(f"{c}_30") for c in ("reddit_sentiment", "news_sentiment")],
+        *[change(c, 7, over).alias(f"{c}_change") for c in ("reddit_sentiment", "news_sentiment", "github_trending")],
     )
     mentions = F.col("github_mentions") + F.col("hf_mentions")
     weighted = zero("github_trending_7") * F.col("github_mentions") + zero("hf_trending_7") * F.col("hf_mentions")
     quarters = [zero(f"{c}_7") * 0.25 for c in ("reddit_sentiment", "news_sentiment", "github_trending", "hf_trending")]
     return w.select(
-        *KEYS,
+        *keys_of(w),
         zero("reddit_sentiment").alias("reddit_sentiment_score"), zero("news_sentiment").alias("news_sentiment_score"), zero("github_trending").alias("github_trending_score"),
         zero("hf_trending").alias("hf_trending_score"), zero("arxiv_innovation").alias("arxiv_innovation_score"),
         *[n for _, n in HYPE.values()],
@@ -119,18 +138,23 @@ def hype_features(daily: DataFrame) -> DataFrame:
     )
 
 
-def reality_features(daily: DataFrame) -> DataFrame:
+def reality_features(daily: DataFrame, size: int | None = None) -> DataFrame:
+    """Rolling averages and sums, growth and strength; ``size``: see :func:`in_chunks`."""
+    return in_chunks(daily, size, _reality_features)
+
+
+def _reality_features(daily: DataFrame, over: Window) -> DataFrame:
     w = daily.select(
         "*",
-        rolling("stock_price", 7).alias("price_7"), rolling("github_stars_delta", 7).alias("stars_7"), rolling("hf_downloads_delta", 7).alias("downloads_7"), rolling("stock_price", 30).alias("price_30"),
-        *[change(c, 30).alias(f"{c}_growth") for c in ("stock_price", "github_stars_delta", "hf_downloads_delta")],
-        *[rolling(c, 30, F.sum).alias(f"{c}_sum") for c in ("github_stars_delta", "hf_downloads_delta")],
+        *[rolling(c, n, w=over).alias(name) for c, n, name in (("stock_price", 7, "price_7"), ("github_stars_delta", 7, "stars_7"), ("hf_downloads_delta", 7, "downloads_7"), ("stock_price", 30, "price_30"))],
+        *[change(c, 30, over).alias(f"{c}_growth") for c in ("stock_price", "github_stars_delta", "hf_downloads_delta")],
+        *[rolling(c, 30, F.sum, over).alias(f"{c}_sum") for c in ("github_stars_delta", "hf_downloads_delta")],
     )
     price, stars, downloads = zero("stock_price_growth"), zero("github_stars_delta_growth"), zero("hf_downloads_delta_growth")
     kind = F.col("entity_type")
     strength = F.when(kind == "company", price * 0.4 + stars * 0.3 + downloads * 0.3).when(kind == "software", stars).when(kind == "ai_model", downloads).otherwise(stars + downloads)
     return w.select(
-        *KEYS,
+        *keys_of(w),
         *[zero(c).alias(c) for c in REALITY.values()],
         zero("price_7").alias("price_7d_avg"), zero("stars_7").alias("github_stars_7d_delta"), zero("downloads_7").alias("hf_downloads_7d_delta"), zero("price_30").alias("price_30d_avg"),
         price.alias("price_30d_growth"), stars.alias("github_delta_30d_growth"), downloads.alias("hf_downloads_30d_growth"),

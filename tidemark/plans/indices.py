@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import min_max_score, safe_div, zero, zero_ratio
+from .features import in_chunks, keys_of
 
 def _entity():
     return Window.partitionBy("entity_id", "entity_name", "entity_type")
@@ -191,18 +192,27 @@ def incremental_bubble(old: DataFrame, both_new: DataFrame) -> DataFrame:
     return _bubble_columns(rows.crossJoin(F.broadcast(ends)))  # one row
 
 
-def entity_bubble(combined: DataFrame) -> DataFrame:
-    e = Window.partitionBy("entity_id").orderBy("date")
-    whole = Window.partitionBy("entity_id")
+def entity_bubble(combined: DataFrame, size: int | None = None) -> DataFrame:
+    """The bubble table per entity; with a ``size`` by chunks of so many rows, and each entity's range by an aggregation."""
     pairs = {"hype": "multi_source_hype_intensity", "reality": "reality_strength_score"}
-    rows = combined.withColumns({f"{k}_{n}d_avg": F.avg(c).over(e.rowsBetween(1 - n, 0)) for k, c in pairs.items() for n in (7, 30)})
-    score = lambda c: min_max_score(c, F.min(c).over(whole), F.max(c).over(whole))
+    ends = {f"{k}_{e}": f(c) for k, c in pairs.items() for e, f in (("low", F.min), ("high", F.max))}
+    if size is None:
+        ranged = combined.withColumns({n: v.over(Window.partitionBy("entity_id")) for n, v in ends.items()})
+    else:
+        ranges = combined.groupBy(F.col("entity_id").alias("of_entity")).agg(*[v.alias(n) for n, v in ends.items()])
+        ranged = combined.join(ranges, F.col("entity_id") == F.col("of_entity")).drop("of_entity")
+    return in_chunks(ranged, size, lambda rows, w: _entity_bubble(rows, w, pairs))
+
+
+def _entity_bubble(ranged: DataFrame, e: Window, pairs: dict[str, str]) -> DataFrame:
+    rows = ranged.withColumns({f"{k}_{n}d_avg": F.avg(c).over(e.rowsBetween(1 - n, 0)) for k, c in pairs.items() for n in (7, 30)})
+    score = lambda k: min_max_score(pairs[k], f"{k}_low", f"{k}_high")
     moved = lambda c: F.col(c) - F.lag(c, 7).over(e)
     return rows.select(
-        "time_id", "date", "entity_id", "entity_name", "entity_type", *pairs.values(), *[f"{k}_{n}d_avg" for n in (7, 30) for k in pairs], "hype_reality_gap",
+        *keys_of(rows), *pairs.values(), *[f"{k}_{n}d_avg" for n in (7, 30) for k in pairs], "hype_reality_gap",
         zero_ratio(*pairs.values()).alias("hype_reality_ratio"),
         ((F.col("hype_7d_avg") - F.col("reality_7d_avg")) - (F.col("hype_30d_avg") - F.col("reality_30d_avg"))).alias("bubble_momentum"),
         "reddit_sentiment_score", "github_trending_score", "hf_trending_score", "arxiv_innovation_score", "github_stars_delta", "hf_downloads_delta",
         moved("github_trending_score").alias("github_trending_momentum"), moved("hf_trending_score").alias("hf_trending_momentum"),
-        score(pairs["hype"]).alias("hype_score"), score(pairs["reality"]).alias("reality_score"),
+        score("hype").alias("hype_score"), score("reality").alias("reality_score"),
     )

@@ -3,7 +3,8 @@
 Beside the table the store keeps what new days need of old ones: sums and counts that give the entity weights, and the
 last ``LEAD_IN`` daily rows of each entity, which is as far back as the feature windows reach. Old days are not read
 again, nor changed; signals that arrive late for them are left out. As in the plain incremental mode of the indices,
-new days are normalised among themselves and scored by the range of the stored ones.
+new days are normalised among themselves and scored by the range of the stored ones. :func:`late_refresh` takes late signals
+in, see there.
 
 The state of a day is written before the table's rows up to that day, which are one file under the day's name: after a
 crash the same refresh starts from the same day again, and a refresh without new days writes nothing.
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import exists, materialised
+from ..sources.keyed_log import KeyedLog
 from . import features as ft
 from . import indices as ix
 
@@ -79,3 +81,46 @@ def refresh(spark: SparkSession, store: str, hype: DataFrame, reality: DataFrame
         return old.limit(0)
     sums = materialised(added(state("sums"), weight_sums(new)))
     return _store(spark, store, ix.incremental_bubble(old, new_indices(new, sums)), sums, daily)
+
+
+def feature_store(spark: SparkSession, store: str) -> KeyedLog:
+    """The stored features of each entity and day, by month."""
+    return KeyedLog(spark, f"{store}/combined", ["entity_id", "date"], F.date_format("date", "yyyy-MM"))
+
+
+def _spread(daily: DataFrame, dirty: DataFrame) -> DataFrame:
+    """(entity_id, date) of the days whose windows reach back to a dirty day, that day included."""
+    w = Window.partitionBy("entity_id").orderBy("date").rowsBetween(-LEAD_IN, 0)
+    marked = daily.select("entity_id", "date").join(dirty.withColumn("is_dirty", F.lit(1)), ["entity_id", "date"], "left")
+    return marked.withColumn("touched", F.max("is_dirty").over(w)).where("touched = 1").select("entity_id", "date")
+
+
+def _needed(daily: DataFrame, changed: DataFrame) -> DataFrame:
+    """The daily rows that the features of the changed days read: these and the ``LEAD_IN`` rows before each."""
+    w = Window.partitionBy("entity_id").orderBy("date").rowsBetween(0, LEAD_IN)
+    marked = daily.join(changed.withColumn("is_changed", F.lit(1)), ["entity_id", "date"], "left")
+    return marked.withColumn("needed", F.max("is_changed").over(w)).where("needed = 1").select(*daily.columns)
+
+
+def late_refresh(spark: SparkSession, store: str, hype: DataFrame, reality: DataFrame, dirty: DataFrame, number: int) -> DataFrame:
+    """Takes in signals for any days, late ones too: computes the features anew that they touch, and no others.
+
+    ``dirty``: (entity_id, date) of the new signals; ``hype`` and ``reality``: daily rows with these signals, of which only
+    those of the dirty entities are read. A dirty day touches itself and the days whose windows reach back to it, which are
+    the entity's next ``LEAD_IN`` rows. The features replace the stored ones as batch ``number``, once. Returns what was
+    computed. The table of all days then follows from :func:`late_bubble`: weights and maxima of an entity are over all its
+    days, so a late row moves every index that the entity is part of, but each of these costs one sum.
+    """
+    marks = materialised(dirty.select("entity_id", "date").where("entity_id is not null and date is not null").distinct())
+    entities = marks.select("entity_id").distinct()
+    tables = [materialised(d.join(entities, "entity_id", "left_semi").select(*d.columns)) for d in (hype, reality)]
+    changed = materialised(_spread(tables[0], marks).unionByName(_spread(tables[1], marks)).distinct())
+    made = ft.combined_features(*[f(_needed(d, changed)) for f, d in zip((ft.hype_features, ft.reality_features), tables)])
+    made = materialised(made.join(changed, ["entity_id", "date"], "left_semi").select(*made.columns))
+    feature_store(spark, store).append(made, "refresh", number)
+    return made
+
+
+def late_bubble(spark: SparkSession, store: str) -> DataFrame:
+    """The bubble table of the stored features, equal to that of a full run over all signals taken in."""
+    return ix.bubble_metrics(ix.both_indices(feature_store(spark, store).table()))

@@ -109,6 +109,19 @@ def refresh_bubble(spark: SparkSession, sf: str) -> DataFrame:
     return refresh.stored(spark, store)
 
 
+def late_bubble(spark: SparkSession, sf: str) -> DataFrame:
+    """The bubble table after a load without the lines of some orders, and a refresh by these, which are late for most days."""
+    sales, star = ad.sales(spark, sf), ad.star(spark, sf)
+    late = F.col("l_orderkey") % 500 == 7
+    hype, reality = (materialised(d) for d in ft.daily_of_metrics(ad.daily_signals(sales.where(~late)), *star))
+    store = shared_folder(spark, "late")
+    everything = hype.select("entity_id", "date").unionByName(reality.select("entity_id", "date"))
+    refresh.late_refresh(spark, store, hype, reality, everything, 0)
+    new = [d.select("entity_id", "date") for d in ft.daily_of_metrics(materialised(ad.daily_signals(sales.where(late))), *star)]
+    refresh.late_refresh(spark, store, *daily(spark, sf), new[0].unionByName(new[1]), 1)
+    return refresh.late_bubble(spark, store)
+
+
 def distinct_on(spark: SparkSession, sf: str) -> DataFrame:
     """One row per month of the daily bubble table, the latest day's."""
     rows = bubble(spark, sf).select(F.trunc("date", "month").alias("month"), "date", "time_id", "hype_index")
@@ -202,6 +215,8 @@ QUERIES = {k: _rounding(f) for k, f in {
     "incr_bubble": incr_bubble,
     "upsert_bubble": upsert_bubble,
     "refresh_bubble": refresh_bubble,
+    "late_bubble": late_bubble,
+    "entity_bubble_chunks": lambda s, d: ix.entity_bubble(ft.combined_features(*[f(x, 200) for f, x in zip((ft.hype_features, ft.reality_features), map(materialised, daily(s, d)))]), 200),
     "distinct_on": distinct_on,
     "top_risk": top_risk,
     "latest_per_entity": latest_per_entity,
@@ -238,6 +253,8 @@ ORACLE_SQL = {
     "reality_index": oracle(f"SELECT time_id, date, entity_count, {r(*RINDEX)} FROM ridx"),
     "bubble_metrics": oracle(f"SELECT date, time_id, {r(*BUBBLE)} FROM bubble"),
     "entity_bubble": oracle(f"SELECT {IDS}, {r(*ENTITY)} FROM ent"),
+    "entity_bubble_chunks": oracle(f"SELECT {IDS}, {r(*ENTITY)} FROM ent"),
+    "late_bubble": oracle(f"SELECT date, time_id, {r(*BUBBLE)} FROM bubble"),
     "roll7": _W([(over("avg", c, 7), f"{c}_avg", "h") for c in ("reddit_sentiment", "github_trending", "hf_trending")]),
     "roll30": _W([(over("avg", c, 30), f"{c}_avg", "h") for c in ("reddit_sentiment", "github_trending", "hf_trending")]),
     "momentum7": _W([(change(c, 7), f"{c}_momentum", "h") for c in ("reddit_sentiment", "news_sentiment", "github_trending")]),

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
+from ..operators import intervals as iv
+from ..operators import quantiles as qt
 from ..operators import series as sr
 from ..session import table
 from ..sources import adapters as ad
@@ -81,6 +83,24 @@ def stored_marks(spark: SparkSession, sf: str) -> DataFrame:
     return store.table(events.schema)
 
 
+#: Microseconds of an hour.
+HOUR = 3_600_000_000
+
+
+def trailing_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """For each purchase the user's events of the 1 to 72 hours up to it, by its id: intervals of any lengths."""
+    events = table(spark, sf, "events")
+    stop = F.unix_micros(F.col("ts").cast("timestamp"))
+    start = stop - (1 + F.col("event_id") % 72) * HOUR
+    asked = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return iv.interval_sums(events, asked, "user_id", stop, F.col("value"), start, stop, 6 * HOUR, hot=1_000)
+
+
+def exact_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Quartiles of the values of each type of event, by passes that leave at most 100 values of a type to be sorted."""
+    return qt.exact_quantiles(table(spark, sf, "events"), "event_type", "value", [0.25, 0.5, 0.75], 100)
+
+
 def due_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Which users have not been seen for a day, six hours or an hour, by their id modulo 3."""
     events = table(spark, sf, "events")
@@ -105,6 +125,8 @@ QUERIES = {k: _rounding(f) for k, f in {
     "newer_than_hwm": newer_than_hwm,
     "stored_marks": stored_marks,
     "due_sources": due_sources,
+    "trailing_sums": trailing_sums,
+    "exact_quantiles": exact_quantiles,
     "dedup_latest": lambda s, d: keep_latest(_daily_keys(s, d), ["user_id", "event_type", "day"], ["ts", "event_id"]),
 }.items()}
 
@@ -130,6 +152,8 @@ ORACLE_SQL = {
     "model_deltas": oracle(f"SELECT name, date, CAST(downloads - {_LAG('downloads')} AS BIGINT) AS downloads_delta, CAST(likes - {_LAG('likes')} AS BIGINT) AS likes_delta, round((downloads - {_LAG('downloads')}) / greatest({_LAG('downloads')}, 1) * 0.6 + (likes - {_LAG('likes')}) / greatest({_LAG('likes')}, 1) * 0.4 + 1.37e-9, 6) + 0.0 AS trending_score FROM snaps"),
     "stream_dedup": oracle(f"SELECT user_id, event_type, day, ts, event_id, {r('value')} FROM latest_key"),
     "dedup_latest": oracle(f"SELECT user_id, event_type, day, ts, event_id, {r('value')} FROM latest_key"),
+    "trailing_sums": f"SELECT event_id, user_id, ts, n_points, {r('total')} FROM (SELECT a.event_id, a.user_id, a.ts, count(*) AS n_points, sum(b.value) AS total FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - to_hours((1 + a.event_id % 72)::INT) AND a.ts WHERE a.event_type = 'purchase' GROUP BY ALL)",
+    "exact_quantiles": f"SELECT event_type, prob, n, {r('quantile')} FROM (" + " UNION ALL ".join(f"SELECT event_type, {p}::DOUBLE AS prob, count(value) AS n, quantile_cont(value, {p}) AS quantile FROM events GROUP BY event_type" for p in (0.25, 0.5, 0.75)) + ")",
     "stored_marks": "SELECT event_id, event_type, ts FROM events",
     "newer_than_hwm": f"SELECT e.event_id, e.event_type, e.ts FROM events e LEFT JOIN (SELECT event_type, max(ts) AS last FROM events WHERE ts < TIMESTAMP '{MIDDLE}' AND event_type <> 'error' GROUP BY ALL) m USING (event_type) WHERE last IS NULL OR ts > last",
     "due_sources": "SELECT source, last, coalesce(epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(last)) >= 60 * CASE source % 3 WHEN 0 THEN 1440 WHEN 1 THEN 360 ELSE 60 END, true) AS due FROM (SELECT DISTINCT user_id AS source FROM events) LEFT JOIN (SELECT user_id AS source, max(ts) AS last FROM events WHERE user_id % 7 <> 0 GROUP BY ALL) USING (source)",

@@ -113,6 +113,7 @@ def _rounding(f):
 
 QUERIES = {k: _rounding(f) for k, f in {
     "kw_mentions": lambda s, d: table(s, d, "documents").select("doc_id", tx.mentions(F.col("text"), TERMS).alias("mentions")),
+    "kw_terms": lambda s, d: tx.term_mentions(table(s, d, "documents").select("doc_id", "text"), "text", table(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where("length(term) > 3")).select("doc_id", "mentions"),
     "kw_words": lambda s, d: table(s, d, "documents").select("doc_id", tx.mentions(F.col("text"), TERMS, word_boundary=True).alias("mentions")),
     "kw_mentions_default": lambda s, d: table(s, d, "documents").select("doc_id", tx.mentions(F.col("text"), tx.NEWS_TERMS).alias("mentions")),
     "lexicon_sentiment": lexicon_sentiment,
@@ -172,6 +173,7 @@ _num = lambda p, m: f"TRY_CAST(replace(regexp_extract(t, '{p}', 1), ',', '') AS
 
 ORACLE_SQL = {
     "kw_mentions": f"SELECT doc_id, {_count('text', TERMS)} AS mentions FROM documents",
+    "kw_terms": "WITH terms AS (SELECT DISTINCT t FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS t FROM benchmark) WHERE length(t) > 3) SELECT doc_id, (SELECT count(*)::INT FROM terms WHERE contains(lower(d.text), t)) AS mentions FROM documents d",
     "kw_words": "SELECT doc_id, " + " + ".join(rf"regexp_matches(lower(text), '(^|[^\p{{L}}\p{{Nd}}_]){t}([^\p{{L}}\p{{Nd}}_]|$)')::INT" for t in TERMS) + " AS mentions FROM documents",
     "kw_mentions_default": f"SELECT doc_id, {_count('text', tx.NEWS_TERMS)} AS mentions FROM documents",
     "lexicon_sentiment": oracle(f"SELECT k AS doc_id, {r('compound', 'pos', 'neg', 'neu')} FROM docsent"),
