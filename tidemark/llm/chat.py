@@ -3,9 +3,11 @@
 A transcript is a sequence of lines. A state says whose turn a line belongs to and whether it opens the turn or goes
 on with it. A line is seen through three features: the speaker marker it starts with, its length, and how it ends.
 Starts, transitions and emissions are counted on all conversations with known roles and smoothed; a share of mass is
-kept for openings without a marker, so missing or unknown markers are recovered from the rest.
+kept for openings without a marker, so missing or unknown markers are recovered from the rest. That share is learned from
+the transcripts themselves: the model says how many turns so many lines have, and the others have lost their markers.
 
-Viterbi decoding is split: a transcript is cut into chunks of ``CHUNK`` turns; each chunk yields the best scores from
+Viterbi decoding is split: a transcript is cut into chunks of ``CHUNK`` turns, and these, where they are long, into pieces of
+``LINES`` lines, whatever the turns say; each chunk yields the best scores from
 every state before it to every state at its end, a small matrix; the matrices of a transcript are chained; then each
 chunk is decoded between its two known borders. The result is that of one pass over the whole transcript, and no
 task holds more than a chunk of text.
@@ -29,13 +31,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.chunks import ROW, numbered
 from .common import cut, shards_for, text_of
 
 ROLES = ("system", "user", "assistant")
 STATES = [(r, opens) for opens in (True, False) for r in ROLES]
-CHUNK = 32
-#: Mass of openings without a marker, and what each count starts from.
-UNMARKED, PRIOR = 0.03, 0.5
+CHUNK, LINES = 32, 512
+#: The least mass of openings without a marker, the most, and what each count starts from.
+UNMARKED, MOST_UNMARKED, PRIOR = 0.03, 0.97, 0.5
 
 #: How speakers are named.
 NAMES = {
@@ -98,6 +101,24 @@ class Model:
         step /= step.sum(axis=1, keepdims=True)
         return cls(np.log(start / start.sum()), np.log(step), (np.log(marks), np.log(table("length", len(LENGTHS) + 1)), np.log(table("end", len(ENDS)))))
 
+    def with_unmarked(self, share: float) -> Model:
+        """The model for transcripts in which a ``share`` of the openings has no marker."""
+        opens = np.array([o for _, o in STATES])
+        marked = np.exp(self.emit[0][opens])
+        marked[:, 0] = 0.0
+        marks = np.exp(self.emit[0])
+        marks[opens] = marked / marked.sum(axis=1, keepdims=True) * (1 - share)
+        marks[opens, 0] = share
+        return Model(self.start, self.step, (np.log(marks), *self.emit[1:]))
+
+    def turns_per_line(self) -> float:
+        """How many turns a line opens, in the long run."""
+        moves = np.exp(self.step)
+        at = np.full(len(STATES), 1 / len(STATES))
+        for _ in range(2_000):
+            at = at @ moves
+        return float(at[[o for _, o in STATES]].sum())
+
     def scores(self, seen: np.ndarray) -> np.ndarray:
         """Emission scores of lines (mark, length, end)."""
         return sum(e.T[seen[:, k]] for k, e in enumerate(self.emit))
@@ -188,33 +209,52 @@ def train(conversations: DataFrame, seen: DataFrame | None = None) -> Model:
     return Model.of({(r.kind, r.state, r.value): float(r.n) for r in counts})
 
 
-_ORDER = ["conv_id", "chunk", "turn", "part", "line"]
+def unmarked_share(model: Model, seen: DataFrame) -> float:
+    """The share of openings of these observed lines that have no marker, from one count of lines and markers."""
+    lines, marks = seen.agg(F.count("*"), F.count(F.when(F.col("mark") > 0, 1))).first()
+    expected = (lines or 0) * model.turns_per_line()
+    return min(max(1 - marks / expected, UNMARKED), MOST_UNMARKED) if expected else UNMARKED
+
+
+_ORDER = ["conv_id", "chunk", "piece", "turn", "part", "line"]
 #: Lines, and chunks, that one call of Python takes together.
 TOGETHER = 20_000
 
 
 def _segments(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """The lines in order, and where each (conv_id, chunk) starts and how long it is."""
+    """The lines in order, and where each (conv_id, chunk, piece) starts and how long it is."""
     frame = frame.sort_values(_ORDER, na_position="first", kind="stable").reset_index(drop=True)
-    conv, chunk = frame["conv_id"].astype("Int64"), frame["chunk"]
-    new = ((conv != conv.shift()).fillna(False) | (conv.isna() != conv.shift().isna()) | (chunk != chunk.shift())).to_numpy(bool)
+    conv, chunk, piece = frame["conv_id"].astype("Int64"), frame["chunk"], frame["piece"]
+    new = ((conv != conv.shift()).fillna(False) | (conv.isna() != conv.shift().isna()) | (chunk != chunk.shift()) | (piece != piece.shift())).to_numpy(bool)
     new[:1] = True
     starts = np.nonzero(new)[0]
     return frame, starts, np.diff(np.append(starts, len(frame)))
 
 
-def decode(lines: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
+def _pieces(lines: DataFrame, most: int) -> DataFrame:
+    """``lines`` with their ``piece`` of a chunk: of ``most`` lines in order, 0 in chunks that have no more."""
+    cell = ["conv_id", "chunk"]
+    long = lines.groupBy(*cell).agg(F.count("*").alias("c")).where(F.col("c") > most).select(*[F.col(c).alias(f"of_{c}") for c in cell])
+    if long.isEmpty():
+        return lines.withColumn("piece", F.lit(0).cast("long"))
+    rows = cut(lines.withColumn("row", F.monotonically_increasing_id()))
+    keys = rows.select(*cell, "turn", "part", "line", "row").join(long, F.col("conv_id").eqNullSafe(F.col("of_conv_id")) & (F.col("chunk") == F.col("of_chunk")), "left_semi")
+    at = numbered(keys, cell, ["turn", "part", "line", "row"]).select(F.col("row").alias("of_row"), F.floor((F.col(ROW) - 1) / most).cast("long").alias("piece"))
+    return rows.join(at, F.col("row") == F.col("of_row"), "left").select(*lines.columns, F.coalesce("piece", F.lit(0).cast("long")).alias("piece"))
+
+
+def decode(lines: DataFrame, model: Model, chunk: int = CHUNK, most: int = LINES) -> DataFrame:
     """``conv_id, turn, line, role, continued, n_lines, text``: the recovered turns of observed lines (see :func:`observe`)."""
     spark = lines.sparkSession
-    cut_up = lines.withColumn("chunk", F.floor(F.coalesce("turn", F.lit(-1)) / chunk).cast("long"))
+    cut_up = _pieces(lines.withColumn("chunk", F.floor(F.coalesce("turn", F.lit(-1)) / chunk).cast("long")), most)
     firsts = cut_up.groupBy("conv_id").agg(F.min("chunk").alias("chunk")).withColumn("first", F.lit(True))
     keyed = cut(
         cut_up.join(firsts.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), "first"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k")), "left").select(
-            *lines.columns, "chunk", F.coalesce("first", F.lit(False)).alias("first")
+            *lines.columns, "chunk", "piece", (F.coalesce("first", F.lit(False)) & (F.col("piece") == 0)).alias("first")
         )
     )
     shards = shards_for(keyed.count(), TOGETHER, spark)
-    by_chunk = F.pmod(F.xxhash64("conv_id", "chunk"), F.lit(shards)).alias("shard")
+    by_chunk = F.pmod(F.xxhash64("conv_id", "chunk", "piece"), F.lit(shards)).alias("shard")
     by_conv = F.pmod(F.xxhash64("conv_id"), F.lit(shards)).alias("shard")
     n = len(STATES)
 
@@ -222,7 +262,7 @@ def decode(lines: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
         frame, starts, lengths = _segments(frame)
         head = frame.iloc[starts]
         m = model.matrices(model.scores(frame[["mark", "length", "end"]].to_numpy()), starts, lengths, head["first"].to_numpy(bool))
-        return pd.DataFrame({"conv_id": head["conv_id"].astype("Int64").array, "chunk": head["chunk"].array, "m": list(m.reshape(len(m), -1))})
+        return pd.DataFrame({"conv_id": head["conv_id"].astype("Int64").array, "chunk": head["chunk"].array, "piece": head["piece"].array, "m": list(m.reshape(len(m), -1))})
 
     def chain(frame: pd.DataFrame) -> pd.DataFrame:
         frame, starts, lengths = _segments(frame.assign(turn=0, part=0, line=0))
@@ -242,7 +282,7 @@ def decode(lines: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
                 leave[i] = state
                 state = int(backs[i - low][state])
                 enter[i] = state
-        return pd.DataFrame({"conv_id": conv, "chunk": frame["chunk"], "enter": enter, "leave": leave})
+        return pd.DataFrame({"conv_id": conv, "chunk": frame["chunk"], "piece": frame["piece"], "enter": enter, "leave": leave})
 
     def between(frame: pd.DataFrame) -> pd.DataFrame:
         frame, starts, lengths = _segments(frame)
@@ -261,10 +301,10 @@ def decode(lines: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
             "continued": ~opens[turn_starts], "n_lines": ends - turn_starts, "text": joined,
         })
 
-    seen = ["conv_id", "chunk", "turn", "part", "line", "mark", "length", "end", "first"]
-    matrices = keyed.select(*seen, by_chunk).groupBy("shard").applyInPandas(best, "conv_id long, chunk long, m array<double>")
-    borders = cut(matrices.withColumn("shard", by_conv).groupBy("shard").applyInPandas(chain, "conv_id long, chunk long, enter int, leave int"))
-    known = keyed.join(borders.withColumnsRenamed({"conv_id": "c", "chunk": "k"}), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k"))).drop("c", "k")
+    seen = ["conv_id", "chunk", "piece", "turn", "part", "line", "mark", "length", "end", "first"]
+    matrices = keyed.select(*seen, by_chunk).groupBy("shard").applyInPandas(best, "conv_id long, chunk long, piece long, m array<double>")
+    borders = cut(matrices.withColumn("shard", by_conv).groupBy("shard").applyInPandas(chain, "conv_id long, chunk long, piece long, enter int, leave int"))
+    known = keyed.join(borders.withColumnsRenamed({"conv_id": "c", "chunk": "k", "piece": "p"}), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k")) & (F.col("piece") == F.col("p"))).drop("c", "k", "p")
     return known.withColumn("shard", by_chunk).groupBy("shard").applyInPandas(between, "conv_id long, turn long, line int, role string, continued boolean, n_lines int, text string")
 
 
@@ -277,4 +317,5 @@ def format_chats(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per recovered turn: ``conv_id, turn, line, role, continued, n_lines, rendered``."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     lines = cut(observe(transcript(rows)))
-    return rendered(decode(lines, train(rows, lines), chunk))
+    model = train(rows, lines)
+    return rendered(decode(lines, model.with_unmarked(unmarked_share(model, lines)), chunk))
