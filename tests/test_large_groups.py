@@ -109,3 +109,15 @@ def test_late_rows_equal_a_full_run(spark, tmp_path):
     whole = features.combined_features(features.hype_features(full[0]), features.reality_features(full[1]))
     assert rounded(refresh.feature_store(spark, store).table().select(*whole.columns)) == rounded(whole)
     assert rounded(refresh.late_bubble(spark, store)) == rounded(indices.bubble_metrics(indices.both_indices(whole)))
+
+
+def test_large_dimensions_and_repeated_keys_of_a_load(spark, tmp_path):
+    from tidemark.operators import dims
+
+    members = spark.createDataFrame([(n, k) for n, k in (("b", 1), ("a", 2), (None, 3), ("c", None), ("a", 1))], "name string, kind int")
+    few, many = (sorted(map(tuple, dims.member_keys(members, "id", "name", "kind", few=f).collect())) for f in (10, 2))
+    assert few == many and [r[:2] for r in few] == [(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, None)]
+    facts = spark.createDataFrame([(1, "a", 1.0, {"x": 1}), (1, "a", 2.0, {"x": 2}), (None, "a", 3.0, {}), (None, "a", 3.0, {}), (2, None, 4.0, None)], "time_id long, url string, v double, more map<string,int>")
+    for _ in range(2):
+        dims.append_facts(facts, f"{tmp_path}/facts", ["time_id", "url"], one_per_key=True)
+    assert sorted(r.v for r in spark.read.parquet(f"{tmp_path}/facts").collect()) == [2.0, 3.0, 4.0]

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import exists
+from ..session import exists, materialised
+from ..sources.staging import keep_latest
 
 
 def number(df: DataFrame, key: str, *order: str, start: int = 0) -> DataFrame:
@@ -27,6 +28,16 @@ def assign_keys(df: DataFrame, key: str, order: list[str], start: int = 0) -> Da
     return numbered.withColumn(key, (F.col("key_before") + F.col("key_row") + start).cast("long")).drop("key_part", "key_row", "key_before")
 
 
+#: Members of a dimension that are numbered in one task.
+FEW_MEMBERS = 200_000
+
+
+def member_keys(df: DataFrame, key: str, *order: str, few: int = FEW_MEMBERS) -> DataFrame:
+    """``df`` with :func:`number`'s keys; beyond ``few`` rows, by count, over ranges. ``df`` is computed once."""
+    rows = materialised(df)
+    return number(rows, key, *order) if rows.count() <= few else assign_keys(rows, key, list(order)).select(key, *rows.columns)
+
+
 def calendar(df: DataFrame, date: str = "date") -> DataFrame:
     """Epoch seconds, ISO week, month, year and whether the day is a weekday."""
     d = F.col(date)
@@ -44,7 +55,7 @@ def extend_dimension(candidates: DataFrame, existing: DataFrame, key: str, natur
     """The rows to append to a dimension: distinct, new by their natural key, numbered after the largest id."""
     new = unseen(candidates.distinct(), existing, natural)
     largest = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("largest_key"))
-    numbered = number(new, key, *order).crossJoin(F.broadcast(largest))  # one row
+    numbered = member_keys(new, key, *order).crossJoin(F.broadcast(largest))  # one row
     return numbered.withColumn(key, F.col(key) + F.col("largest_key")).drop("largest_key")
 
 
@@ -65,9 +76,15 @@ def fresh_facts(new: DataFrame, loaded: DataFrame, keys: list[str]) -> DataFrame
     return new.join(known, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in keys]), "left_anti")
 
 
-def append_facts(new: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends to the table at ``path``, if need be a new one, what it does not hold by ``keys``."""
-    spark = new.sparkSession
+def append_facts(new: DataFrame, path: str, keys: list[str], one_per_key: bool = False) -> None:
+    """Appends to the table at ``path``, if need be a new one, what it does not hold by ``keys``.
+
+    Rows that share a key within ``new`` are all loaded, as several filings of a day are; with ``one_per_key`` the last of
+    them by the other columns.
+    """
+    spark, rest = new.sparkSession, [c for c, kind in new.dtypes if c not in keys and "map<" not in kind]
+    if one_per_key:
+        new = keep_latest(new, keys, rest) if rest else new.dropDuplicates(keys)
     if exists(spark, path):
         new = fresh_facts(new, spark.read.parquet(path), keys)
     new.write.mode("append").parquet(path)

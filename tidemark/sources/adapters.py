@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dims import calendar, number
+from ..operators.dims import calendar, member_keys
 from ..session import materialised, spread, table
 from .schemas import SOURCES
 
@@ -86,7 +86,7 @@ def daily_signals(base: DataFrame) -> DataFrame:
 
 
 def dim_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar(number(table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date")).where("date is not null").distinct(), "time_id", "date"))
+    return calendar(member_keys(table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date")).where("date is not null").distinct(), "time_id", "date"))
 
 
 def dim_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ def dim_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(named(table(spark, sf_dir, "supplier"), F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string")), "ai_model", "general"))
         .unionByName(named(part, F.concat(F.lit("size-"), (F.col("p_size") % 5).cast("string")), "research", "academic"))
     )
-    return number(all_kinds.where("name is not null").distinct(), "entity_id", "name", "entity_type", "ticker", "industry")
+    return member_keys(all_kinds.where("name is not null").distinct(), "entity_id", "name", "entity_type", "ticker", "industry")
 
 
 def dim_source(spark: SparkSession) -> DataFrame:
