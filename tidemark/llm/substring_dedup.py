@@ -34,9 +34,9 @@ from .near_dedup import mix
 
 K, M = 13, 3
 #: Windows of a bucket, on average.
-BUCKET = 200_000
+BUCKET = 150_000
 #: Words that are cut together, and the most windows of a super-k-mer and super-k-mers of a packed string.
-CHUNK, LONGEST, PACKED = 600_000, 256, 2_000
+CHUNK, LONGEST, PACKED = 400_000, 256, 2_000
 #: Characters of text for a window, to guess the number of buckets.
 CHARS = 6
 
@@ -55,24 +55,38 @@ def _least(g: np.ndarray, width: int) -> np.ndarray:
 
 
 class Line:
-    """Words joined by single spaces: where each begins and ends, and hashes of runs of them."""
+    """Words joined by single spaces: where each begins and ends, and hashes of runs of them.
+
+    Sums over some bytes at a time give a code for each word, sums over the codes a hash for each run.
+    """
 
     def __init__(self, text: bytes):
         self.text, points = text, np.frombuffer(text, np.uint8)
         spaces = np.nonzero(points == 32)[0]
         self.begin, self.end = np.concatenate(([0], spaces + 1)), np.append(spaces, len(points))
+        codes, first = np.empty(len(self.begin), np.uint64), 0
         with np.errstate(over="ignore"):
-            base, self.back = powers(len(points))
-            self.sums = np.zeros(len(points) + 1, np.uint64)
-            np.cumsum(_VALUES[points] * base, out=self.sums[1:])
+            while first < len(codes):
+                low = self.begin[first]
+                last = max(first + 1, int(np.searchsorted(self.end, low + BYTES, "right")))
+                own, a, b = points[low : self.end[last - 1]], self.begin[first:last] - low, self.end[first:last] - low
+                base, back = powers(len(own))
+                sums = np.zeros(len(own) + 1, np.uint64)
+                np.cumsum(_VALUES[own] * base, out=sums[1:])
+                codes[first:last] = mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
+                first = last
+            base, self.back = powers(len(codes))
+            self.sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum(codes * base, out=self.sums[1:])
 
     def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Of the runs from the words ``first`` to the words ``last``."""
-        a, b = self.begin[first], self.end[last]
         with np.errstate(over="ignore"):
-            return mix((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(np.uint64))
+            return mix((self.sums[last + 1] - self.sums[first]) * self.back[first] + (last - first).astype(np.uint64))
 
 
+#: Bytes that are summed together.
+BYTES = 300_000
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
