@@ -1,6 +1,9 @@
+import os
 import re
 
-from tidemark.llm import mixing, pii
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, mixing, pii
 
 DOCS = "doc_id long, text string, source string, pii string, size long, row long"
 
@@ -160,3 +163,30 @@ def test_mixed_blocks_are_what_mix_counts(spark):
     assert sorted(map(tuple, sides)) == sorted((r.shard, r.place, r.source, r.block, r.words) for r in out)
     source = {i: s for i, _, s in rows}
     assert all(source[int(w[1:].split("w")[0])] == r.source for r in out for w in r.text.split())
+
+
+def test_written_mix_holds_the_blocks_and_gives_the_totals(spark, tmp_path):
+    """Long texts over many blocks, words of several scripts, no words at all: the folder holds the blocks, whole shards in order."""
+    rows = [(i, "\t ".join(f"ä{i}x{k}" for k in range(1 + i * 7 % 90)), f"s{i % 3}") for i in range(60)] + [(500, None, "s1"), (501, "", None), (502, "long " * 5_000, "s0"), (502, "long " * 5_000, "s0")]
+    d, folder = docs(spark, rows), str(tmp_path / "mix")
+    totals = mixing.written_mix(d, folder, block=16, part=50).collect()
+    assert sorted(map(str, totals)) == sorted(map(str, mixing.mix(d, block=16, part=50).collect()))
+    held, blocks = spark.read.parquet(folder), mixing.mixed_blocks(d, block=16, part=50)
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, blocks.collect()))
+    assert held.groupBy().sum("words").first()[0] == sum(r.taken for r in totals) == sum(len(r.text.split()) for r in held.collect())
+    assert held.groupBy("shard").agg(F.count_distinct(F.input_file_name()).alias("n")).where("n > 1").isEmpty()
+    mixing.written_mix(docs(spark, []), str(tmp_path / "empty"))
+    assert spark.read.parquet(str(tmp_path / "empty")).isEmpty()
+
+
+def test_scratch_removes_what_is_written_inside(spark):
+    d = docs(spark, [(1, "a b", "s")])
+    outside = common.cut(d)
+    with common.scratch(spark):
+        inside = common.cut(d)
+        gone = inside.inputFiles()[0].split("/")[-2]
+        assert inside.count() == 1
+    assert outside.count() == 1
+    store = outside.inputFiles()[0].split("/")[-2]
+    kept = os.listdir(common.shared_dir(spark).removeprefix("file:"))
+    assert store in kept and gone not in kept

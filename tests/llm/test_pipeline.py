@@ -6,7 +6,7 @@ from tidemark.llm import exact_dedup, near_dedup
 import corpus_pipeline
 
 
-def test_stages(spark, sf_dir):
+def test_stages(spark, sf_dir, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "MinHash near-dedup", "benchmark decontamination", "mixing sources to target weights"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
@@ -25,7 +25,11 @@ def test_stages(spark, sf_dir):
     assert set(rows(third)) - set(rows(fourth)) == {d for d, _ in leaks_by_hand(list(rows(third).items()), bench)} and fourth.columns == docs.columns
     last = stage["mixing sources to target weights"](spark, fourth, sf_dir).collect()
     assert {r.doc_id for r in last} == set(rows(fourth)) and all(0 <= r.taken <= 2 * r.size for r in last)
+    spark.conf.set(corpus_pipeline.MIX_DIR, str(tmp_path / "blocks"))
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, last))
+    spark.conf.unset(corpus_pipeline.MIX_DIR)
+    blocks = spark.read.parquet(str(tmp_path / "blocks")).collect()
+    assert sum(r.words for r in blocks) == sum(r.taken for r in last) == sum(len(r.text.split()) for r in blocks)
 
 
 def test_empty_documents(spark, sf_dir):

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +20,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 FEW_ROWS = 200_000
 
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +50,24 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(folder)
     out = df.sparkSession.read.schema(df.schema).parquet(folder)
     _written[out] = folder
+    if (scope := _scope.get()) is not None:
+        scope.append(folder)
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end all that :func:`cut` wrote inside, also after an error; results have to be written by then."""
+    folders: list[str] = []
+    token = _scope.set(folders)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for folder in folders:
+            remove(spark, folder)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove what :func:`cut` wrote for these tables, once nothing reads them any more."""
     for df in tables:

@@ -206,21 +206,40 @@ def mixed(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "
     return pieces.join(rows.select("row", "doc_id", "source"), "row").select("shard", "place", "source", "block", "low", "doc_id", "skip", "words")
 
 
-def mixed_blocks(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "doc_id") -> DataFrame:
-    """The token blocks themselves: (shard, place, source, block, words, text), the words joined by single spaces."""
-    kept = cut(docs.select(F.col(id_col).alias("doc_id"), "source", F.col("text")))
-    rows, pieces, starts = _mixture(kept, block, part, "doc_id")
-    # Rows are numbered alike as both read the same written partitions. Each text is cut at its blocks' borders once.
-    texts = kept.select(F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0)).alias("all"))
+def _texts(docs: DataFrame, id_col: str) -> DataFrame:
+    """The documents, written: rows are numbered alike wherever these same files are read."""
+    return cut(docs.select(F.col(id_col).alias("doc_id"), "source", F.col("text")))
+
+
+def _blocks(kept: DataFrame, rows: DataFrame, pieces: DataFrame, starts: DataFrame, block: int) -> DataFrame:
+    """The blocks of :func:`mixed_blocks`; a shard is whole in a partition, in the order of its places.
+
+    Each text meets its place in the stream once, and is cut at its blocks' borders there; what is shuffled after that
+    are pieces of at most a block.
+    """
+    met = kept.select(F.monotonically_increasing_id().alias("row"), text_of().alias("said")).join(starts, "row").withColumn("all", F.regexp_extract_all("said", F.lit(WORD), F.lit(0)))
     first, last = F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long")
     skip = lambda b: F.greatest(b * block - F.col("start"), F.lit(0))
     stop = lambda b: F.least(F.col("size"), (b + 1) * block - F.col("start"))
-    piece = lambda b: F.struct(b.alias("block"), F.slice("all", (skip(b) + 1).cast("int"), (stop(b) - skip(b)).cast("int")).alias("held"))
-    cuts = texts.join(starts, "row").select("row", F.inline(F.transform(F.sequence(first, last), piece)))
+    piece = lambda b: F.struct(b.alias("block"), F.array_join(F.slice("all", (skip(b) + 1).cast("int"), (stop(b) - skip(b)).cast("int")), " ").alias("held"))
+    cuts = met.select("row", F.inline(F.transform(F.sequence(first, last), piece)))
     said = pieces.join(rows.select("row", "source"), "row").join(cuts, ["row", "block"])
-    one = F.struct("low", F.array_join(F.slice("held", F.lit(1), F.col("words").cast("int")), " ").alias("said"))
-    each = said.withColumn("piece", one).groupBy("shard", "place", "source", "block").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list("piece")).alias("pieces"))
-    return each.select("shard", "place", "source", "block", "words", F.array_join("pieces.said", " ").alias("text"))
+    one = F.struct("low", F.expr("substring_index(held, ' ', cast(words AS int))").alias("said"))  # words hold no spaces
+    dealt = said.select("shard", "place", "source", "block", "words", one.alias("piece")).repartition("shard")
+    each = dealt.groupBy("shard", "place", "source", "block").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list("piece")).alias("pieces"))
+    return each.select("shard", "place", "source", "block", "words", F.array_join("pieces.said", " ").alias("text")).sortWithinPartitions("shard", "place")
+
+
+def mixed_blocks(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "doc_id") -> DataFrame:
+    """The token blocks themselves: (shard, place, source, block, words, text), the words joined by single spaces."""
+    kept = _texts(docs, id_col)
+    return _blocks(kept, *_mixture(kept, block, part, "doc_id"), block)
+
+
+def _totals(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.count("*").alias("pieces"), F.min("shard").alias("first_shard"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", count("taken"), count("pieces"), "first_shard")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "doc_id") -> DataFrame:
@@ -229,9 +248,16 @@ def mix(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "do
     ``pieces`` counts the slots that hold words of the document, ``first_shard`` is the first output shard with one.
     """
     rows, pieces, _ = _mixture(docs, block, part, id_col)
-    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.count("*").alias("pieces"), F.min("shard").alias("first_shard"))
-    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", count("taken"), count("pieces"), "first_shard")
+    return _totals(rows, pieces)
+
+
+def written_mix(docs: DataFrame, folder: str, block: int = BLOCK, part: int = PART, id_col: str = "doc_id") -> DataFrame:
+    """Writes the blocks of :func:`mixed_blocks` to a new folder, and returns the rows of :func:`mix` for the same pieces."""
+    kept = _texts(docs, id_col)
+    rows, pieces, starts = _mixture(kept, block, part, "doc_id")
+    pieces = cut(pieces)
+    _blocks(kept, rows, pieces, starts, block).write.option("compression", "zstd").parquet(folder)
+    return _totals(rows, pieces)
 
 
 def brute_targets(sizes: list[tuple[str | None, int]]) -> dict:
