@@ -13,7 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
-from tidemark.llm.common import remove, shared_dir, table
+from tidemark.llm.common import remove, scratch, shared_dir, table
+
+#: The setting that names a new folder for the mix's blocks; unset, it is ``mix-<id>`` in the shared folder.
+MIX_DIR = "spark.tidemark.mix.dir"
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +45,11 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How much of each remaining document the mix takes: ``doc_id, size, source_size, target, taken, pieces, first_shard``.
 
-    One row per row of ``docs``; texts without words have size 0 and are not taken; a null source is one of its own.
+    One row per row of ``docs``; texts without words have size 0 and are not taken; a null source is one of its own. The mix
+    itself, (shard, place, source, block, words, text), is written to the folder that ``MIX_DIR`` names.
     """
-    return mixing.mix(docs)
+    folder = spark.conf.get(MIX_DIR, None) or f"{shared_dir(spark)}/mix-{uuid.uuid4().hex}"
+    return mixing.written_mix(docs, folder)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -63,7 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over the table ``documents``."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with scratch(spark):  # what a stage has written on its way goes with it
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         if k:
             remove(spark, f"{folder}/{k - 1}")  # nothing reads it any more
         docs = spark.read.parquet(f"{folder}/{k}")
