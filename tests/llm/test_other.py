@@ -156,14 +156,6 @@ def test_html_by_the_template_alone(spark, monkeypatch):
     assert {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()} == got
 
 
-def test_html_of_hosts_with_few_pages(spark):
-    """Two pages of different content show what is constant; one page, and copies of it, show nothing but itself."""
-    rows = [(n, f"http://two.example/{n}", PLAIN_PAGE.format(n=n, m="abc"[n] * 3)) for n in range(2)] + [(9, "http://one.example/9", PLAIN_PAGE.format(n=9, m="zzz"))] * 2
-    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
-    assert all("Rate this text" not in got[n] and f"Inner part {n} with words" in got[n] and "Contact" not in got[n] for n in range(2))
-    assert "Rate this text" in got[9] and "Inner part 9 with words" in got[9]
-
-
 def test_html_layouts_of_one_host(spark):
     """Pages of two layouts, and an error page, each have the main slot of their own classes."""
     other = '<html><body><div class="z1">Short {n}</div><section class="z2"><h1>Other {n}</h1><p>Long text of the other layout, page {n}, with many words in it</p></section></body></html>'

@@ -18,8 +18,8 @@ lies around the main slot, outside of other slots, its headline stays, and texts
 
 Words of classes and ids choose no text: they only keep slots from being the main one, and, inside of it, rule out slots
 of the template and elements with a telling class as a whole. An ``article`` or ``main`` counts ``MAIN_WEIGHT`` times in the
-choice. A host with one page, or with copies of one page, has a template too, its tokens that occur once; it shows no
-constant texts and no layouts, so there mass, links, elements and marks decide alone.
+choice. A host with one or two pages, or with copies of them, has a template too, of the tokens that occur once on each; it
+shows no constant texts and no layouts, so there mass, links, elements and marks decide alone.
 
 Edge cases: null or empty html gives the empty text and is no page of a template, as are pages without elements; a null
 url is a host of its own; a page without tags is one block; truncated pages give what they hold; repeated rows give
@@ -56,8 +56,8 @@ MAIN_WEIGHT = 3
 BESIDE = 0.25
 #: From this share of linked text on, a slot is a menu.
 LINKED = 0.6
-#: Pages of different content that show that a text is constant, and pages that make a layout: two are the least that can be compared.
-SAME_PAGES = 2
+#: Pages of different content that show that a text is constant, and pages that make a layout.
+SAME_PAGES = 3
 
 _TOKENS = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)", re.S)
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
