@@ -180,8 +180,8 @@ def _pieces(starts: DataFrame, block: int) -> DataFrame:
     return spread.select("row", "rank", "block", low.alias("low"), (high - low).alias("words"), skip.alias("skip"))
 
 
-def _mixture(docs: DataFrame, block: int, part: int, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents with size and source, :func:`mixed`'s rows with ``row`` in place of the document's id, and :func:`_starts`."""
+def _mixture(docs: DataFrame, block: int, part: int, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """The documents with size and source, and :func:`mixed`'s rows with ``row`` in place of the document's id."""
     measured = _measured(docs, id_col)
     sources = cut(targets(measured.groupBy("source").agg(F.sum("size").alias("source_size"))))
     told = sources.select(F.col("source").alias("of_source"), "rank", "source_size", "target")
@@ -191,9 +191,8 @@ def _mixture(docs: DataFrame, block: int, part: int, id_col: str) -> tuple[DataF
     plan = planned(sources, block)
     dealt = slots(plan, cut(draw(plan)), block)
     words = F.least(F.col("words"), F.col("take") - F.col("low"))
-    starts = _starts(rows, part)
-    met = _pieces(starts, block).join(dealt.hint("merge"), ["rank", "block"]).withColumn("words", words).where("words > 0")
-    return rows, met.select("shard", "place", "rank", "block", "low", "row", "skip", "words"), starts
+    met = _pieces(_starts(rows, part), block).join(dealt.hint("merge"), ["rank", "block"]).withColumn("words", words).where("words > 0")
+    return rows, met.select("shard", "place", "rank", "block", "low", "row", "skip", "words")
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "doc_id") -> DataFrame:
@@ -202,7 +201,7 @@ def mixed(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "
     Each slot of a shard, told by ``place``, holds a block of ``source``; the block is made of pieces in the order of
     ``low``, each of ``words`` words of a document after its first ``skip``.
     """
-    rows, pieces, _ = _mixture(docs, block, part, id_col)
+    rows, pieces = _mixture(docs, block, part, id_col)
     return pieces.join(rows.select("row", "doc_id", "source"), "row").select("shard", "place", "source", "block", "low", "doc_id", "skip", "words")
 
 
@@ -211,29 +210,24 @@ def _texts(docs: DataFrame, id_col: str) -> DataFrame:
     return cut(docs.select(F.col(id_col).alias("doc_id"), "source", F.col("text")))
 
 
-def _blocks(kept: DataFrame, rows: DataFrame, pieces: DataFrame, starts: DataFrame, block: int) -> DataFrame:
+def _blocks(kept: DataFrame, rows: DataFrame, pieces: DataFrame) -> DataFrame:
     """The blocks of :func:`mixed_blocks`; a shard is whole in a partition, in the order of its places.
 
-    Each text meets its place in the stream once, and is cut at its blocks' borders there; what is shuffled after that
-    are pieces of at most a block.
+    Each text meets the list of its own pieces, which grows with the text alone, and is cut there, so whole texts are
+    shuffled once and what is taken of them once more, to the shards.
     """
-    met = kept.select(F.monotonically_increasing_id().alias("row"), text_of().alias("said")).join(starts, "row").withColumn("all", F.regexp_extract_all("said", F.lit(WORD), F.lit(0)))
-    first, last = F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long")
-    skip = lambda b: F.greatest(b * block - F.col("start"), F.lit(0))
-    stop = lambda b: F.least(F.col("size"), (b + 1) * block - F.col("start"))
-    piece = lambda b: F.struct(b.alias("block"), F.array_join(F.slice("all", (skip(b) + 1).cast("int"), (stop(b) - skip(b)).cast("int")), " ").alias("held"))
-    cuts = met.select("row", F.inline(F.transform(F.sequence(first, last), piece)))
-    said = pieces.join(rows.select("row", "source"), "row").join(cuts, ["row", "block"])
-    one = F.struct("low", F.expr("substring_index(held, ' ', cast(words AS int))").alias("said"))  # words hold no spaces
-    dealt = said.select("shard", "place", "source", "block", "words", one.alias("piece")).repartition("shard")
-    each = dealt.groupBy("shard", "place", "source", "block").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list("piece")).alias("pieces"))
+    taken = pieces.join(rows.select("row", "source"), "row").groupBy("row").agg(F.collect_list(F.struct("shard", "place", "source", "block", "low", "skip", "words")).alias("taken"))
+    met = kept.select(F.monotonically_increasing_id().alias("row"), text_of().alias("said")).join(taken, "row").withColumn("all", F.regexp_extract_all("said", F.lit(WORD), F.lit(0)))
+    said = lambda x: F.array_join(F.slice("all", (x.skip + 1).cast("int"), x.words.cast("int")), " ")
+    cuts = met.select(F.inline(F.transform("taken", lambda x: F.struct(x.shard.alias("shard"), x.place.alias("place"), x.source.alias("source"), x.block.alias("block"), x.words.alias("words"), F.struct(x.low.alias("low"), said(x).alias("said")).alias("piece")))))
+    each = cuts.repartition("shard").groupBy("shard", "place", "source", "block").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list("piece")).alias("pieces"))
     return each.select("shard", "place", "source", "block", "words", F.array_join("pieces.said", " ").alias("text")).sortWithinPartitions("shard", "place")
 
 
 def mixed_blocks(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "doc_id") -> DataFrame:
     """The token blocks themselves: (shard, place, source, block, words, text), the words joined by single spaces."""
     kept = _texts(docs, id_col)
-    return _blocks(kept, *_mixture(kept, block, part, "doc_id"), block)
+    return _blocks(kept, *_mixture(kept, block, part, "doc_id"))
 
 
 def _totals(rows: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -247,16 +241,16 @@ def mix(docs: DataFrame, block: int = BLOCK, part: int = PART, id_col: str = "do
 
     ``pieces`` counts the slots that hold words of the document, ``first_shard`` is the first output shard with one.
     """
-    rows, pieces, _ = _mixture(docs, block, part, id_col)
+    rows, pieces = _mixture(docs, block, part, id_col)
     return _totals(rows, pieces)
 
 
 def written_mix(docs: DataFrame, folder: str, block: int = BLOCK, part: int = PART, id_col: str = "doc_id") -> DataFrame:
     """Writes the blocks of :func:`mixed_blocks` to a new folder, and returns the rows of :func:`mix` for the same pieces."""
     kept = _texts(docs, id_col)
-    rows, pieces, starts = _mixture(kept, block, part, "doc_id")
+    rows, pieces = _mixture(kept, block, part, "doc_id")
     pieces = cut(pieces)
-    _blocks(kept, rows, pieces, starts, block).write.option("compression", "zstd").parquet(folder)
+    _blocks(kept, rows, pieces).write.option("compression", "zstd").parquet(folder)
     return _totals(rows, pieces)
 
 
