@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
 from tidemark.llm.common import remove, scratch, shared_dir, table
 
-#: The setting that names a new folder for the mix's blocks; unset, it is ``mix-<id>`` in the shared folder.
+#: The setting that names a new folder for the mix's blocks; unset, the last stage gives their totals only.
 MIX_DIR = "spark.tidemark.mix.dir"
 
 
@@ -45,11 +45,11 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How much of each remaining document the mix takes: ``doc_id, size, source_size, target, taken, pieces, first_shard``.
 
-    One row per row of ``docs``; texts without words have size 0 and are not taken; a null source is one of its own. The mix
-    itself, (shard, place, source, block, words, text), is written to the folder that ``MIX_DIR`` names.
+    One row per row of ``docs``; texts without words have size 0 and are not taken; a null source is one of its own. Where
+    ``MIX_DIR`` names a folder, the mix itself, (shard, place, source, block, words, text), is written there.
     """
-    folder = spark.conf.get(MIX_DIR, None) or f"{shared_dir(spark)}/mix-{uuid.uuid4().hex}"
-    return mixing.written_mix(docs, folder)
+    folder = spark.conf.get(MIX_DIR, None)
+    return mixing.written_mix(docs, folder) if folder else mixing.mix(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
