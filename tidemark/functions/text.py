@@ -108,6 +108,24 @@ def lexicon_sentiment(df: DataFrame, key: str, text: str, lexicon: DataFrame) ->
     return df.select(key).join(told, key, "left").select(key, *[zero(c) for c in ("compound", "pos", "neg", "neu")])
 
 
+def _tokens(text: Column) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z]+")
+
+
+def compound_of(text: Column, valences: dict[str, int]) -> Column:
+    """The compound of :func:`lexicon_sentiment`, never null, for a lexicon that fits an expression: texts stay where they are."""
+    value = F.create_map(*[F.lit(x) for term, v in valences.items() for x in (term, F.lit(v).cast("long"))])
+    met = F.filter(_tokens(text), lambda t: t.isin([k for k, v in valences.items() if v]))
+    s = F.aggregate(met, F.lit(0).cast("long"), lambda total, t: total + F.element_at(value, t)).cast("double")
+    return F.coalesce(s / F.sqrt(s * s + 15), F.lit(0.0))
+
+
+def share_of(text: Column, terms: list[str]) -> Column:
+    """The share of a text's tokens that are ``terms``: pos of :func:`lexicon_sentiment` for those of a positive valence; never null."""
+    tokens = F.filter(_tokens(text), lambda t: t != "")
+    return F.coalesce(F.try_divide(F.size(F.filter(tokens, lambda t: t.isin(terms))), F.size(tokens)), F.lit(0.0))
+
+
 def news_features(articles: DataFrame, terms: list[str] = NEWS_TERMS) -> DataFrame:
     """Articles (title, description, source, sentiment, pos, neg) with content and a mention, and their features."""
     clean = articles.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in ("title", "description")}).where("title <> '' or description <> ''")

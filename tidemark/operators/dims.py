@@ -38,6 +38,12 @@ def member_keys(df: DataFrame, key: str, *order: str, few: int = FEW_MEMBERS) ->
     return number(rows, key, *order) if rows.count() <= few else assign_keys(rows, key, list(order)).select(key, *rows.columns)
 
 
+def counted(df: DataFrame, few: int = FEW_MEMBERS) -> DataFrame:
+    """``df``, computed once, to be joined: sent to all tasks up to ``few`` rows, by count; beyond, the same join is shuffled."""
+    rows = materialised(df)
+    return F.broadcast(rows) if rows.count() <= few else rows
+
+
 def calendar(df: DataFrame, date: str = "date") -> DataFrame:
     """Epoch seconds, ISO week, month, year and whether the day is a weekday."""
     d = F.col(date)
@@ -62,18 +68,37 @@ def extend_dimension(candidates: DataFrame, existing: DataFrame, key: str, natur
 def lookup(rows: DataFrame, on: str, known: DataFrame, by: str, key: str) -> DataFrame:
     """``rows`` with ``key`` of the row of ``known`` whose ``by`` equals their ``on``, the smallest of several.
 
-    The job fails on a value that is not known, and on a null.
+    The job fails on a value that is not known, and on a null. Of ``known``, up to a count, no shuffle of ``rows`` is needed.
     """
-    one = known.groupBy(F.col(by).alias("lookup_value")).agg(F.min(key).alias("lookup_key"))
+    one = counted(known.groupBy(F.col(by).alias("lookup_value")).agg(F.min(key).alias("lookup_key")))
     told = F.concat(F.lit(f"no {key} for {on}: "), F.coalesce(F.col(on).cast("string"), F.lit("null")))
     found = F.coalesce("lookup_key", F.raise_error(told).cast(known.schema[key].dataType))
     return rows.join(one, F.col(on) == F.col("lookup_value"), "left").withColumn(key, found).drop("lookup_value", "lookup_key")
 
 
-def fresh_facts(new: DataFrame, loaded: DataFrame, keys: list[str]) -> DataFrame:
-    """Facts whose keys are not loaded yet. Nulls in keys are equal, so that a second load adds nothing."""
-    known = loaded.select(*[F.col(k).alias(f"known_{k}") for k in keys]).distinct()
-    return new.join(known, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in keys]), "left_anti")
+def _matched(rows: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``rows`` that are in ``other`` by ``keys`` (left_semi) or are not (left_anti); nulls are equal."""
+    there = other.select(*[F.col(k).alias(f"known_{k}") for k in keys])
+    return rows.join(there, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in keys]), how)
+
+
+def fresh_facts(new: DataFrame, loaded: DataFrame, keys: list[str], few: int = FEW_MEMBERS) -> DataFrame:
+    """Facts whose keys are not loaded yet. Nulls in keys are equal, so that a second load adds nothing.
+
+    Only keys are compared, so the other columns of ``new`` stay where they are: facts of a first key (the day) that nothing
+    is loaded of are taken as they come, of the other days those of the keys found. These are sent to all tasks up to ``few``,
+    by count; beyond, the facts of those days alone are shuffled, without a sort.
+    """
+    fresh = materialised(_matched(new.select(*keys).distinct(), loaded.select(*keys).distinct(), keys, "left_anti"))
+    day = keys[:1]
+    seen = counted(loaded.select(*day).distinct(), few)
+    late = materialised(_matched(fresh, seen, day, "left_semi"))
+    n_fresh, n_late = fresh.count(), late.count()
+    on_time = _matched(new, seen, day, "left_anti")
+    if n_late == 0:
+        return on_time if n_fresh else new.limit(0)
+    of_days = _matched(new, late.hint("broadcast" if n_late <= few else "shuffle_hash"), keys, "left_semi")
+    return on_time.unionByName(of_days) if n_fresh > n_late else of_days
 
 
 def append_facts(new: DataFrame, path: str, keys: list[str], one_per_key: bool = False) -> None:
@@ -94,8 +119,8 @@ def star_facts(rows: DataFrame, when: Column, entity: Column, times: DataFrame,
     """``rows`` with time_id and entity_id. By default an entity is met by name alone and may fan out over its types."""
     keyed = rows.withColumn("fact_date", when).withColumn("fact_entity", entity).where("fact_date is not null and fact_entity is not null")
     known = entities if entity_type is None else entities.where(F.col("entity_type") == entity_type)
-    dated = keyed.join(times.select(F.col("date").alias("fact_date"), "time_id"), "fact_date")
-    return dated.join(known.select(F.col(by).alias("fact_entity"), "entity_id"), "fact_entity").drop("fact_date", "fact_entity")
+    dated = keyed.join(counted(times.select(F.col("date").alias("fact_date"), "time_id")), "fact_date")
+    return dated.join(counted(known.select(F.col(by).alias("fact_entity"), "entity_id")), "fact_entity").drop("fact_date", "fact_entity")
 
 
 def melt_metrics(rows: DataFrame, metrics: dict[str, tuple[str, str]], provenance: str) -> DataFrame:
