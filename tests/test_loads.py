@@ -53,3 +53,30 @@ def test_keys_are_looked_up_without_a_shuffle_of_the_rows(spark):
     assert found.count() == 40 and not shuffled(found, "raw_text")
     facts = dims.star_facts(rows, F.col("d"), F.col("n"), times, known)
     assert facts.count() == 40 and not shuffled(facts, "raw_text")
+
+
+def test_signals_without_a_value_are_left_out_without_a_lambda(spark):
+    from tidemark.sources import adapters as ad
+
+    base = spark.createDataFrame(
+        [("2024-01-01", "b", "t", 3, 10.0, 4.0, 2), ("2024-01-01", "b", "t", 3, 10.0, 0.0, None), ("2024-01-02", "b", None, None, None, None, 5)],
+        "date string, p_brand string, p_type string, s_nationkey int, l_extendedprice double, l_quantity double, l_linenumber int",
+    )
+    got = ad.reality_signals(base)
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+    values = sorted((r.date[-1], r.entity_type, r.name or "", r.metric_name, r.metric_value) for r in got.collect())
+    first = [("1", "ai_model", "nation-3", "model_downloads_delta", v) for v in (-25.0, -21.0)] + [("1", "company", "b", "stock_price", 3.0)] + [("1", "company", "b", "trading_volume", v) for v in (0.0, 4.0)]
+    assert values == [*first, ("1", "software", "t", "github_forks_delta", -1.0), *[("1", "software", "t", "github_stars_delta", v) for v in (-25.0, -21.0)], ("2", "software", "", "github_forks_delta", 2.0)]
+
+
+def test_facts_are_counted_once_before_they_are_keyed(spark, sf_dir):
+    from tidemark.queries import warehouse
+    from tidemark.sources import adapters as ad
+
+    keys = ["time_id", "entity_id", "metric_name"]
+    rows = ad.reality_facts(spark, sf_dir)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in re.findall(r"\bExchange hashpartitioning\([^)]*", plan) if "name#" in x or "date#" in x]
+    counted = sorted(map(tuple, ad.reality_counts(spark, sf_dir).select(*keys, "n").collect()))
+    assert counted == sorted(map(tuple, rows.groupBy(*keys).count().collect()))
+    assert "l_shipdate" not in warehouse.anti_new_facts(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()

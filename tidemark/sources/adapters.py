@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dims import calendar, member_keys
+from ..operators.dims import calendar, counted, member_keys
 from ..session import materialised, spread, table
 from .schemas import SOURCES
 
@@ -30,8 +30,7 @@ def _signals(base: DataFrame, rows: list[tuple[str, Column, str, str, str, Colum
         F.struct(F.lit(t).alias("entity_type"), n.alias("name"), F.lit(s).alias("source_name"), F.lit(k).alias("kind"), F.lit(m).alias("metric_name"), v.cast("double").alias("metric_value"))
         for t, n, s, k, m, v in rows
     ]
-    each = base.select("date", F.explode(F.filter(F.array(*structs), lambda x: x["metric_value"].isNotNull())).alias("s"))
-    return each.select("date", "s.*")
+    return base.select("date", F.inline(F.array(*structs))).where("metric_value is not null")
 
 
 def hype_signals(base: DataFrame) -> DataFrame:
@@ -112,7 +111,7 @@ def star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _keyed(signals: DataFrame, dims: tuple[DataFrame, DataFrame]) -> DataFrame:
     times, entities = dims
-    return signals.join(times.select("time_id", "date"), "date").join(entities.select("entity_id", "name", "entity_type"), ["name", "entity_type"])
+    return signals.join(counted(times.select("time_id", "date")), "date").join(counted(entities.select("entity_id", "name", "entity_type")), ["name", "entity_type"])
 
 
 def hype_facts(spark: SparkSession, sf_dir: str, dims: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -126,6 +125,12 @@ def reality_facts(spark: SparkSession, sf_dir: str, dims: tuple[DataFrame, DataF
     return keyed.select("time_id", "entity_id", "metric_name", "metric_value", F.col("kind").alias("metric_unit"), F.col("source_name").alias("provenance"))
 
 
+def reality_counts(spark: SparkSession, sf_dir: str, dims: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(time_id, entity_id, metric_name, n): how many of :func:`reality_facts` share these keys; signals are counted before they are keyed."""
+    per_day = reality_signals(sales(spark, sf_dir)).groupBy("date", "name", "entity_type", "metric_name").agg(F.count("*").alias("n"))
+    return _keyed(per_day, dims or star(spark, sf_dir)).groupBy("time_id", "entity_id", "metric_name").agg(F.sum("n").alias("n"))
+
+
 def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity_id, date, hype, reality): per user and active day the views and clicks, and the purchases."""
     events = table(spark, sf_dir, "events").withColumn("date", F.to_date("ts"))
