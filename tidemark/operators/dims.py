@@ -112,7 +112,7 @@ def append_facts(new: DataFrame, path: str, keys: list[str], one_per_key: bool =
         new = keep_latest(new, keys, rest) if rest else new.dropDuplicates(keys)
     if exists(spark, path):
         new = fresh_facts(new, spark.read.parquet(path), keys)
-    new.write.mode("append").parquet(path)
+    new.write.mode("append").option("compression", "zstd").parquet(path)  # facts may hold texts
 
 
 def star_facts(rows: DataFrame, when: Column, entity: Column, times: DataFrame, entities: DataFrame, by: str = "name", entity_type: str | None = None) -> DataFrame:

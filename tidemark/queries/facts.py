@@ -60,7 +60,7 @@ def hype_load(spark: SparkSession, sf: str) -> DataFrame:
     facts = dm.lookup(keyed, "source_name", ad.dim_source(spark), "source_name", "source_id").select("time_id", "entity_id", "source_id", "signal_type", "metric_name", "metric_value", "raw_text", "url")
     path, keys = shared_folder(spark, "hype-facts"), ["time_id", "entity_id", "source_id", "url"]
     batch = shared_folder(spark, "hype-batch")
-    facts.write.parquet(batch)  # texts are analysed once; what a load compares are four columns of this
+    facts.write.option("compression", "zstd").parquet(batch)  # texts are analysed once; what a load compares are four columns of this
     facts = spark.read.parquet(batch)
     for some in (facts.where("time_id % 2 = 0"), facts, facts):
         dm.append_facts(some, path, keys)
